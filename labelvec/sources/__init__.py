@@ -8,6 +8,7 @@ from labelvec.sources.columnar import (
 from labelvec.sources.idx import read_idx_images, read_idx_labels, read_idx_pair
 from labelvec.sources.text import (
     read_combined,
+    read_combined_numbered,
     read_csv_pair,
     read_prediction_lines,
     read_vectors,
@@ -20,6 +21,7 @@ from labelvec.sources.tfrecord import read_tfrecord, write_tfrecord
 __all__ = [
     "CHUNK_BITS",
     "read_combined",
+    "read_combined_numbered",
     "read_csv_pair",
     "read_idx_images",
     "read_idx_labels",

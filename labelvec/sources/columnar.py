@@ -24,7 +24,7 @@ def write_samples(
     if "split" not in samples.columns:
         samples = samples.withColumn("split", F.lit("train"))
     partitions = partitions or samples.sparkSession.sparkContext.defaultParallelism
-    file_no = F.floor(F.col("sample_id") / rows_per_file).cast("bigint")
+    file_no = F.expr(f"sample_id div {rows_per_file}")
     (
         samples.withColumn("chunk", chunk_of(F.col("sample_id")))
         .repartitionById(partitions, F.pmod(file_no, F.lit(partitions)).cast("int"))

@@ -12,7 +12,7 @@ from labelvec.functions import (
     to_csv_line,
 )
 from labelvec.operators.pairing import pair_by_position
-from labelvec.operators.positions import staged_lines
+from labelvec.operators.positions import numbered, staged_lines
 
 
 def partition_by_id(df: DataFrame, partitions: int) -> DataFrame:
@@ -61,11 +61,18 @@ def write_combined(samples: DataFrame, path: str, partitions: int = 10) -> None:
     ).text(path)
 
 
-def read_combined(spark: SparkSession, path: str) -> DataFrame:
+def read_combined(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(label, image); label is the class index."""
     label, image = split_combined_line(F.col("value"))
     return spark.read.text(path).select(label.alias("label"), image.alias("image"))
 
 
+def read_combined_numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The same with a dense ``sample_id`` in file order."""
+    label, image = split_combined_line(F.col("value"))
+    return numbered(staged_lines(spark, path, label.alias("label"), image.alias("image")))
+
+
 def write_predictions(predictions: DataFrame, path: str, timestamps: bool = True) -> None:
     at = F.current_timestamp() if timestamps else None
     line = prediction_line(F.col("label"), F.col("prediction"), at)
