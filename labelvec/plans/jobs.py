@@ -115,12 +115,16 @@ def run_job(
     """Convert the ``train`` and ``test`` raw files, verify, train, score the test split.
 
     ``raw`` maps a split to its image and label paths. Below ``out``: the data set
-    per split, ``model`` and ``predictions``.
+    per split, ``native`` (training input), ``model`` and ``predictions``.
     """
     for split, (images, labels) in raw.items():
         convert_raw(spark, images, labels, f"{out}/{split}", fmt, partitions)
-    verified, head = verify(spark, f"{out}/train", fmt, trusted)
     samples = load(spark, f"{out}/train", fmt, spec.classes, trusted)
+    if fmt != "parquet":
+        # Training reads ranges of ids, which only the native layout can prune.
+        write_samples(samples, f"{out}/native/train", partitions)
+        samples = read_samples(spark, f"{out}/native/train")
+    verified, head = verify_samples(samples), sample_head(samples)
     result = train_mlp(samples, spec, model_dir=f"{out}/model", **training)
     test = load(spark, f"{out}/test", fmt, spec.classes, trusted)
     predictions = predict(test, spec, result.weights)
