@@ -582,19 +582,13 @@ def accuracy(spark, sf_dir):
     )
 )
 def clip_loss(spark, sf_dir):
-    probs = scored(spark, sf_dir, SMALL_A, ("sample_id", "label")).select(
-        batch_of(), "label", F.col("output").alias("probs")
-    )
-    logits = scored(spark, sf_dir, SMALL_B, ("sample_id", "label")).select(
-        batch_of(),
-        "label",
-        V.softmax(F.transform("output", lambda z: z * 60.0), CLASSES).alias("probs"),
-    )
+    logits = scored(spark, sf_dir, SMALL_B, ("sample_id", "label"))
     loss = V.clipped_cross_entropy(F.col("label"), F.col("probs"), CLASSES)
-    plain = M.summed_loss(probs, loss, "batch_id")
-    saturated = M.summed_loss(logits, loss, "batch_id").withColumnRenamed("loss", "saturated_loss")
-    return plain.join(saturated, "batch_id").select(
-        "batch_id", rounded("loss").alias("loss"), rounded("saturated_loss").alias("saturated_loss")
+    saturated = F.transform("output", lambda z: z * 60.0)
+    for name, values in (("loss", F.col("output")), ("saturated_loss", saturated)):
+        logits = logits.withColumn("probs", V.softmax(values, CLASSES)).withColumn(name, loss)
+    return logits.groupBy(batch_of()).agg(
+        *[rounded(F.sum(name)).alias(name) for name in ("loss", "saturated_loss")]
     )
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from labelvec.operators.positions import numbered, unit_offsets
 
 
-def part_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows per file rank on both sides; reads only the staged position columns."""
+def part_counts(left_offsets: DataFrame, right_offsets: DataFrame) -> DataFrame:
+    """Rows per file rank on both sides, from the offsets alone."""
 
-    def counts(staged: DataFrame, name: str) -> DataFrame:
-        return unit_offsets(staged).groupBy("part").agg(F.sum("_rows").alias(name))
+    def counts(offsets: DataFrame, name: str) -> DataFrame:
+        return offsets.groupBy("part").agg(F.sum("_rows").alias(name))
 
-    joined = counts(left, "n_left").join(counts(right, "n_right"), "part", "full")
+    joined = counts(left_offsets, "n_left").join(
+        counts(right_offsets, "n_right"), "part", "full"
+    )
     return joined.select(
         "part",
         F.coalesce("n_left", F.lit(0)).alias("n_left"),
@@ -28,11 +30,12 @@ def pair_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
     hold equally many rows; then both sides give a row the same dense id, and one
     equi-join on that id, which no single file can skew, pairs them.
     """
-    bad = part_counts(left, right).where("n_left <> n_right").orderBy("part").limit(5).collect()
+    offsets = unit_offsets(left), unit_offsets(right)
+    bad = part_counts(*offsets).where("n_left <> n_right").orderBy("part").limit(5).collect()
     if bad:
         detail = ", ".join(f"file {r.part}: {r.n_left} and {r.n_right} rows" for r in bad)
         raise ValueError(f"the two sides do not line up: {detail}")
-    return numbered(left).join(numbered(right), "sample_id")
+    return numbered(left, offsets[0]).join(numbered(right, offsets[1]), "sample_id")
 
 
 def unmatched_positions(left: DataFrame, right: DataFrame) -> DataFrame:

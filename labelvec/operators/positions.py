@@ -28,43 +28,37 @@ def staged_lines(spark: SparkSession, path: str | list[str], *columns) -> DataFr
 
 
 def unit_offsets(staged: DataFrame) -> DataFrame:
-    """One row per unit: its file's rank, its base inside the file and overall.
+    """One row per unit: the rank of its file and the rows that come before it.
 
-    The windows see one row per split and one row per file, never data rows.
+    Only the position columns are read. The unpartitioned window orders one row per
+    split or write task (under a million for 100 TB), never data rows. The result is
+    kept, since counts, checks and the join all use it.
     """
-    units = staged.groupBy(*UNIT).agg(
-        F.count("*").alias("_rows"), F.min(ROW).alias("_first")
-    )
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    units = units.withColumn("_in_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    files = units.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
-    by_name = Window.orderBy("_file")
-    files = files.select(
-        "_file",
-        (F.row_number().over(by_name) - 1).alias("part"),
-        F.coalesce(
-            F.sum("_file_rows").over(by_name.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_file_base"),
+    units = staged.groupBy(*UNIT).agg(F.count("*").alias("_rows"), F.min(ROW).alias("_first"))
+    before = Window.orderBy(*UNIT).rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select(
+        "*",
+        (F.dense_rank().over(Window.orderBy("_file")) - 1).alias("part"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"),
     )
-    return units.join(files, "_file")
+    file_base = F.min("_base").over(Window.partitionBy("_file"))
+    return units.withColumn("_in_file", F.col("_base") - file_base).persist()
 
 
 def numbered(
-    staged: DataFrame, id_column: str = "sample_id", positions: bool = False
+    staged: DataFrame,
+    offsets: DataFrame | None = None,
+    id_column: str = "sample_id",
+    positions: bool = False,
 ) -> DataFrame:
     """Add a dense id over all files; on request ``part`` (file rank) and ``pos`` (row in file)."""
-    offsets = broadcast_if_small(
-        unit_offsets(staged).select(
-            *UNIT, "_first", "_in_file", "_file_base", *(["part"] if positions else [])
-        )
-    )
-    pos = F.col("_in_file") + F.col(ROW) - F.col("_first")
-    return staged.join(offsets, UNIT).select(
-        (F.col("_file_base") + pos).alias(id_column),
-        *([F.col("part"), pos.alias("pos")] if positions else []),
+    offsets = unit_offsets(staged) if offsets is None else offsets
+    wanted = ["_first", "_base", *(["part", "_in_file"] if positions else [])]
+    joined = staged.join(broadcast_if_small(offsets.select(*UNIT, *wanted)), UNIT)
+    in_unit = F.col(ROW) - F.col("_first")
+    return joined.select(
+        (F.col("_base") + in_unit).alias(id_column),
+        *([F.col("part"), (F.col("_in_file") + in_unit).alias("pos")] if positions else []),
         *[c for c in staged.columns if c not in (*UNIT, ROW)],
     )
 
@@ -85,4 +79,4 @@ def with_dense_id(
         F.lit(0).cast("bigint").alias("_block"),
         F.monotonically_increasing_id().alias(ROW),
     )
-    return numbered(stage(tagged, "dense"), id_column)
+    return numbered(stage(tagged, "dense"), id_column=id_column)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from labelvec.operators.pairing import part_counts
+from labelvec.operators.positions import unit_offsets
 
 
 def verify_samples(samples: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def verify_samples(samples: DataFrame) -> DataFrame:
 
 def verify_pair(images: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for two staged sides: both counts and the rows without a partner."""
-    return part_counts(images, labels).agg(
+    return part_counts(unit_offsets(images), unit_offsets(labels)).agg(
         F.sum("n_left").alias("num_images"),
         F.sum("n_right").alias("num_labels"),
         F.sum(F.abs(F.col("n_left") - F.col("n_right"))).alias("unmatched"),
