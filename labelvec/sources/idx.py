@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelvec.functions import one_hot
+from labelvec.session import stage
 from labelvec.sources.files import list_files, open_stream, read_exactly
 
 # Fixed values of the format.
@@ -145,7 +146,9 @@ def read_idx_pair(
     right = _with_headers(list_files(spark, labels), LABEL_MAGIC).select(
         "file_no", F.col("path").alias("label_path"), F.col("items").alias("label_items")
     )
-    files = left.join(right, "file_no", "full").persist()
+    # Staged rather than cached: Spark would answer a later read of the same path,
+    # with other files in it, from the cache.
+    files = stage(left.join(right, "file_no", "full"), "idx-files")
     bad = files.where("NOT (items <=> label_items)").orderBy("file_no").limit(5).collect()
     if bad:
         detail = ", ".join(
