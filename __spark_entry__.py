@@ -584,9 +584,9 @@ def accuracy(spark, sf_dir):
 def clip_loss(spark, sf_dir):
     logits = scored(spark, sf_dir, SMALL_B, ("sample_id", "label"))
     loss = V.clipped_cross_entropy(F.col("label"), F.col("probs"), CLASSES)
-    saturated = F.array(*[F.col("output")[k] * 60.0 for k in range(CLASSES)])
+    saturated = F.transform("output", lambda z: z * 60.0)
     for name, values in (("loss", F.col("output")), ("saturated_loss", saturated)):
-        logits = logits.withColumn("probs", V.softmax(values, CLASSES)).withColumn(name, loss)
+        logits = logits.withColumn("probs", V.softmax(values)).withColumn(name, loss)
     return logits.groupBy(batch_of()).agg(
         *[rounded(F.sum(name)).alias(name) for name in ("loss", "saturated_loss")]
     )

@@ -1,4 +1,4 @@
-"""Per-row losses. Class counts are small, so sums are written out and stay in codegen."""
+"""Per-row losses. Class counts are small, so the sums are written out and stay in codegen."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ def logit_cross_entropy(label: Column, logits: Column, classes: int = 10) -> Col
     return _sum([label[k] * (lse - logits[k]) for k in range(classes)])
 
 
-def softmax(logits: Column, classes: int = 10) -> Column:
-    lse = _log_sum_exp(logits, classes)
-    return F.array(*[F.exp(logits[k] - lse) for k in range(classes)])
+def softmax(logits: Column) -> Column:
+    """Probabilities from logits. Name the result before using it more than once."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z - top))
+    return F.transform(logits, lambda z: F.exp(z - top) / total)
