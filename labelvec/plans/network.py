@@ -66,8 +66,11 @@ class NetSpec:
     def prepare(self, block: np.ndarray) -> np.ndarray:
         x = block.astype(np.float64)
         if self.divisor != 1.0:
-            x = x / self.divisor
-        return 2.0 * x - 1.0 if self.centered else x
+            x /= self.divisor
+        if self.centered:
+            x *= 2.0
+            x -= 1.0
+        return x
 
 
 def spec_a(**changes) -> NetSpec:
@@ -205,6 +208,12 @@ def metric_sums(spec: NetSpec, logits: np.ndarray, y: np.ndarray) -> Tensors:
     }
 
 
+def tensor_stats(spec: NetSpec, weights: Tensors) -> np.ndarray:
+    """Mean, population deviation, maximum and minimum of each tensor, in one row each."""
+    tensors = [weights[name] for name in spec.names]
+    return np.array([[w.mean(), w.std(), w.max(), w.min()] for w in tensors])
+
+
 def gradient(spec: NetSpec, sums: Tensors) -> Tensors:
     """Gradient of the batch loss: a sum for kind a, a mean for kind b."""
     scale = 1.0 if spec.kind == "a" else 1.0 / max(float(sums["rows"][0]), 1.0)

@@ -20,9 +20,14 @@ class Adagrad:
     def update(self, spec: NetSpec, state: Tensors, gradient: Tensors) -> Tensors:
         new = dict(state)
         for name in spec.names:
-            total = state[f"{name}/Adagrad"] + gradient[name] ** 2
-            new[f"{name}/Adagrad"] = total
-            new[name] = state[name] - self.rate * gradient[name] / np.sqrt(total)
+            g = gradient[name]
+            total = g * g
+            total += state[f"{name}/Adagrad"]
+            change = np.sqrt(total)
+            np.divide(g, change, out=change)
+            change *= -self.rate
+            change += state[name]
+            new[f"{name}/Adagrad"], new[name] = total, change
         return new
 
 
@@ -46,10 +51,17 @@ class Adam:
         new["Adam/updates"] = np.array([t])
         rate = self.rate * np.sqrt(1.0 - self.beta2**t) / (1.0 - self.beta1**t)
         for name in spec.names:
-            m = self.beta1 * state[f"{name}/Adam"] + (1.0 - self.beta1) * gradient[name]
-            v = self.beta2 * state[f"{name}/Adam_1"] + (1.0 - self.beta2) * gradient[name] ** 2
-            new[f"{name}/Adam"], new[f"{name}/Adam_1"] = m, v
-            new[name] = state[name] - rate * m / (np.sqrt(v) + self.epsilon)
+            g = gradient[name]
+            m = self.beta1 * state[f"{name}/Adam"]
+            m += (1.0 - self.beta1) * g
+            v = self.beta2 * state[f"{name}/Adam_1"]
+            v += (1.0 - self.beta2) * g * g
+            change = np.sqrt(v)
+            change += self.epsilon
+            np.divide(m, change, out=change)
+            change *= -rate
+            change += state[name]
+            new[f"{name}/Adam"], new[f"{name}/Adam_1"], new[name] = m, v, change
         return new
 
 

@@ -1,6 +1,8 @@
 """Training jobs. The driver holds the weights, the executors hold the data.
 
-``sync``       one Spark job per mini-batch: tasks sum gradients, the driver updates.
+``sync``       one global mini-batch after the other. A large batch is one Spark job:
+               tasks sum gradients, the driver updates. Batches small enough for one
+               task are chained, many steps to a job, with the same result.
 ``epoch_avg``  one job per epoch: every task runs its own mini-batches from the same
                start, and the results are averaged by the number of rows seen
                (Zinkevich et al., 2010). The choice for large data.
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelvec.operators.batches import matrix
 from labelvec.plans import checkpoints
@@ -32,6 +34,7 @@ from labelvec.plans.network import (
     initial_weights,
     layers,
     metric_sums,
+    tensor_stats,
 )
 from labelvec.plans.optimizers import Adagrad, Adam, default_optimizer
 from labelvec.plans.partials import (
@@ -179,12 +182,14 @@ def _tensor_metrics(job: _Job, state: Tensors, writer: str, step: int) -> list[t
     """Summaries of the weights, which the driver holds anyway."""
     if job.spec.kind == "a":
         return []
-    rows = [(writer, step, "dropout_keep_probability", job.keep_prob if writer == "train" else 1.0)]
-    for name in job.spec.names:
-        w = state[name]
-        for tag, value in (
-            ("mean", w.mean()), ("stddev", w.std()), ("max", w.max()), ("min", w.min())
-        ):
+    return _stat_rows(job, tensor_stats(job.spec, state), writer, step)
+
+
+def _stat_rows(job: _Job, stats: np.ndarray, writer: str, step: int) -> list[tuple]:
+    keep = job.keep_prob if writer == "train" else 1.0
+    rows = [(writer, step, "dropout_keep_probability", keep)]
+    for name, values in zip(job.spec.names, stats):
+        for tag, value in zip(("mean", "stddev", "max", "min"), values):
             rows.append((writer, step, f"{name}/summaries/{tag}", float(value)))
     return rows
 
@@ -235,6 +240,28 @@ class _Log:
         self.metrics, self.histograms = [], []
 
 
+def _chains(
+    job: _Job, plan: Iterator[tuple], window: int, checkpoint_every: int
+) -> Iterator[list[tuple]]:
+    """Runs of training steps on consecutive batches of one feed window."""
+    chain: list[tuple] = []
+    for step, index in plan:
+        follows = (
+            chain
+            and index is not None
+            and chain[-1][1] is not None
+            and index == chain[-1][1] + 1
+            and index % window != 0
+            and step % checkpoint_every != 0
+        )
+        if chain and not follows:
+            yield chain
+            chain = []
+        chain.append((step, index))
+    if chain:
+        yield chain
+
+
 def _train_sync(
     job: _Job,
     samples: DataFrame,
@@ -256,33 +283,20 @@ def _train_sync(
         eval_samples = eval_samples.select(job.input_column, "label").persist(
             StorageLevel.MEMORY_AND_DISK
         )
+    # Histograms of activations are summed by the job-per-batch path only.
+    longest = feed.window if feed.tasks == 1 and not job.histograms else 1
+    plan = schedule(start, job.steps, job.n_batches, every)
     try:
-        for step, index in schedule(start, job.steps, job.n_batches, every):
-            logged = step % job.log_every == 0
+        for chain in _chains(job, plan, longest, checkpoint_every):
+            step, index = chain[-1]
             if index is None:
                 values = evaluate(eval_samples, spec, state, job.input_column)
                 log.metrics += [("test", step, tag, v) for tag, v in values.items()]
                 log.metrics += _tensor_metrics(job, state, "test", step)
+            elif longest > 1:
+                state = _run_chain(job, feed, state, chain, log)
             else:
-                shared = job.spark.sparkContext.broadcast({n: state[n] for n in spec.names})
-                partials = gradient_partials(
-                    feed.batch(index), spec, shared, job.input_column,
-                    job.keep_prob, step, job.seed, job.histograms and logged,
-                )
-                sums = sum_partials(partials, feed.tasks, model_bytes(spec))
-                shared.destroy()
-                if logged:
-                    values = batch_metrics(spec, sums)
-                    log.metrics += [("train", step, tag, v) for tag, v in values.items()]
-                    log.metrics += _tensor_metrics(job, state, "train", step)
-                    if job.histograms:
-                        log.histograms += _weight_histograms(job, state, "train", step)
-                        for name, counts in sums.items():
-                            if name.startswith("hist:"):
-                                log.histograms += _bucket_rows(
-                                    "train", step, name[5:], counts, HIST_WIDTH
-                                )
-                state = job.optimizer.update(spec, state, gradient(spec, sums))
+                state = _run_batch(job, feed, state, step, index, log)
             if (step + 1) % checkpoint_every == 0 or step + 1 == job.steps:
                 log.flush(step + 1)
                 checkpoints.save_state(job.spark, job.model_dir, state, step + 1, job.run_id)
@@ -293,6 +307,46 @@ def _train_sync(
     return state
 
 
+def _run_batch(
+    job: _Job, feed: BatchFeed, state: Tensors, step: int, index: int, log: _Log
+) -> Tensors:
+    spec, logged = job.spec, step % job.log_every == 0
+    shared = job.spark.sparkContext.broadcast({n: state[n] for n in spec.names})
+    partials = gradient_partials(
+        feed.batch(index), spec, shared, job.input_column,
+        job.keep_prob, step, job.seed, job.histograms and logged,
+    )
+    sums = sum_partials(partials, feed.tasks, model_bytes(spec))
+    shared.destroy()
+    if logged:
+        values = batch_metrics(spec, sums)
+        log.metrics += [("train", step, tag, v) for tag, v in values.items()]
+        log.metrics += _tensor_metrics(job, state, "train", step)
+        if job.histograms:
+            log.histograms += _weight_histograms(job, state, "train", step)
+            for name, counts in sums.items():
+                if name.startswith("hist:"):
+                    log.histograms += _bucket_rows("train", step, name[5:], counts, HIST_WIDTH)
+    return job.optimizer.update(spec, state, gradient(spec, sums))
+
+
+def _run_chain(
+    job: _Job, feed: BatchFeed, state: Tensors, chain: list[tuple], log: _Log
+) -> Tensors:
+    """Consecutive batches in one task: updates follow each other as they would job by job."""
+    (first_step, first), (_, last) = chain[0], chain[-1]
+    shared = job.spark.sparkContext.broadcast(state)
+    out = _local_epoch(
+        job, feed.batches(first, last), shared, first_step - first, weighted=False
+    )
+    table = out.toArrow()
+    shared.destroy()
+    logged = pc.is_valid(table["step"])
+    log.metrics += _logged_rows(job, table.filter(logged))
+    sums = sum_table(table.filter(pc.invert(logged)))
+    return {name: sums[name].reshape(w.shape) for name, w in state.items()}
+
+
 def evaluate(
     samples: DataFrame, spec: NetSpec, weights: Tensors, input_column: str = "image"
 ) -> dict[str, float]:
@@ -349,8 +403,14 @@ def _runs(
         yield current, pa.concat_batches(held)
 
 
-def _local_epoch(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
-    """Each task trains along its rows; it emits row-weighted weights and its metrics."""
+def _local_epoch(
+    job: _Job, df: DataFrame, state, first_step: int, weighted: bool = True
+) -> DataFrame:
+    """Each task trains along its rows and emits its weights and the logged values.
+
+    Weights are multiplied by the number of rows for averaging, unless one task
+    alone does the work.
+    """
     spec, optimizer, batch_size = job.spec, job.optimizer, job.batch_size
     input_column, keep_prob, seed = job.input_column, job.keep_prob, job.seed
     log_every = job.log_every
@@ -366,13 +426,18 @@ def _local_epoch(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
             x = spec.prepare(matrix(batch.column(input_column), spec.inputs))
             y = matrix(batch.column("label"), spec.classes)
             sums = batch_sums(spec, local, x, y, factors)
-            local = optimizer.update(spec, local, gradient(spec, sums))
-            rows += batch.num_rows
             if step % log_every == 0:
                 values = np.concatenate([sums["loss"], sums["correct"], sums["rows"]])
-                yield from partial_rows({"metrics": values}, step)
+                logged = {"metrics": values}
+                if spec.kind == "b":
+                    # Weighted by rows, so that parts of a split batch average out.
+                    logged["stats"] = tensor_stats(spec, local) * batch.num_rows
+                yield from partial_rows(logged, step)
+            local = optimizer.update(spec, local, gradient(spec, sums))
+            rows += batch.num_rows
         if rows:
-            yield from partial_rows({name: w * rows for name, w in local.items()})
+            scale = rows if weighted else 1.0
+            yield from partial_rows({name: w * scale for name, w in local.items()})
             yield from partial_rows({"rows": np.array([float(rows)])})
 
     return df.select("sample_id", input_column, "label").mapInArrow(run, SCHEMA)
@@ -388,28 +453,48 @@ def _metric_columns(job: _Job, loss, hits, n) -> dict:
 def _epoch_metrics(job: _Job, out: DataFrame) -> DataFrame:
     """(writer, step, tag, value) of every logged batch; parts of a split batch are added."""
     data = F.col("data")
+    logged = out.where(F.col("step").isNotNull())
     sums = (
-        out.where(F.col("tensor") == "metrics")
+        logged.where(F.col("tensor") == "metrics")
         .groupBy("step")
         .agg(
             F.sum(data[0]).alias("loss"), F.sum(data[1]).alias("hits"), F.sum(data[2]).alias("n")
         )
     )
     values = _metric_columns(job, F.col("loss"), F.col("hits"), F.col("n"))
-    pairs = F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in values.items()])
-    return sums.select(F.lit("train").alias("writer"), "step", F.inline(pairs))
+    if job.spec.kind == "a":
+        return sums.select(F.lit("train").alias("writer"), "step", F.inline(_pairs(values)))
+    stats = logged.where(F.col("tensor") == "stats").groupBy("step").agg(
+        *[F.sum(data[i]).alias(f"s{i}") for i in range(16)]
+    )
+    tags = [row[2] for row in _stat_rows(job, np.zeros((4, 4)), "train", 0)]
+    values["dropout_keep_probability"] = F.lit(job.keep_prob)
+    values.update({tag: F.col(f"s{i}") / F.col("n") for i, tag in enumerate(tags[1:])})
+    return sums.join(stats, "step").select(
+        F.lit("train").alias("writer"), "step", F.inline(_pairs(values))
+    )
+
 
+def _pairs(values: dict) -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in values.items()])
 
-def _logged_rows(job: _Job, rows: pa.Table) -> list[tuple]:
+
+def _logged_rows(job: _Job, table: pa.Table) -> list[tuple]:
     """The same from fetched rows."""
-    steps: dict[int, np.ndarray] = {}
-    for step, data in zip(rows["step"].to_pylist(), rows["data"].to_pylist()):
-        steps[step] = steps.get(step, 0.0) + np.array(data)
-    return [
-        ("train", step, tag, float(value))
-        for step in sorted(steps)
-        for tag, value in _metric_columns(job, *steps[step]).items()
-    ]
+    steps: dict[int, dict[str, np.ndarray]] = {}
+    for step, name, data in zip(*(table[c].to_pylist() for c in ("step", "tensor", "data"))):
+        add_into(steps.setdefault(step, {}), {name: np.array(data)})
+    rows = []
+    for step in sorted(steps):
+        sums = steps[step]["metrics"]
+        rows += [
+            ("train", step, tag, float(value))
+            for tag, value in _metric_columns(job, *sums).items()
+        ]
+        if job.spec.kind == "b":
+            stats = (steps[step]["stats"] / sums[2]).reshape(4, 4)
+            rows += _stat_rows(job, stats, "train", step)
+    return rows
 
 
 def _averaged(sums: Tensors, state: Tensors) -> Tensors:
@@ -453,20 +538,18 @@ def _train_epochs(
             few = (upto - step) // job.log_every <= DRIVER_LOG_ROWS
             if few and fits_driver(tasks, state_bytes):
                 table = out.toArrow()
-                logged = pc.equal(table["tensor"], "metrics")
+                logged = pc.is_valid(table["step"])
                 log.metrics += _logged_rows(job, table.filter(logged))
                 state = _averaged(sum_table(table.filter(pc.invert(logged))), state)
-                log.metrics += _tensor_metrics(job, state, "train", upto - 1)
             else:
                 out = out.persist(StorageLevel.MEMORY_AND_DISK)
-                tensors = out.where(F.col("tensor") != "metrics")
+                tensors = out.where(F.col("step").isNull())
                 state = _averaged(sum_partials(tensors, tasks, state_bytes), state)
                 metrics = _epoch_metrics(job, out)
-                extra = log.metrics + _tensor_metrics(job, state, "train", upto - 1)
-                if extra:
-                    metrics = metrics.union(job.spark.createDataFrame(extra, LOG_SCHEMA))
+                if log.metrics:
+                    metrics = metrics.union(job.spark.createDataFrame(log.metrics, LOG_SCHEMA))
+                    log.metrics = []
                 checkpoints.write_metrics(metrics, job.model_dir, job.run_id, upto)
-                log.metrics = []
                 out.unpersist()
             shared.destroy()
             if step // checkpoint_every != upto // checkpoint_every or upto == job.steps:

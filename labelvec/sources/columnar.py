@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 # The sample table keeps 2**20 consecutive ids of a split in one directory, so a
 # range of ids is found by partition pruning instead of by opening every file.
 CHUNK_BITS = 20
+# The first chunk is dealt out in small blocks, so that a small table still
+# uses every task; later ones are cut into files of ROWS_PER_FILE.
+FIRST_CHUNK_BLOCK = 1 << 12
+ROWS_PER_FILE = 1 << 17
 
 
 def chunk_of(sample_id: Column) -> Column:
@@ -14,9 +18,13 @@ def chunk_of(sample_id: Column) -> Column:
 
 
 def write_samples(
-    samples: DataFrame, path: str, partitions: int | None = None, rows_per_file: int = 1 << 17
+    samples: DataFrame,
+    path: str,
+    partitions: int | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
+    first_block: int = FIRST_CHUNK_BLOCK,
 ) -> None:
-    """Sample table laid out by split and id range.
+    """Sample table laid out by split and id range, rows in id order within a file.
 
     Ids are dense, so the range of a row is plain arithmetic: no sampling pass as
     in ``repartitionByRange``, and ranges are of equal size.
@@ -24,10 +32,13 @@ def write_samples(
     if "split" not in samples.columns:
         samples = samples.withColumn("split", F.lit("train"))
     partitions = partitions or samples.sparkSession.sparkContext.defaultParallelism
-    file_no = F.expr(f"sample_id div {rows_per_file}")
+    chunk = chunk_of(F.col("sample_id"))
+    block = F.when(chunk == 0, F.expr(f"sample_id div {first_block}")).otherwise(
+        F.expr(f"sample_id div {rows_per_file}")
+    )
     (
-        samples.withColumn("chunk", chunk_of(F.col("sample_id")))
-        .repartitionById(partitions, F.pmod(file_no, F.lit(partitions)).cast("int"))
+        samples.withColumn("chunk", chunk)
+        .repartitionById(partitions, F.pmod(block, F.lit(partitions)).cast("int"))
         .sortWithinPartitions("split", "chunk", "sample_id")
         .write.mode("overwrite")
         .partitionBy("split", "chunk")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+
 
 @functools.cache
 def example_class():
@@ -47,14 +50,40 @@ def example_class():
     return message_factory.GetMessageClass(pool.FindMessageTypeByName("labelvec.Example"))
 
 
-def encode(features: dict[str, list[int]]) -> bytes:
-    message = example_class()()
-    for name, values in features.items():
-        message.features.feature[name].int64_list.value.extend(values)
-    return message.SerializeToString(deterministic=True)
+def encode(batch: pa.RecordBatch) -> list[bytes]:
+    """One message per row; every column is a list of ints."""
+    new = example_class()
+    columns = []
+    for name, column in zip(batch.schema.names, batch.columns):
+        if column.null_count or column.flatten().null_count:
+            raise ValueError(f"null in feature {name!r}")
+        # Offsets start inside the values when the batch is a slice of a larger one.
+        offsets = column.offsets.to_numpy()
+        columns.append((name, column.flatten().to_numpy(), (offsets - offsets[0]).tolist()))
+    messages = []
+    for row in range(batch.num_rows):
+        message = new()
+        for name, values, offsets in columns:
+            message.features.feature[name].int64_list.value.extend(
+                values[offsets[row] : offsets[row + 1]].tolist()
+            )
+        messages.append(message.SerializeToString(deterministic=True))
+    return messages
 
 
-def decode(data: bytes, names: list[str]) -> list[list[int]]:
-    """Values of the named features; an absent one decodes to an empty list."""
-    feature = example_class().FromString(data).features.feature
-    return [list(feature[name].int64_list.value) if name in feature else [] for name in names]
+def decode(payloads: list[bytes], names: list[str]) -> pa.RecordBatch:
+    """One list column per named feature; an absent feature is an empty list."""
+    parse = example_class().FromString
+    values: dict[str, list[int]] = {name: [] for name in names}
+    offsets: dict[str, list[int]] = {name: [0] for name in names}
+    for data in payloads:
+        feature = parse(data).features.feature
+        for name in names:
+            if name in feature:
+                values[name].extend(feature[name].int64_list.value)
+            offsets[name].append(len(values[name]))
+    columns = [
+        pa.ListArray.from_arrays(np.array(offsets[n], np.int32), np.array(values[n], np.int64))
+        for n in names
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=names)

@@ -51,13 +51,7 @@ def read_tfrecord(
         for batch in batches:
             for part in batch.to_pylist():
                 for payloads in record_groups(part["path"], part["start"], part["size"]):
-                    rows = [example.decode(data, names) for data in payloads]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            name: pa.array([row[i] for row in rows], pa.list_(pa.int64()))
-                            for i, name in enumerate(names)
-                        }
-                    )
+                    yield example.decode(payloads, names)
 
     files = list_files(spark, path).where("length > 0")
     n_files, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -93,13 +87,11 @@ class _RecordWriter(DataSourceArrowWriter):
         )
         out = None
         for batch in iterator:
-            names = batch.schema.names
             for start in range(0, batch.num_rows, GROUP_RECORDS):
-                rows = batch.slice(start, GROUP_RECORDS).to_pylist()
                 if out is None:
                     filesystem.create_dir(folder, recursive=True)
                     out = filesystem.open_output_stream(f"{folder}/{name}", compression=None)
-                out.write(frame([example.encode({n: row[n] for n in names}) for row in rows]))
+                out.write(frame(example.encode(batch.slice(start, GROUP_RECORDS))))
         if out is None:
             return _Written(None)
         out.close()

@@ -122,7 +122,13 @@ class BatchFeed:
         self._frame: DataFrame | None = None
 
     def batch(self, index: int) -> DataFrame:
+        return self.batches(index, index)
+
+    def batches(self, index: int, last_index: int) -> DataFrame:
+        """Rows of consecutive batches, which must lie in one window."""
         first = index - index % self.window
+        if last_index - last_index % self.window != first:
+            raise ValueError(f"batches {index} to {last_index} cross a window of {self.window}")
         if first != self._first:
             self.close()
             last = min(first + self.window, self.n_batches)
@@ -135,10 +141,8 @@ class BatchFeed:
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
             self._first = first
-        low = index * self.batch_size
-        return self._frame.where(
-            f"sample_id >= {low} AND sample_id < {low + self.batch_size}"
-        )
+        low, high = index * self.batch_size, (last_index + 1) * self.batch_size
+        return self._frame.where(f"sample_id >= {low} AND sample_id < {high}")
 
     def close(self) -> None:
         if self._frame is not None:

@@ -78,8 +78,12 @@ def test_partials_add_up_in_levels(spark, samples, arrays, monkeypatch):
     close(gradient(A, levels), gradient(A, batch_sums(A, weights, *arrays)))
 
 
-def test_sync_equals_one_process(samples, arrays):
-    result = train_mlp(samples, A, epochs=2, batch_size=50, seed=5, steps=7)
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_sync_equals_one_process(samples, arrays, partitions):
+    """One task chains its steps, several tasks run a job per step."""
+    result = train_mlp(
+        samples, A, epochs=2, batch_size=50, seed=5, steps=7, partitions=partitions
+    )
     state, losses = by_hand(A, arrays, [0, 1, 2, 3, 4, 0, 1], 50)
     close(result.state, state)
     assert result.step == 7
@@ -124,7 +128,7 @@ def test_large_epochs_write_metrics_from_the_executors(samples, monkeypatch):
 
 def test_scan_layout_trains_on_every_row(spark, samples, tmp_path):
     path = str(tmp_path / "s")
-    sources.write_samples(samples, path, partitions=2, rows_per_file=60)
+    sources.write_samples(samples, path, partitions=2, first_block=60)
     stored = sources.read_samples(spark, path)
     result = train_mlp(
         stored, A, mode="epoch_avg", batch_size=50, seed=5, partitions=2, layout="scan"
