@@ -36,17 +36,19 @@ _queries: dict[str, QueryFn] = {}
 _sql: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
-    """Register a query under its function name, with its SQL when there is one."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[QueryFn], QueryFn]:
+    """Register a query under its function name or ``name``, with its SQL when there is one."""
 
     def add(fn: QueryFn) -> QueryFn:
+        key = name or fn.__name__
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             return fn(spark, sf_dir)
 
-        _queries[fn.__name__] = run
+        _queries[key] = run
         if sql is not None:
-            _sql[fn.__name__] = sql
+            _sql[key] = sql
         return fn
 
     return add
@@ -936,7 +938,7 @@ def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(name="train_mlp")
 def train_mlp_epochs(spark, sf_dir):
     """Two passes over the whole table; the loss of every step."""
     spec = spec_a(inputs=INPUTS, divisor=1.0)

@@ -68,13 +68,16 @@ def with_dense_id(
 ) -> DataFrame:
     """Number the rows of any frame 0..n-1, in ``order_by`` order when given.
 
-    ``order_by`` should be unique; the range partitioning that sorts it keeps
-    equal keys together.
+    Rows with equal keys keep their source order. That order is part of the range
+    key, so a key that many rows share is spread over several tasks.
     """
+    columns = df.columns
     if order_by:
-        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        keys = [*order_by, "_tie"]
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     tagged = df.select(
-        "*",
+        *columns,
         F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("_file"),
         F.lit(0).cast("bigint").alias("_block"),
         F.monotonically_increasing_id().alias(ROW),

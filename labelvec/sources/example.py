@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ def encode(batch: pa.RecordBatch) -> list[bytes]:
 def decode(payloads: list[bytes], names: list[str]) -> pa.RecordBatch:
     """One list column per named feature; an absent feature is an empty list."""
     parse = example_class().FromString
-    values: dict[str, list[int]] = {name: [] for name in names}
+    values = {name: array("q") for name in names}
     offsets: dict[str, list[int]] = {name: [0] for name in names}
     for data in payloads:
         feature = parse(data).features.feature
@@ -83,7 +84,9 @@ def decode(payloads: list[bytes], names: list[str]) -> pa.RecordBatch:
                 values[name].extend(feature[name].int64_list.value)
             offsets[name].append(len(values[name]))
     columns = [
-        pa.ListArray.from_arrays(np.array(offsets[n], np.int32), np.array(values[n], np.int64))
+        pa.ListArray.from_arrays(
+            np.array(offsets[n], np.int32), np.frombuffer(values[n], np.int64)
+        )
         for n in names
     ]
     return pa.RecordBatch.from_arrays(columns, names=names)

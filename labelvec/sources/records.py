@@ -65,16 +65,22 @@ def frame(payloads: list[bytes]) -> bytes:
     )
 
 
+@functools.cache
+def _crc_list() -> list[int]:
+    return _crc_table().tolist()
+
+
 def _check_length(head: bytes, path: str) -> int:
     """Verify a record header before its length is trusted."""
-    table = _crc_table()
+    table = _crc_list()
     crc = 0xFFFFFFFF
     for byte in head[:8]:
-        crc = int(table[(crc ^ byte) & 0xFF]) ^ (crc >> 8)
-    stored = struct.unpack("<I", head[8:12])[0]
-    if int(masked(np.array([crc ^ 0xFFFFFFFF]))[0]) != stored:
+        crc = table[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+    crc ^= 0xFFFFFFFF
+    length, stored = struct.unpack("<QI", head)
+    if ((crc >> 15 | crc << 17) + CRC_MASK) & 0xFFFFFFFF != stored:
         raise ValueError(f"{path}: bad checksum of a record length")
-    return struct.unpack("<Q", head[:8])[0]
+    return length
 
 
 def _heads(stream, path: str, size: int) -> Iterator[int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -104,9 +105,9 @@ class _RecordWriter(DataSourceArrowWriter):
             for info in filesystem.get_file_info(fs.FileSelector(target)):
                 if info.type == fs.FileType.File:
                     filesystem.delete_file(info.path)
-        for message in messages:
-            if message is not None and message.file is not None:
-                filesystem.move(message.file, f"{target}/{os.path.basename(message.file)}")
+        files = [m.file for m in messages if m is not None and m.file is not None]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda f: filesystem.move(f, f"{target}/{os.path.basename(f)}"), files))
         self._drop_temporary()
         with filesystem.open_output_stream(f"{target}/_SUCCESS"):
             pass

@@ -107,6 +107,10 @@ def test_dense_ids_follow_the_order(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000 * 3).alias("key"))
     rows = positions.with_dense_id(df, ["key"]).collect()
     assert sorted((r.sample_id, r.key) for r in rows) == [(i, 3 * i) for i in range(1000)]
+    shared = df.select("key", (F.col("key") % 2).alias("even"))
+    rows = positions.with_dense_id(shared, ["even"]).orderBy("sample_id").collect()
+    assert [r.even for r in rows] == [0] * 500 + [1] * 500
+    assert [r.sample_id for r in rows] == list(range(1000))
     unordered = positions.with_dense_id(df).collect()
     assert sorted(r.sample_id for r in unordered) == list(range(1000))
 

@@ -27,7 +27,7 @@ def test_entry(spark):
 
 
 def test_training_queries_cover_the_table(spark):
-    steps = entry.queries()["train_mlp_epochs"](spark, SF_DIR).collect()
+    steps = entry.queries()["train_mlp"](spark, SF_DIR).collect()
     assert sorted(r.step for r in steps) == list(range(10))
     log = entry.queries()["train_eval_log"](spark, SF_DIR).collect()
     assert {r.step: r.writer for r in log} == {
