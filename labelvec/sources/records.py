@@ -16,6 +16,7 @@ CRC_MASK = 0xA282EAD8
 
 GROUP_RECORDS = 1024
 GROUP_BYTES = 8 << 20
+SCAN_BYTES = 1 << 16
 
 
 @functools.cache
@@ -90,6 +91,8 @@ def _heads(stream, path: str, size: int) -> Iterator[int]:
         length = _check_length(read_exactly(stream, 12, path), path)
         yield length
         done += 16 + length
+    if done != size:
+        raise ValueError(f"{path}: no record ends {size} bytes in; read the file in one piece")
 
 
 def record_groups(path: str, start: int, size: int) -> Iterator[list[bytes]]:
@@ -116,20 +119,50 @@ def record_groups(path: str, start: int, size: int) -> Iterator[list[bytes]]:
         yield verified()
 
 
-def cut_points(path: str, size: int, target: int) -> Iterator[tuple[int, int]]:
-    """(start, size) ranges of about ``target`` bytes that end on record boundaries.
-
-    Only headers are looked at, so the pass over a large file is a plain read.
-    """
-    start = position = 0
-    with open_stream(path) as stream:
-        for length in _heads(stream, path, size):
-            left = length + 4
-            while left:
-                left -= len(read_exactly(stream, min(left, 1 << 20), path))
-            position += 16 + length
-            if position - start >= target:
-                yield start, position - start
-                start = position
-    if position > start:
-        yield start, position - start
+def _header_candidates(window: np.ndarray) -> np.ndarray:
+    """Offsets in a byte window at which a length and its checksum agree."""
+    table, n = _crc_table(), len(window) - 11
+    crc = np.full(n, 0xFFFFFFFF, np.uint32)
+    for i in range(8):
+        crc = table[(crc ^ window[i : i + n]) & 0xFF] ^ (crc >> 8)
+    stored = np.zeros(n, np.uint32)
+    for i in range(4):
+        stored |= window[8 + i : 8 + i + n].astype(np.uint32) << (8 * i)
+    return np.flatnonzero(masked(~crc) == stored)
+
+
+def _is_record(path: str, position: int, file_size: int) -> bool:
+    """Whether a whole verified record starts here, with the end or a header after it."""
+    with open_stream(path, position) as stream:
+        try:
+            length = _check_length(read_exactly(stream, 12, path), path)
+            end = position + 16 + length
+            if end > file_size:
+                return False
+            data = read_exactly(stream, length, path)
+            if masked(crc32c([data])).astype("<u4").tobytes() != read_exactly(stream, 4, path):
+                return False
+            if end < file_size:
+                _check_length(read_exactly(stream, 12, path), path)
+        except ValueError:
+            return False
+    return True
+
+
+def first_boundary(path: str, start: int, file_size: int) -> int:
+    """First record start at or after ``start``, found from the checksums alone."""
+    if start == 0:
+        return 0
+    with open_stream(path, start) as stream:
+        window, base = b"", start
+        while True:
+            part = stream.read(SCAN_BYTES)
+            window += part
+            if len(window) >= 12:
+                for offset in _header_candidates(np.frombuffer(window, np.uint8)):
+                    if _is_record(path, base + int(offset), file_size):
+                        return base + int(offset)
+                base += len(window) - 11
+                window = window[-11:]
+            if not part:
+                return file_size

@@ -11,13 +11,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from labelvec.sources import example
 from labelvec.sources.files import list_files
-from labelvec.sources.records import GROUP_RECORDS, cut_points, frame, record_groups
+from labelvec.sources.records import GROUP_RECORDS, first_boundary, frame, record_groups
 
 SPLIT_BYTES = 128 << 20
 FORMAT = "example_records"
@@ -31,22 +31,19 @@ def read_tfrecord(
 ) -> DataFrame:
     """One ``array<bigint>`` column per named feature.
 
-    A file larger than ``split_bytes`` is cut at record boundaries first, so one
-    large file is decoded by many tasks.
+    A file larger than ``split_bytes`` is decoded by many tasks. Each split looks for
+    its first record by checksum; decoding then has to arrive exactly at the start
+    of the next split, so a false match (a record file inside a record) is an error
+    and never a wrong row. Reading with a larger ``split_bytes`` avoids it.
     """
     names = list(names)
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.to_pylist():
-                path, length = file["path"], file["length"]
-                cuts = [(0, length)] if length <= split_bytes else cut_points(
-                    path, length, split_bytes
-                )
-                for start, size in cuts:
-                    yield pa.RecordBatch.from_pylist(
-                        [{"path": path, "start": start, "size": size}]
-                    )
+            found = [
+                first_boundary(r["path"], r["start"], r["length"]) for r in batch.to_pylist()
+            ]
+            yield batch.set_column(1, "start", pa.array(found, pa.int64()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,13 +54,20 @@ def read_tfrecord(
     files = list_files(spark, path).where("length > 0")
     n_files, total = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     tasks = max(1, -(-total // split_bytes), min(n_files, spark.sparkContext.defaultParallelism))
-    schema = ", ".join(f"`{name}` array<bigint>" for name in names)
-    return (
-        files.repartition(max(1, min(n_files, tasks)))
-        .mapInArrow(ranges, "path string, start bigint, size bigint")
-        .repartition(tasks)
-        .mapInArrow(decode, schema)
+    starts = files.select(
+        "path",
+        F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"),
+        "length",
+    )
+    following = F.lead("start").over(Window.partitionBy("path").orderBy("start"))
+    splits = (
+        starts.repartition(tasks)
+        .mapInArrow(boundaries, "path string, start bigint, length bigint")
+        .withColumn("size", F.coalesce(following, F.col("length")) - F.col("start"))
+        .where("size > 0")
     )
+    schema = ", ".join(f"`{name}` array<bigint>" for name in names)
+    return splits.select("path", "start", "size").repartition(tasks).mapInArrow(decode, schema)
 
 
 @dataclass

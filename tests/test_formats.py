@@ -223,6 +223,32 @@ def test_split_records_equal_whole_files(spark, small, tmp_path):
     assert content(split) == content(whole) == content(small)
 
 
+@pytest.mark.parametrize("split_bytes", [1, 37, 1000, 10**6])
+def test_every_boundary_is_found(spark, small, tmp_path, split_bytes):
+    path = tmp_path / "r"
+    sources.write_tfrecord(small, str(path), 1)
+    (file,) = path.glob("part-*")
+    data = file.read_bytes()
+    true = [0]
+    while true[-1] < len(data):
+        true.append(true[-1] + 16 + struct.unpack_from("<Q", data, true[-1])[0])
+    for start in range(0, len(data), split_bytes):
+        want = next(t for t in true if t >= start)
+        assert records.first_boundary(str(file), start, len(data)) == want
+
+
+def test_record_file_inside_a_record_is_never_misread(spark, tmp_path):
+    inner = records.frame([b"a" * 50] * 5)
+    file = tmp_path / "nested.tfrecord"
+    file.write_bytes(records.frame([b"first", inner, b"last"]))
+    size = file.stat().st_size
+    whole = sum(records.record_groups(str(file), 0, size), [])
+    assert whole == [b"first", inner, b"last"]
+    cut = records.first_boundary(str(file), 40, size)
+    with pytest.raises(ValueError, match="in one piece"):
+        list(records.record_groups(str(file), 0, cut))
+
+
 def test_absent_feature_is_empty(spark, small, tmp_path):
     path = str(tmp_path / "r")
     sources.write_tfrecord(small, path, 1)
