@@ -125,6 +125,7 @@ def run_job(
         write_samples(samples, f"{out}/native/train", partitions)
         samples = read_samples(spark, f"{out}/native/train")
     verified, head = verify_samples(samples), sample_head(samples)
+    training.setdefault("layout", "scan")
     result = train_mlp(samples, spec, model_dir=f"{out}/model", **training)
     test = load(spark, f"{out}/test", fmt, spec.classes, trusted)
     predictions = predict(test, spec, result.weights)

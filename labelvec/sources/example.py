@@ -10,8 +10,11 @@ import pyarrow as pa
 
 
 @functools.cache
-def example_class():
-    """Message class built from the public field numbers of the format."""
+def example_class(packed: bool = False):
+    """Message class built from the public field numbers of the format.
+
+    Packed ints travel as one byte string; with ``packed`` they are left as such.
+    """
     try:
         from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
     except ImportError as error:
@@ -22,7 +25,8 @@ def example_class():
         name="labelvec_example.proto", package="labelvec", syntax="proto3"
     )
     ints = file.message_type.add(name="Int64List")
-    ints.field.add(name="value", number=1, type=field.TYPE_INT64, label=field.LABEL_REPEATED)
+    kind = field.TYPE_BYTES if packed else field.TYPE_INT64
+    ints.field.add(name="value", number=1, type=kind, label=field.LABEL_REPEATED)
     feature = file.message_type.add(name="Feature")
     feature.oneof_decl.add(name="kind")
     feature.field.add(
@@ -74,6 +78,46 @@ def encode(batch: pa.RecordBatch) -> list[bytes]:
 
 def decode(payloads: list[bytes], names: list[str]) -> pa.RecordBatch:
     """One list column per named feature; an absent feature is an empty list."""
+    messages = [example_class(packed=True).FromString(data) for data in payloads]
+    columns = []
+    for name in names:
+        segments = [
+            m.features.feature[name].int64_list if name in m.features.feature else None
+            for m in messages
+        ]
+        raw = [b"" if s is None else b"".join(s.value) for s in segments]
+        # A list that was not packed shows up as bytes the packed field did not take.
+        if any(s is not None and s.ByteSize() != _packed_size(s.value) for s in segments):
+            return _decode_unpacked(payloads, names)
+        columns.append(_varints(raw))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _packed_size(parts: list[bytes]) -> int:
+    return sum(1 + max(1, -(-len(p).bit_length() // 7)) + len(p) for p in parts)
+
+
+def _varints(rows: list[bytes]) -> pa.ListArray:
+    """Lists of ints from base-128 bytes, seven bits each, low bits first."""
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    last = data < 128
+    stops = np.flatnonzero(last).astype(np.int32)
+    starts = np.zeros_like(stops)
+    starts[1:] = stops[:-1] + 1
+    lengths = stops - starts + 1
+    values = (data[starts] & 127).astype(np.uint64)
+    for k in range(1, int(lengths.max(initial=0))):
+        longer = np.flatnonzero(lengths > k)
+        bits = (data[starts[longer] + k] & 127).astype(np.uint64)
+        values[longer] |= bits << np.uint64(7 * k)
+    ends = np.cumsum([len(r) for r in rows])
+    if len(data) and not last[ends[ends > 0] - 1].all():
+        raise ValueError("an int list ends inside a value")
+    offsets = np.concatenate([[0], np.cumsum(last)])[np.concatenate([[0], ends])]
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64))
+
+
+def _decode_unpacked(payloads: list[bytes], names: list[str]) -> pa.RecordBatch:
     parse = example_class().FromString
     values = {name: array("q") for name in names}
     offsets: dict[str, list[int]] = {name: [0] for name in names}

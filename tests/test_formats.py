@@ -2,6 +2,7 @@ import gzip
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import content
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from labelvec import sources
 from labelvec.operators import pairing, positions, verify
 from labelvec.plans import jobs
-from labelvec.sources import records
+from labelvec.sources import example, records
 from labelvec.testing import write_idx_files
 
 
@@ -223,6 +224,32 @@ def test_split_records_equal_whole_files(spark, small, tmp_path):
     assert content(split) == content(whole) == content(small)
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_example_ints(packed):
+    rows = [[0, 1, 127, 128, 255, 16383, 16384], [], [-1, 2**62, -(2**63), 2**63 - 1], [7] * 300]
+    batch = pa.RecordBatch.from_pydict({"v": pa.array(rows, pa.list_(pa.int64()))})
+    payloads = example.encode(batch.slice(1)) + example.encode(batch.slice(0, 1))
+    if not packed:
+        # Field 1 of a list as single varints (tag 8), wrapped again by hand.
+        def wrap(tag, body):
+            return bytes([tag]) + varint(len(body)) + body
+
+        def varint(n):
+            n %= 1 << 64
+            out = b""
+            while n > 127:
+                out, n = out + bytes([n & 127 | 128]), n >> 7
+            return out + bytes([n])
+
+        payloads = [
+            wrap(10, wrap(10, wrap(10, b"v") + wrap(18, wrap(26, b"".join(b"\x08" + varint(n) for n in r)))))
+            for r in rows[1:] + rows[:1]
+        ]
+    got = example.decode(payloads, ["v", "w"])
+    assert got.column("v").to_pylist() == rows[1:] + rows[:1]
+    assert got.column("w").to_pylist() == [[]] * 4
+
+
 @pytest.mark.parametrize("split_bytes", [1, 37, 1000, 10**6])
 def test_every_boundary_is_found(spark, small, tmp_path, split_bytes):
     path = tmp_path / "r"
