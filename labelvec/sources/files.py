@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +12,15 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
-def open_stream(path: str, start: int = 0, compressed: bool = False):
-    """Sequential reader over one file; gzip is decompressed on the fly."""
+def open_stream(path: str, start: int = 0, compressed: bool = False, buffer: int = 1 << 22):
+    """Buffered sequential reader over one file; gzip is decompressed on the fly."""
     filesystem, inner = fs.FileSystem.from_uri(path)
-    if compressed:
-        return filesystem.open_input_stream(inner, compression="gzip", buffer_size=1 << 20)
     if start:
         source = filesystem.open_input_file(inner)
         source.seek(start)
-        return source
-    return filesystem.open_input_stream(inner, compression=None, buffer_size=1 << 22)
+        return pa.BufferedInputStream(source, buffer)
+    compression = "gzip" if compressed else None
+    return filesystem.open_input_stream(inner, compression=compression, buffer_size=buffer)
 
 
 def read_exactly(stream, size: int, what: str) -> bytes:

@@ -27,7 +27,7 @@ BATCH_BYTES = 4 << 20
 
 def _open_idx(path: str, magic: int):
     """(stream after the header, item count, bytes per item)."""
-    stream = open_stream(path, compressed=path.endswith(".gz"))
+    stream = open_stream(path, compressed=path.endswith(".gz"), buffer=1 << 20)
     found, count = np.frombuffer(read_exactly(stream, 8, path), ">u4")
     if found != magic:
         raise ValueError(f"{path}: magic number {found}, expected {magic}")

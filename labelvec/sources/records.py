@@ -133,7 +133,7 @@ def _header_candidates(window: np.ndarray) -> np.ndarray:
 
 def _is_record(path: str, position: int, file_size: int) -> bool:
     """Whether a whole verified record starts here, with the end or a header after it."""
-    with open_stream(path, position) as stream:
+    with open_stream(path, position, buffer=SCAN_BYTES) as stream:
         try:
             length = _check_length(read_exactly(stream, 12, path), path)
             end = position + 16 + length
@@ -153,7 +153,7 @@ def first_boundary(path: str, start: int, file_size: int) -> int:
     """First record start at or after ``start``, found from the checksums alone."""
     if start == 0:
         return 0
-    with open_stream(path, start) as stream:
+    with open_stream(path, start, buffer=SCAN_BYTES) as stream:
         window, base = b"", start
         while True:
             part = stream.read(SCAN_BYTES)
