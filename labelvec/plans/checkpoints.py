@@ -15,6 +15,7 @@ WEIGHTS_SCHEMA = (
 METRICS_SCHEMA = (
     "run_id string, writer string, step bigint, tag string, value double, upto bigint"
 )
+REPORTS_SCHEMA = "run_id string, sample_id bigint, label int, prediction int, step bigint"
 HISTOGRAMS_SCHEMA = (
     "run_id string, writer string, step bigint, tag string, bucket bigint, width double, "
     "n bigint, upto bigint"
@@ -107,6 +108,19 @@ def read_metrics(spark: SparkSession, model_dir: str) -> DataFrame:
     return _read(spark, f"{model_dir}/metrics", METRICS_SCHEMA).drop("upto")
 
 
+def write_report(predictions: DataFrame, model_dir: str, run_id: str, step: int) -> None:
+    """(sample_id, label, prediction) of the batch of one step."""
+    frame = predictions.select(
+        F.lit(run_id).alias("run_id"), "sample_id", "label", "prediction",
+        F.lit(step).cast("bigint").alias("step"),
+    )
+    _replace_partition(frame, f"{model_dir}/reports", "step")
+
+
+def read_reports(spark: SparkSession, model_dir: str) -> DataFrame:
+    return _read(spark, f"{model_dir}/reports", REPORTS_SCHEMA)
+
+
 def write_histograms(histograms: DataFrame, model_dir: str, run_id: str, upto: int) -> None:
     frame = histograms.select(
         F.lit(run_id).alias("run_id"), "writer", "step", "tag", "bucket", "width", "n",

@@ -47,6 +47,7 @@ from labelvec.plans.partials import (
     sum_partials,
     sum_table,
 )
+from labelvec.plans.scoring import predict
 from labelvec.session import staging_path
 from labelvec.streaming.feed import BatchFeed, feed_range, schedule
 
@@ -72,6 +73,9 @@ class TrainResult:
     def metrics(self, spark: SparkSession) -> DataFrame:
         return checkpoints.read_metrics(spark, self.model_dir)
 
+    def reports(self, spark: SparkSession) -> DataFrame:
+        return checkpoints.read_reports(spark, self.model_dir)
+
     def histograms(self, spark: SparkSession) -> DataFrame:
         return checkpoints.read_histograms(spark, self.model_dir)
 
@@ -97,12 +101,15 @@ class _Job:
 
 def count_dense(samples: DataFrame) -> int:
     """Row count; ids have to be 0..n-1, since batches are cut by id."""
-    n, low, high = samples.agg(
-        F.count("*"), F.min("sample_id"), F.max("sample_id")
+    n, low, high, total = samples.agg(
+        F.count("*"),
+        F.min("sample_id"),
+        F.max("sample_id"),
+        F.sum(F.col("sample_id").cast("decimal(38,0)")),
     ).first()
     if n == 0:
         raise ValueError("no samples")
-    if low != 0 or high != n - 1:
+    if low != 0 or high != n - 1 or total != n * (n - 1) // 2:
         raise ValueError(
             f"{n} rows with ids {low}..{high}: number them 0..n-1 first (with_dense_id)"
         )
@@ -128,6 +135,7 @@ def train_mlp(
     histograms: bool = False,
     eval_samples: DataFrame | None = None,
     eval_every: int = 10,
+    report_every: int | None = None,
     partitions: int | None = None,
     layout: str = "batches",
     run_id: str = "train",
@@ -136,8 +144,10 @@ def train_mlp(
 
     Stops after ``epochs`` passes or ``steps`` batches, whichever comes first. With
     ``eval_samples`` (sync only), every ``eval_every``-th step scores them instead
-    of training, and the batches cycle until ``steps`` is reached. ``resume`` goes
-    on from the latest complete checkpoint in ``model_dir``.
+    of training, and the batches cycle until ``steps`` is reached. With
+    ``report_every`` (sync only), the rows of every such step's batch are scored with
+    the updated weights and kept as ``reports``. ``resume`` goes on from the latest
+    complete checkpoint in ``model_dir``.
 
     ``layout`` is for ``epoch_avg``: "batches" shuffles once so that each batch lies
     in one task; "scan" trains along the stored order, without a shuffle, and needs
@@ -147,8 +157,8 @@ def train_mlp(
         raise ValueError(f"unknown mode {mode!r}")
     if layout not in ("batches", "scan"):
         raise ValueError(f"unknown layout {layout!r}")
-    if mode == "epoch_avg" and eval_samples is not None:
-        raise ValueError("periodic evaluation needs mode='sync'")
+    if mode == "epoch_avg" and (eval_samples is not None or report_every is not None):
+        raise ValueError("periodic evaluation and reports need mode='sync'")
     spark = samples.sparkSession
     n_batches = -(-count_dense(samples) // batch_size)
     if eval_samples is None:
@@ -169,7 +179,8 @@ def train_mlp(
             start, state = saved
     if mode == "sync":
         state = _train_sync(
-            job, samples, state, start, checkpoint_every, eval_samples, eval_every, partitions
+            job, samples, state, start, checkpoint_every, eval_samples, eval_every,
+            report_every, partitions,
         )
     else:
         state = _train_epochs(
@@ -241,9 +252,12 @@ class _Log:
 
 
 def _chains(
-    job: _Job, plan: Iterator[tuple], window: int, checkpoint_every: int
+    plan: Iterator[tuple], window: int, checkpoint_every: int, report_every: int | None
 ) -> Iterator[list[tuple]]:
-    """Runs of training steps on consecutive batches of one feed window."""
+    """Runs of training steps on consecutive batches of one feed window.
+
+    A run ends where something has to be saved, or after a step to report.
+    """
     chain: list[tuple] = []
     for step, index in plan:
         follows = (
@@ -253,6 +267,7 @@ def _chains(
             and index == chain[-1][1] + 1
             and index % window != 0
             and step % checkpoint_every != 0
+            and not (report_every and chain[-1][0] % report_every == 0)
         )
         if chain and not follows:
             yield chain
@@ -270,6 +285,7 @@ def _train_sync(
     checkpoint_every: int,
     eval_samples: DataFrame | None,
     eval_every: int,
+    report_every: int | None,
     tasks: int | None,
 ) -> Tensors:
     spec = job.spec
@@ -287,7 +303,7 @@ def _train_sync(
     longest = feed.window if feed.tasks == 1 and not job.histograms else 1
     plan = schedule(start, job.steps, job.n_batches, every)
     try:
-        for chain in _chains(job, plan, longest, checkpoint_every):
+        for chain in _chains(plan, longest, checkpoint_every, report_every):
             step, index = chain[-1]
             if index is None:
                 values = evaluate(eval_samples, spec, state, job.input_column)
@@ -297,6 +313,9 @@ def _train_sync(
                 state = _run_chain(job, feed, state, chain, log)
             else:
                 state = _run_batch(job, feed, state, step, index, log)
+            if index is not None and report_every and step % report_every == 0:
+                scores = predict(feed.batch(index), spec, state, job.input_column)
+                checkpoints.write_report(scores, job.model_dir, job.run_id, step)
             if (step + 1) % checkpoint_every == 0 or step + 1 == job.steps:
                 log.flush(step + 1)
                 checkpoints.save_state(job.spark, job.model_dir, state, step + 1, job.run_id)

@@ -8,7 +8,7 @@ from labelvec import functions as V, sources
 from labelvec.operators import metrics as M
 from labelvec.operators.batches import apply_batches
 from labelvec.plans import checkpoints, jobs, partials
-from labelvec.plans.network import NetSpec, batch_sums, gradient, initial_weights
+from labelvec.plans.network import NetSpec, batch_sums, gradient, initial_weights, layers
 from labelvec.plans.optimizers import Adagrad, default_optimizer
 from labelvec.plans.training import count_dense, evaluate, train_mlp
 from labelvec.streaming import feed
@@ -189,6 +189,22 @@ def test_training_with_evaluation(spark, samples):
     assert [(r.step, r.batch_no) for r in planned] == python
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_reports_score_the_batch_of_a_step(samples, arrays, partitions):
+    result = train_mlp(
+        samples, A, batch_size=50, steps=5, seed=5, report_every=2, partitions=partitions
+    )
+    rows = result.reports(samples.sparkSession).collect()
+    assert sorted((r.step, r.sample_id) for r in rows) == [
+        (s, i) for s in (0, 2, 4) for i in range(50 * s, min(50 * s + 50, ROWS))
+    ]
+    state, _ = by_hand(A, arrays, [0, 1, 2], 50)
+    x, y = arrays
+    want = layers(A, state, x[100:150])[2].argmax(axis=1)
+    got = {r.sample_id: (r.label, r.prediction) for r in rows if r.step == 2}
+    assert [got[i] for i in range(100, 150)] == list(zip(y[100:150].argmax(axis=1), want))
+
+
 def test_kind_a_histograms_use_its_tags(spark, samples):
     result = train_mlp(samples, A, batch_size=100, steps=1, histograms=True)
     tags = {r.tag for r in result.histograms(spark).collect()}
@@ -210,6 +226,9 @@ def test_training_loss_falls(samples):
 def test_ids_must_be_dense(samples):
     with pytest.raises(ValueError, match="number them"):
         count_dense(samples.where("sample_id <> 3"))
+    twice = samples.withColumn("sample_id", F.expr("if(sample_id = 3, 4, sample_id)"))
+    with pytest.raises(ValueError, match="number them"):
+        count_dense(twice)
     with pytest.raises(ValueError, match="no samples"):
         count_dense(samples.where("sample_id < 0"))
 
