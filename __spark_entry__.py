@@ -996,6 +996,19 @@ def ingest_train_score(spark, sf_dir):
     return result.predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- text operators
+
+try:
+    import corpus_pipeline
+    from labelvec.llm import queries as llm_queries
+except ModuleNotFoundError as missing:  # both are optional, whatever they import is not
+    if missing.name not in ("corpus_pipeline", "labelvec.llm"):
+        raise
+else:
+    for _name, _fn in {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}.items():
+        query(llm_queries.SQL.get(_name), _name)(_fn)
+
+
 # ---------------------------------------------------------------- contract
 
 
