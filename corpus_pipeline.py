@@ -1,20 +1,53 @@
-"""From raw documents to token ids: score, deduplicate, mix, encode."""
+"""From raw documents to token ids: score, deduplicate twice, mix, encode."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelvec.llm import near_dedup
+from labelvec.llm import bpe, mixing, near_dedup, quality_crf, suffix_dedup
 from labelvec.session import ship_package, stage
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier scores 0.7 or more, fitted on ``labels``."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_crf.keep_good(docs, quality_crf.train(docs, labels), least=0.7)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     ship_package(spark)
     return near_dedup.keep_one(docs, width=5, percent=80)
 
 
-STAGES = [("minhash_near_dedup", near_dedup_stage)]
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of fifty words or more that an earlier one holds."""
+    ship_package(spark)
+    return suffix_dedup.cut_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy or part of a document that the mix of 150 % of all words takes."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and their decoding."""
+    ship_package(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = bpe.decode(bpe.encode(docs, path), path)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality_crf", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("mix_sources", mixing_stage),
+    ("bpe_round_trip", encoding_stage),
+]
 # Classifier, components and tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 

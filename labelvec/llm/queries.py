@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelvec.llm import near_dedup
+from labelvec.llm import bpe, mixing, near_dedup, quality_crf, suffix_dedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -22,7 +23,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op2_mix_sources(spark, sf_dir):
+    """Words that each document gives to a mix of 150 % of all words with weights 3, 1, 2."""
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     """Components of documents whose sets of two-word shingles are similar at 0.8 or more."""
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+@query
+def op6_bpe_round_trip(spark, sf_dir):
+    """Ids of every text and their decoding, as digests."""
+    return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_quality_crf(spark, sf_dir):
+    """Quality of every text; labels of rows with remainder 2 are held out."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scores = quality_crf.quality_scores(docs, quality_crf.train(docs, labels))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    """Passages of fifty words or more that an earlier passage of the table repeats."""
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
