@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelvec.llm import bpe, mixing, near_dedup, quality_crf, suffix_dedup
+from labelvec.llm import (
+    bpe,
+    language_id,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    quality_crf,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    topk,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -27,12 +38,35 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+@query
+def op1_lm_scoring(spark, sf_dir):
+    """Stupid-backoff score of every text with the counts of all others."""
+    scores = lm_scoring.score_documents(documents(spark, sf_dir))
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     """Words that each document gives to a mix of 150 % of all words with weights 3, 1, 2."""
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_quality_rules(spark, sf_dir):
+    """Rules of every text, and lines that too many documents of its source share."""
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    """Language of every text; those with remainder 0 are held out."""
+    docs = documents(spark, sf_dir)
+    held_out = _remainder(5) == 0
+    names, matrix = language_id.prototypes(docs.where(~held_out))
+    found = language_id.languages(docs, names, matrix)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     """Components of documents whose sets of two-word shingles are similar at 0.8 or more."""
@@ -56,7 +90,23 @@ def op7_quality_crf(spark, sf_dir):
     return scores.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query
+def op8_token_counts(spark, sf_dir):
+    """Tokens of every text as the model's library counts them."""
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 @query
 def op9_suffix_dedup(spark, sf_dir):
     """Passages of fifty words or more that an earlier passage of the table repeats."""
     return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+@query
+def op10_exact_top_k(spark, sf_dir):
+    """Five best rows for every row whose vec_id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+SQL.update(op1_lm_scoring=lm_scoring.SQL, op3_quality_rules=quality_rules.SQL, op10_exact_top_k=topk.SQL)
