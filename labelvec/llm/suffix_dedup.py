@@ -118,7 +118,8 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
     Suffixes are sorted by their words and neighbours compared, which gives the length
     of their common prefix. For each number ``o`` of words to the left, suffixes in one
     run of common prefixes of ``MIN_WORDS - o`` words match if their ``o`` words before
-    are equal too; all but the earliest (doc, at) of such a set are repeats.
+    are equal too; all but the earliest (doc, at) of such a set are repeats. Rows of
+    one (doc, at) are one occurrence.
     """
     suffix = np.ascontiguousarray(around[:, LEFT:].astype(">u4"))
     order = np.argsort(suffix.view(f"S{4 * MIN_WORDS}").ravel(), kind="stable")
@@ -138,10 +139,12 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
         key = mix(lead[rows] ^ mix(run[rows] + np.uint64(1)))
         by = np.lexsort((rank[rows], key))
         rows, key = rows[by], key[by]
-        later = rows[1:][key[1:] == key[:-1]]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        least = rows[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        later = rows[(doc_s[rows] != doc_s[least]) | (at_s[rows] != at_s[least])]
+        # all matches of a suffix overlap at its gram: from the farthest left to the farthest right
         high[later] = np.where(high[later] < 0, o, high[later])
         low[later] = o
-        # matches of one suffix at several extensions merge: from the farthest left to the farthest right
     hit = np.flatnonzero(high >= 0)
     return order[hit], at_s[hit] - low[hit], at_s[hit] - high[hit] + MIN_WORDS
 
