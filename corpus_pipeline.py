@@ -37,7 +37,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of every text, and their decoding."""
     ship_package(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe.decode(bpe.encode(docs, path), path)
+    tokens = bpe.encode_and_decode(docs, path)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -8,7 +8,7 @@ import json
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,11 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from labelvec.llm.text import map_texts
+
 # Bytes of text whose distinct words share one index; a longer text is a group of its own.
-GROUP_BYTES = 32 << 20
+# Its words are the only Python strings, so memory follows the distinct ones.
+GROUP_BYTES = 8 << 20
 # Fixed by the tokenizer files: Unicode white space, and the printable stand-ins of bytes.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,9 +58,14 @@ class Vocabulary:
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        spaces = "".join(map(chr, SPACES))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern)
-        self.spaces = regex.compile(f"[{''.join(map(chr, SPACES))}]+")
+        self.words = regex.compile(pattern.replace(r"\s", spaces))
+        self.spaces = regex.compile(f"[{spaces}]+")
+        # every token with a space before it, and its bounds
+        raw = [(" " + t).encode() for t in self.tokens]
+        self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.token_bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where it isn't merged."""
@@ -65,18 +73,23 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.order[at], -1)
 
-    def pieces(self, text: str) -> list[str]:
-        """Words of a text after normalisation; special tokens stay whole."""
-        if self.special and "<|" in text and (found := self.split.findall(text)):
+    def parts(self, text: str) -> list[str]:
+        """The text between white space. No piece reaches over white space, nor does normalisation."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # space for str.split, not for the tokenizer
+            return [p for p in self.spaces.split(text) if p]
+        return text.split()
+
+    def pieces(self, part: str) -> list[str]:
+        """Pieces of a part after normalisation; special tokens stay whole."""
+        if self.special and "<|" in part and (found := self.split.findall(part)):
             out, done = [], 0
             for token in found:
-                at = text.index(token, done)
-                out += [*self.pieces(text[done:at]), token]
+                at = part.index(token, done)
+                out += [*self.pieces(part[done:at]), token]
                 done = at + len(token)
-            return out + self.pieces(text[done:])
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
+            return out + self.pieces(part[done:])
         # lower case letter by letter: no rule for a sigma at the end of a word
-        return self.words.findall(text.replace("Σ", "σ").lower())
+        return self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
 
 
 def _alternate(at: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -136,10 +149,11 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
         after = following[at]
         good = alive[at] & (symbol[at] == left) & (after >= 0) & (symbol[after] == right)
         at = at[good]
-        if len(lists) > 1:
-            at = np.unique(at)
         if not len(at):
             continue
+        if len(lists) > 1:
+            at = np.sort(at)
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
         after = following[at]
         if left == right:
             some = _alternate(at, after)
@@ -187,65 +201,80 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
+def part_ids(vocabulary: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all parts one after the other, bounds of each part)."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    pieces = [vocabulary.pieces(p) for p in parts]
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    flat = np.fromiter((number[w] for ws in pieces for w in ws), np.int32, int(sizes.sum()))
+    distinct = ["" if w in vocabulary.special else w for w in number]
+    ids, bounds = encode_words(vocabulary, distinct)
+    lengths = np.diff(bounds)
+    special = sorted((number[t], i) for t, i in vocabulary.special.items() if t in number)
+    for at, i in special:  # tokens of their own, put behind all others
+        bounds[at], lengths[at] = len(ids), 1
+        ids = np.append(ids, np.int32(i))
+    place, ends = gathered(bounds[flat], lengths[flat])
+    return ids[place], ends[np.concatenate([[0], np.cumsum(sizes)])]
+
+
+def gathered(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of all ranges one after the other, bounds of each range)."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    return np.arange(ends[-1]) + np.repeat(start - ends[:-1], length), ends
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(path)
         for group in _groups(batches):
             number: dict[str, int] = defaultdict(count().__next__)
-            parts = []
+            read = []
             for batch in group:
-                # slices of a thousand texts keep the Python strings few
-                for lo in range(0, batch.num_rows, 1000):
-                    part = batch.slice(lo, 1000)
-                    words = [vocabulary.pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                    sizes = np.array([len(w) for w in words], np.int64)
-                    flat = np.fromiter((number[w] for ws in words for w in ws), np.int32, int(sizes.sum()))
-                    parts.append((part, sizes, flat))
-            distinct = list(number)
-            special = sorted((number[t], i) for t, i in vocabulary.special.items() if t in number)
+                for lo in range(0, batch.num_rows, 250):
+                    rows = batch.slice(lo, 250)
+                    parts = [vocabulary.parts(t) if t else () for t in rows.column("text").to_pylist()]
+                    sizes = np.array([len(p) for p in parts], np.int64)
+                    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int32, int(sizes.sum()))
+                    read.append((rows.column("doc_id"), sizes, flat))
+            del group
+            ids, bounds = part_ids(vocabulary, list(number))
             del number
-            for at, _ in special:
-                distinct[at] = ""
-            ids, bounds = encode_words(vocabulary, distinct)
-            if special:  # put special tokens in the place of empty words
-                where = np.array([bounds[at] for at, _ in special])
-                ids = np.insert(ids, where, [i for _, i in special])
-                grown = np.zeros(len(bounds), np.int64)
-                for at, _ in special:
-                    grown[at + 1 :] += 1
-                bounds = bounds + grown
-            del distinct
             lengths = np.diff(bounds)
-            for part, sizes, flat in parts:
-                text_bounds = np.concatenate([[0], np.cumsum(sizes)])
-                for lo in range(0, part.num_rows, 250):
-                    hi = min(lo + 250, part.num_rows)
-                    words = flat[text_bounds[lo] : text_bounds[hi]]
-                    each = lengths[words]
-                    ends = np.concatenate([[0], np.cumsum(each)])
-                    place = np.arange(ends[-1]) - np.repeat(ends[:-1] - bounds[words], each)
-                    offsets = ends[text_bounds[lo : hi + 1] - text_bounds[lo]]
-                    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[place], pa.int32()))
-                    rows = part.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), tokens], names=["doc_id", "ids"])
+            for doc_id, sizes, flat in read:
+                place, ends = gathered(bounds[flat], lengths[flat])
+                offsets = ends[np.concatenate([[0], np.cumsum(sizes)])]
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[place], pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_id, tokens], names=["doc_id", "ids"])
 
     return run
 
 
-def decoded(vocabulary: Vocabulary, ids: list[int]) -> str:
-    """Tokens of a file without a decoder are joined by spaces."""
-    tokens = vocabulary.tokens
-    return " ".join([tokens[i] for i in ids])
+def decoded(vocabulary: Vocabulary, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Texts of the lists ``ids[edges[i] : edges[i + 1]]``: tokens of a file without a decoder are joined by spaces."""
+    start = vocabulary.token_bounds[ids]
+    length = vocabulary.token_bounds[ids + 1] - start
+    first = edges[:-1][np.diff(edges) > 0] - edges[0]
+    start[first] += 1
+    length[first] -= 1
+    place, ends = gathered(start, length)
+    offsets = ends[edges - edges[0]].astype(np.int64)
+    body = vocabulary.token_bytes[place]
+    return pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(path)
         for batch in batches:
-            texts = [decoded(vocabulary, ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
-            )
+            for lo in range(0, batch.num_rows, 250):
+                rows = batch.slice(lo, 250)
+                lists = rows.column("ids")
+                edges = np.asarray(lists.offsets)
+                texts = decoded(vocabulary, np.asarray(lists.values)[edges[0] : edges[-1]], edges)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), lists, texts.cast(pa.string())], names=["doc_id", "ids", "decoded"]
+                )
 
     return run
 
@@ -274,12 +303,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blank texts have no ids; strings of special tokens in a text become those tokens, as the
     file asks. Other columns are ignored; repeated rows get equal results; no rows give none.
     """
-    return _texts(docs).mapInArrow(_encode(path), "doc_id long, ids array<int>")
+    return map_texts(_texts(docs), _encode(path), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """Add ``decoded`` to (doc_id, ids)."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, ids array<int>, decoded string")
+    """Add ``decoded`` to (doc_id, ids); null ids count as none."""
+    tokens = tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return map_texts(tokens, _decode(path), "doc_id long, ids array<int>, decoded string")
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded) in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decode(path)(_encode(path)(batches))
+
+    return map_texts(_texts(docs), run, "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -288,4 +327,4 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _digest(_decode(path)(_encode(path)(batches)))
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(_texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelvec.llm.text import SLICE_DOCS, mix, slices
+from labelvec.llm.text import SLICE_DOCS, map_texts, mix, slices
 
 SIZE = 1024
 # Letter numbers: 0 parts words, a-z have their own, other letters share the rest by a hash.
@@ -89,9 +89,8 @@ def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the trigram vectors of each language over the rows of a task."""
     trigrams = _trigrams()
-    total: dict[str, np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}  # of each trigram, for each language of the task
     for batch in batches:
-        counts: dict[str, np.ndarray] = {}
         for lo, texts in _texts_of(batch):
             doc, codes = trigram_codes(texts)
             rows = trigrams.rows(codes)
@@ -101,16 +100,16 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(trigrams.codes)
             found = np.bincount(number[doc] * n + rows, minlength=len(names) * n).reshape(len(names), n)
             for name, c in zip(names, found):
-                old = counts.get(name)
-                if old is not None:
+                if (old := counts.get(name)) is not None:
                     c[: len(old)] += old
-                counts[name] = c
-        for name, c in counts.items():
-            used = np.flatnonzero(c)
-            total.setdefault(name, np.zeros(SIZE, np.int64))
-            for k in range(0, len(used), 1024):
-                part = used[k : k + 1024]
-                total[name] += c[part] @ trigrams.vectors[part].astype(np.int64)
+                counts[name] = c.copy()
+    total = {}
+    for name, c in counts.items():
+        total[name] = np.zeros(SIZE, np.int64)
+        used = np.flatnonzero(c)
+        for k in range(0, len(used), 1024):
+            part = used[k : k + 1024]
+            total[name] += c[part] @ trigrams.vectors[part].astype(np.int64)
     names = sorted(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), pa.array([total[n].tolist() for n in names], pa.list_(pa.int64()))], names=["lang", "vector"]
@@ -124,7 +123,7 @@ def prototypes(train: DataFrame) -> tuple[list[str], np.ndarray]:
     comes to the driver is one vector for each language.
     """
     rows = train.where("lang is not null and text is not null").select("text", "lang")
-    sums = rows.mapInArrow(_bundle, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("place", "value"))
+    sums = map_texts(rows, _bundle, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("place", "value"))
     sums = sums.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     vectors = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector"))
     found = sorted((r["lang"], r["vector"]) for r in vectors.collect())
@@ -165,4 +164,4 @@ def languages(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFram
     ``und`` with score 0. Other columns are ignored; no rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_nearest(names, matrix.astype(np.float32)), "doc_id long, lang_pred string, score double")
+    return map_texts(docs, _nearest(names, matrix.astype(np.float32)), "doc_id long, lang_pred string, score double")

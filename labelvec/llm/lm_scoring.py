@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from labelvec.llm.text import Texts, Words, find_words, mix, ngrams, slices
+from labelvec.llm.text import Texts, Words, find_words, map_texts, mix, ngrams, slices
 
 # Text of a block, whose distinct n-grams are asked for together, and of the share of a count partition.
 BLOCK_BYTES = 12 << 20
@@ -168,7 +168,7 @@ def score_documents(docs: DataFrame, orders: int = 2, alpha: float = ALPHA) -> D
     are ignored; no rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sums = docs.mapInArrow(_word_count, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
+    sums = map_texts(docs, _word_count, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
     all_words, size = (x or 0 for x in sums)
     blocks = max(4, -(-size // BLOCK_BYTES))
     partitions = max(4, -(-size // PARTITION_BYTES))

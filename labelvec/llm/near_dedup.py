@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelvec.llm.graph import connected_components
-from labelvec.llm.text import Texts, find_words, mix, ngrams, slices
+from labelvec.llm.text import Texts, find_words, map_texts, mix, ngrams, slices
 from labelvec.session import stage
 
 BANDS, ROWS = 42, 6
@@ -200,12 +200,12 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Data
     marks = reps.select("id", "minima")
     pairs = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(marks.toDF("a", "minima_a"), "a").join(marks.toDF("b", "minima_b"), "b")
-    pairs = stage(pairs.mapInArrow(_by_signature(least), "a long, b long"), "pairs")
+    pairs = stage(map_texts(pairs, _by_signature(least), "a long, b long"), "pairs")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     near = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
-    first = stage(near.mapInArrow(_by_sets(width, percent), "a long, b long").distinct(), "links")
+    first = stage(map_texts(near, _by_sets(width, percent), "a long, b long").distinct(), "links")
 
     known = stage(connected_components(first), "linked")
     named = buckets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = stage(
-        docs.mapInArrow(_features(width), "doc_id long, n_shingles long, digest binary, minima binary"), "minima"
+        map_texts(docs, _features(width), "doc_id long, n_shingles long, digest binary, minima binary"), "minima"
     )
     real = marked.where("doc_id is not null and n_shingles > 0")
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))

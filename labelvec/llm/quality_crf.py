@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from labelvec.llm.text import WHITE, Texts, doc_of, find_words, slices
+from labelvec.llm.text import WHITE, Texts, doc_of, find_words, map_texts, slices
 
 # Bounds of the training sample: rows of each label, and lines of a document in it.
 SAMPLE_DOCS = 2048
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     parts = [marked.where(F.col("quality") == q).orderBy("order", "doc_id").limit(SAMPLE_DOCS) for q in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # 2 * SAMPLE_DOCS rows of three numbers
     fields = "quality int, order long, length binary, own binary"
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "order", "text").mapInArrow(_sample_lines, fields)
+    rows = map_texts(docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "order", "text"), _sample_lines, fields)
     found = rows.dropDuplicates(["order"]).orderBy("order").collect()
     counted = [len(r["length"]) // 4 for r in found]
     doc = np.repeat(np.arange(len(found)), counted)
@@ -280,7 +280,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     Equal texts score alike. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_scores(model, ["doc_id"]), "doc_id long, score double")
+    return map_texts(docs, _scores(model, ["doc_id"]), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
@@ -288,4 +288,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
     columns = docs.columns
     given = docs.select(F.struct(*columns).alias("row"), "text")
     schema = StructType([given.schema["row"], StructField("score", DoubleType())])
-    return given.mapInArrow(_scores(model, ["row"]), schema).where(F.col("score") >= least).select("row.*")
+    return map_texts(given, _scores(model, ["row"]), schema).where(F.col("score") >= least).select("row.*")

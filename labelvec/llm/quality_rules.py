@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelvec.llm.text import WHITE, Texts, doc_of, find_words, mix, ngrams, powers, run_hashes, slices
+from labelvec.llm.text import WHITE, Texts, doc_of, find_words, map_texts, mix, ngrams, powers, run_hashes, slices
 from labelvec.session import stage
 
 MAX_DOCS = 20
@@ -110,7 +110,7 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: int = L
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     counts = ", ".join(f"{c} long" for c in _COUNTS)
     fields = f"row long, doc_id long, source string, {counts}, content long, line array<long>, line_words array<int>"
-    rows = stage(docs.mapInArrow(_measure, fields), "measured")
+    rows = stage(map_texts(docs, _measure, fields), "measured")
     lines = rows.select("row", "source", "content", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select(
         "row", "content", "x.line_words", F.xxhash64(F.col("source").isNull(), "source", "x.line").alias("line")
     )

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelvec.llm.text import Texts, Words, find_words, mix, ngrams, slices
+from labelvec.llm.text import Texts, Words, find_words, map_texts, mix, ngrams, slices
 from labelvec.session import stage
 
 MIN_WORDS = 50
@@ -196,7 +196,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def retained_suffixes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, at, gram): number of words and retained suffixes of every row, staged."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(docs.mapInArrow(_retain, "doc_id long, n_words long, at array<int>, gram array<long>"), "suffixes")
+    return stage(map_texts(docs, _retain, "doc_id long, n_words long, at array<int>, gram array<long>"), "suffixes")
 
 
 def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -213,12 +213,12 @@ def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = "doc_id long, at int, gram long, left int, right int, around binary"
-    contexts = texts.join(places, "doc_id").mapInArrow(_contexts, fields)
+    contexts = map_texts(texts.join(places, "doc_id"), _contexts, fields)
     hot = stage(often.where(F.col("n") > HOT_SUFFIXES).select("gram"), "hot")
     contexts = stage(contexts, "contexts")
     few = contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    spans = few.mapInArrow(_compare, "doc_id long, first int, last int")
-    windows = contexts.join(hot, "gram", "left_semi").mapInArrow(_windows, "window long, doc_id long, first int").distinct()
+    spans = map_texts(few, _compare, "doc_id long, first int, last int")
+    windows = map_texts(contexts.join(hot, "gram", "left_semi"), _windows, "window long, doc_id long, first int").distinct()
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(earliest, "window").where(F.struct("doc_id", "first") > F.col("least"))
     spans = spans.union(later.select("doc_id", "first", (F.col("first") + MIN_WORDS).alias("last")))
@@ -297,7 +297,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     spans = repeats(docs, retained_suffixes(docs))
     joined = docs.join(spans.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    out = joined.mapInArrow(_cut(docs.columns), docs.schema)
+    out = map_texts(joined, _cut(docs.columns), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -9,14 +9,18 @@ follows the longest text, not the batch.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
+# Arrow batches of texts, in the JVM and in Python workers; Spark's own default counts 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 SLICE_DOCS = 1024
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -72,6 +76,14 @@ class Words(NamedTuple):
         return np.bincount(self.doc, minlength=n_docs)
 
 
+def map_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches that suit long texts; this is set for the session."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[Texts]:
     """Cut a text column into ``Texts`` of whole texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from labelvec.llm.text import BYTE_CODES, Texts, doc_of, mix, powers, slices
+from labelvec.llm.text import BYTE_CODES, Texts, doc_of, map_texts, mix, powers, slices
 
 CHUNK = 1 << 14
 # Annotated units that a worker keeps between groups; beyond half of it they are dropped, and compiled again when met.
@@ -350,5 +350,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     are ignored; repeated rows get equal results; no rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = docs.mapInArrow(_counts(path), "doc_id long, n_bytes long, n_tokens long")
+    counted = map_texts(docs, _counts(path), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
