@@ -17,11 +17,11 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from labelvec import functions as V, sources  # noqa: E402
 from labelvec.operators import metrics as M, pairing, positions, verify  # noqa: E402
-from labelvec.plans import checkpoints, jobs, scoring  # noqa: E402
+from labelvec.plans import checkpoints, jobs, scoring, training  # noqa: E402
 from labelvec.plans.network import NetSpec, Tensors, gradient, spec_a, spec_b  # noqa: E402
 from labelvec.plans.optimizers import Adagrad, Adam  # noqa: E402
 from labelvec.plans.partials import dataset_sums  # noqa: E402
-from labelvec.plans.training import count_dense, train_mlp  # noqa: E402
+from labelvec.plans.training import count_dense  # noqa: E402
 from labelvec.session import ship_package, staging_path  # noqa: E402
 from labelvec.streaming import feed  # noqa: E402
 from labelvec.testing import write_idx_files  # noqa: E402
@@ -87,9 +87,14 @@ def formula_weights(spec: NetSpec) -> Tensors:
 
 
 def scored(
-    spark: SparkSession, sf_dir: str, spec: NetSpec, keep: tuple[str, ...] = ("sample_id", "cls")
+    spark: SparkSession,
+    sf_dir: str,
+    spec: NetSpec,
+    keep: tuple[str, ...] = ("sample_id", "cls"),
+    where: str = "true",
 ) -> DataFrame:
-    return scoring.forward(samples_of(spark, sf_dir), spec, formula_weights(spec), keep=keep)
+    rows = samples_of(spark, sf_dir).where(where)
+    return scoring.forward(rows, spec, formula_weights(spec), keep=keep)
 
 
 def batch_of(sample_id: str = "sample_id") -> Column:
@@ -292,14 +297,14 @@ def onehot_encode(spark, sf_dir):
 @query(
     sql(
         "SELECT sample_id, cls AS decoded, "
-        "list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS strongest FROM px"
+        "list_position(embedding, list_max(embedding)) - 1 AS strongest FROM px"
     )
 )
 def onehot_decode(spark, sf_dir):
     return samples_of(spark, sf_dir).select(
         "sample_id",
         V.argmax(F.col("label")).alias("decoded"),
-        V.argmax(F.slice("embedding", 1, 10)).alias("strongest"),
+        V.argmax(F.col("embedding")).alias("strongest"),
     )
 
 
@@ -352,8 +357,8 @@ SQL_HOT_LIST = "list_transform(range(10), lambda c: CAST(c = cls AS INTEGER))"
 @query(sql(f"SELECT {SQL_STATS.format('image')} FROM px"))
 def csv_decode(spark, sf_dir):
     path = staging_path(spark, "csv")
-    sources.write_csv_pair(samples_of(spark, sf_dir), path)
-    return sources.read_vectors(spark, f"{path}/images").select(*_vector_stats("vector"))
+    samples_of(spark, sf_dir).select(line_of("image").alias("value")).write.text(path)
+    return sources.read_vectors(spark, path).select(*_vector_stats("vector"))
 
 
 @query(
@@ -442,9 +447,9 @@ def split_filter(spark, sf_dir):
 # ---------------------------------------------------------------- pairing and checks
 
 
-def _ordered_text(samples: DataFrame, column: str, path: str, partitions: int) -> None:
-    """Text files whose lines, over all files in name order, follow the ids."""
-    n = count_dense(samples)
+def _ordered_text(samples: DataFrame, column: str, path: str, n: int) -> None:
+    """Text files whose lines, over all files in name order, follow the ``n`` ids; four at least."""
+    partitions = max(4, -(-n // 100_000))
     part = F.expr(f"cast(sample_id * {partitions} div {n} as int)")
     (
         samples.select("sample_id", column)
@@ -459,8 +464,9 @@ def _ordered_text(samples: DataFrame, column: str, path: str, partitions: int) -
 def pair_images_labels(spark, sf_dir):
     path = staging_path(spark, "ordered")
     samples = samples_of(spark, sf_dir)
+    n = count_dense(samples)
     for column in ("image", "label"):
-        _ordered_text(samples, column, f"{path}/{column}", 4)
+        _ordered_text(samples, column, f"{path}/{column}", n)
     pairs = sources.read_csv_pair(spark, f"{path}/image", f"{path}/label")
     return pairs.select(
         "sample_id", line_of("image").alias("image_line"), V.argmax(F.col("label")).alias("label")
@@ -488,10 +494,8 @@ def dense_ids(spark, sf_dir):
 def verify_counts(spark, sf_dir):
     path = staging_path(spark, "csv")
     sources.write_csv_pair(samples_of(spark, sf_dir), path)
-    return verify.verify_pair(
-        positions.staged_lines(spark, f"{path}/images"),
-        positions.staged_lines(spark, f"{path}/labels"),
-    )
+    found = verify.verify_text_pair(spark, f"{path}/images", f"{path}/labels")
+    return found.select("num_images", "num_labels", F.col("incomplete").alias("unmatched"))
 
 
 @query(
@@ -504,8 +508,7 @@ def verify_counts(spark, sf_dir):
 def verify_dataset(spark, sf_dir):
     path = staging_path(spark, "csv")
     jobs.store(samples_of(spark, sf_dir), path, "csv")
-    summary, _ = jobs.verify(spark, path, "csv")
-    return summary
+    return jobs.verify(spark, path, "csv")
 
 
 @query(sql(f"SELECT sample_id, {SQL_LINE} AS image_line, cls AS label FROM px ORDER BY sample_id LIMIT 10"))
@@ -650,27 +653,29 @@ def tensor_histogram(spark, sf_dir):
 
 
 def _sql_bucket(value: str) -> str:
-    return f"CAST(least(greatest(floor({value} / 0.5), -64), 63) AS BIGINT)"
+    return f"CAST(floor({value} / 0.5) AS BIGINT)"
 
 
-@query(
-    sql(
-        "SELECT tensor, bucket, count(*) AS n FROM ("
-        f"SELECT 'layer1/pre_activations' AS tensor, {_sql_bucket('pre')} AS bucket FROM hid "
-        f"UNION ALL SELECT 'layer1/activations', {_sql_bucket('h')} FROM hid "
-        f"UNION ALL SELECT 'layer2/pre_activations', {_sql_bucket('z')} FROM z) GROUP BY 1, 2",
-        "z",
-    )
+SQL_ACTIVATIONS = sql(
+    "SELECT tensor, bucket, count(*) AS n FROM ("
+    f"SELECT 'layer1/pre_activations' AS tensor, {_sql_bucket('pre')} AS bucket FROM hid "
+    f"UNION ALL SELECT 'layer1/activations', {_sql_bucket('h')} FROM hid "
+    f"UNION ALL SELECT unnest(['layer2/pre_activations', 'layer2/activations']), {_sql_bucket('z')} FROM z) "
+    "GROUP BY 1, 2",
+    "z",
 )
+
+
+@query(SQL_ACTIVATIONS)
 def activation_histogram(spark, sf_dir):
     return scoring.activation_histogram(
         samples_of(spark, sf_dir), SMALL_B, formula_weights(SMALL_B)
     )
 
 
-def _step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _step_metrics(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     """(writer, step, tag, value): loss and accuracy of each split's share of a batch."""
-    rows = scored(spark, sf_dir, SMALL_A, ("sample_id", "cls", "label", "split"))
+    rows = scored(spark, sf_dir, SMALL_A, ("sample_id", "cls", "label", "split"), where)
     loss = V.clipped_cross_entropy(F.col("label"), F.col("output"), CLASSES)
     values = rows.groupBy(F.col("split").alias("writer"), batch_of().alias("step")).agg(
         F.sum(loss).alias("loss"),
@@ -752,8 +757,7 @@ WHERE e * n + batch_id < 12 GROUP BY 1"""
 def step_limit(spark, sf_dir):
     samples = samples_of(spark, sf_dir).select("sample_id")
     n_batches = -(-count_dense(samples) // BATCH)
-    rows = feed.epoch_expand(feed.minibatch_assign(samples, BATCH), 3)
-    steps = feed.step_limit(feed.with_global_step(rows, n_batches), 12)
+    steps = feed.epochs_within(feed.minibatch_assign(samples, BATCH), n_batches, 3, 12)
     return steps.groupBy("global_step").agg(F.count("*").alias("n_rows"))
 
 
@@ -780,7 +784,7 @@ def image_samples(spark, sf_dir):
 SELECT CAST(s AS BIGINT) AS step, CASE WHEN s % 3 = 0 THEN 'eval' ELSE 'train' END AS action,
   CASE WHEN s % 3 = 0 THEN e.loss ELSE t.loss END AS loss,
   CASE WHEN s % 3 = 0 THEN e.acc ELSE t.acc END AS acc
-FROM range(0, (SELECT max(vec_id) // {BATCH} + 1 FROM embeddings)) r(s)
+FROM range(0, (SELECT n + 1 + (n - 1) // 2 FROM (SELECT max(vec_id) // {BATCH} + 1 AS n FROM embeddings))) r(s)
 LEFT JOIN steps t ON t.writer = 'train' AND t.step = s - s // 3 - 1
 LEFT JOIN tests e ON true""",
         "row_loss",
@@ -793,32 +797,21 @@ FROM row_loss l JOIN pred USING (sample_id) JOIN px USING (sample_id) WHERE spli
     )
 )
 def eval_schedule(spark, sf_dir):
-    samples = samples_of(spark, sf_dir)
-    steps = -(-count_dense(samples) // BATCH)
-    plan = feed.eval_schedule(spark, steps, 3)
-    train = _step_metrics(spark, sf_dir).where("writer = 'train'")
-    train = M.metrics_wide(train, ("loss", "acc")).select(
-        F.lit("train").alias("action"), F.col("step").alias("batch_no"), "loss", "acc"
-    )
-    test = scored(
-        spark, sf_dir, SMALL_A, ("sample_id", "cls", "label", "split")
-    ).where("split = 'test'")
+    """As many steps as it takes to train on every batch, an evaluation every third step."""
+    n_batches = -(-count_dense(samples_of(spark, sf_dir)) // BATCH)
+    plan = feed.eval_schedule(spark, feed.steps_for(n_batches, 3), 3)
+    train = _step_metrics(spark, sf_dir, "split = 'train'")
+    train = M.metrics_wide(train, ("loss", "acc")).select(F.col("step").alias("batch_no"), "loss", "acc")
+    test = scored(spark, sf_dir, SMALL_A, ("sample_id", "cls", "label"), "split = 'test'")
     loss = V.clipped_cross_entropy(F.col("label"), F.col("output"), CLASSES)
     test = test.agg(
         rounded(F.sum(loss)).alias("loss"),
         rounded(F.avg((F.col("prediction") == F.col("cls")).cast("double"))).alias("acc"),
-    ).select(F.lit("eval").alias("action"), F.lit(None).cast("bigint").alias("batch_no"), "loss", "acc")
-    values = train.union(test)
-    return (
-        plan.alias("p")
-        .join(
-            values.alias("v"),
-            (F.col("p.action") == F.col("v.action"))
-            & F.col("p.batch_no").eqNullSafe(F.col("v.batch_no")),
-            "left",
-        )
-        .select("p.step", "p.action", "v.loss", "v.acc")
     )
+    trained = plan.where("action = 'train'").join(train, "batch_no", "left").select("step", "action", "loss", "acc")
+    # the one row of the evaluation, for every step that evaluates
+    evaluated = plan.where("action = 'eval'").select("step", "action").crossJoin(F.broadcast(test))
+    return trained.union(evaluated)
 
 
 # ---------------------------------------------------------------- training
@@ -895,7 +888,7 @@ def checkpoint_roundtrip(spark, sf_dir):
     state = _adagrad_state(spark, sf_dir)
     checkpoints.save_state(spark, path, formula_weights(SMALL_A), 0, "run")
     checkpoints.save_state(spark, path, state, 1, "run")
-    step, saved = checkpoints.load_state(spark, path, tensors=len(state))
+    step, saved = checkpoints.load_state(spark, path, "run", tensors=len(state))
     return tensor_rows(spark, saved).select(F.lit(step).cast("bigint").alias("step"), "*")
 
 
@@ -921,79 +914,165 @@ def checkpoint_latest(spark, sf_dir):
         "step",
     )
     path = f"{staging_path(spark, 'model')}/weights"
-    states.write.partitionBy("step").parquet(path)
+    states.write.parquet(path)
     latest = checkpoints.latest_weights(checkpoints.read_weights(spark, path[: -len("/weights")]))
     return M.tensor_values(latest).select("step", "tensor", "i", rounded("value").alias("value"))
 
 
-def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw vectors with a label they determine: the strongest of the first ten values."""
-    rows = samples_of(spark, sf_dir)
-    strongest = V.argmax(F.slice("embedding", 1, 10))
-    return rows.select(
-        "sample_id",
-        "split",
-        F.col("embedding").alias("image"),
-        V.one_hot(strongest, CLASSES).alias("label"),
-    )
+@query(sql("SELECT sample_id, cls AS label, prediction FROM pred", "pred"))
+def score_saved(spark, sf_dir):
+    """Two runs in one folder; the weights of the right one are restored."""
+    path = staging_path(spark, "model")
+    weights = formula_weights(SMALL_A)
+    checkpoints.save_state(spark, path, {n: -w for n, w in weights.items()}, 9, "other")
+    checkpoints.save_state(spark, path, {n: 0 * w for n, w in weights.items()}, 1, "run")
+    checkpoints.save_state(spark, path, weights, 2, "run")
+    return jobs.score_saved(samples_of(spark, sf_dir), SMALL_A, path, run_id="run")
+
+
+def _training_samples(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(sample_id, image, label) of some rows, numbered anew."""
+    rows = samples_of(spark, sf_dir).where(where).select("sample_id", "image", "label")
+    numbered = positions.with_dense_id(rows, ["sample_id"], "dense")
+    return numbered.drop("sample_id").withColumnRenamed("dense", "sample_id")
+
+
+# Gradients of each batch from the same start, and their updates averaged by rows.
+_BATCH_CTES = {
+    "dh": _gradient_ctes("a")["dh"],
+    "grad": f"""
+SELECT 'hid_w' AS tensor, CAST(x.i * 8 + dh.j AS INTEGER) AS i, x.sample_id // {BATCH} AS b, sum(x.x * dh.dh) AS g, any_value(w.w) AS w
+FROM x JOIN dh ON x.sample_id = dh.sample_id JOIN hid_w w ON w.i = x.i AND w.j = dh.j GROUP BY x.i, dh.j, 3
+UNION ALL SELECT 'hid_b', CAST(dh.j AS INTEGER), dh.sample_id // {BATCH}, sum(dh.dh), any_value(b.b)
+FROM dh JOIN hid_b b ON b.j = dh.j GROUP BY dh.j, 3
+UNION ALL SELECT 'sm_w', CAST(hid.j * 10 + dz.k AS INTEGER), dz.sample_id // {BATCH}, sum(hid.h * dz.dz), any_value(w.w)
+FROM hid JOIN dz_a dz ON dz.sample_id = hid.sample_id
+JOIN sm_w w ON w.j = hid.j AND w.k = dz.k GROUP BY hid.j, dz.k, 3
+UNION ALL SELECT 'sm_b', CAST(dz.k AS INTEGER), dz.sample_id // {BATCH}, sum(dz.dz), any_value(b.b)
+FROM dz_a dz JOIN sm_b b ON b.k = dz.k GROUP BY dz.k, 3""",
+    "rows": f"SELECT sample_id // {BATCH} AS b, count(*) AS n FROM px GROUP BY 1",
+}
 
 
-@query(name="train_mlp")
-def train_mlp_epochs(spark, sf_dir):
-    """Two passes over the whole table; the loss of every step."""
-    spec = spec_a(inputs=INPUTS, divisor=1.0)
-    result = train_mlp(
-        _learnable(spark, sf_dir), spec, mode="epoch_avg", epochs=2, steps=1 << 40, seed=42
+@query(
+    sql(
+        f"""
+SELECT tensor, i, {sql_round('sum(n * (w - 0.01::DOUBLE * g / sqrt(0.1::DOUBLE + g * g))) / sum(n)')} AS value
+FROM grad JOIN rows USING (b) GROUP BY tensor, i UNION ALL
+SELECT tensor || '/Adagrad', i, {sql_round('sum(n * (0.1::DOUBLE + g * g)) / sum(n)')}
+FROM grad JOIN rows USING (b) GROUP BY tensor, i""",
+        "dz_a",
+        _BATCH_CTES,
     )
-    return M.metrics_wide(result.metrics(spark), ("loss", "acc"))
+)
+def train_mlp(spark, sf_dir):
+    """One pass over the whole table, a shard for each mini-batch, averaged."""
+    samples = samples_of(spark, sf_dir)
+    n_batches = -(-count_dense(samples) // BATCH)
+    result = training.train_mlp(
+        samples, SMALL_A, steps=n_batches, shards=n_batches, weights=formula_weights(SMALL_A)
+    )
+    return tensor_rows(spark, result.state)
 
 
-@query()
+@query(_grad_sql("a", SQL_ADAGRAD))
 def train_mlp_sync(spark, sf_dir):
-    """One pass over the whole table, a Spark job per mini-batch of a thousand."""
-    spec = spec_a(inputs=INPUTS, divisor=1.0)
-    result = train_mlp(
-        _learnable(spark, sf_dir), spec, batch_size=1000, steps=1 << 40, seed=42
+    """One step over the whole table as one batch, its gradient summed over tasks."""
+    samples = samples_of(spark, sf_dir)
+    result = training.train_mlp(
+        samples, SMALL_A, mode="sync", batch_size=count_dense(samples), steps=1, weights=formula_weights(SMALL_A)
     )
-    return M.metrics_wide(result.metrics(spark), ("loss", "acc"))
+    return tensor_rows(spark, result.state)
 
 
-@query()
-def train_eval_log(spark, sf_dir):
-    spec = spec_b(inputs=INPUTS, divisor=1.0)
-    samples = _learnable(spark, sf_dir)
-    train, test = (
-        positions.with_dense_id(samples.where(F.col("split") == s), ["sample_id"], "dense")
-        .drop("sample_id")
-        .withColumnRenamed("dense", "sample_id")
-        for s in ("train", "test")
+@query(
+    sql(
+        f"""
+SELECT split AS writer, CAST(CASE WHEN split = 'train' THEN 1 ELSE 0 END AS BIGINT) AS step,
+  {sql_round('avg(loss_b)')} AS cross_entropy, {sql_round('avg(CAST(prediction = l.cls AS INTEGER))')} AS accuracy,
+  1.0::DOUBLE AS dropout_keep_probability
+FROM row_loss l JOIN pred USING (sample_id) JOIN px USING (sample_id) GROUP BY split""",
+        "row_loss",
     )
-    result = train_mlp(train, spec, steps=12, eval_samples=test, eval_every=10, seed=1)
-    return M.metrics_wide(
-        result.metrics(spark), ("cross_entropy", "accuracy", "dropout_keep_probability")
+)
+def train_eval_log(spark, sf_dir):
+    """The log of an evaluation of the whole test split and a step over the whole train split."""
+    train, test = (_training_samples(spark, sf_dir, f"split = '{s}'") for s in ("train", "test"))
+    result = training.train_mlp(
+        train, SMALL_B, mode="sync", batch_size=count_dense(train), steps=2, eval_samples=test,
+        eval_every=2, keep_prob=1.0, weights=formula_weights(SMALL_B),
     )
+    tags = ("cross_entropy", "accuracy", "dropout_keep_probability")
+    wide = M.metrics_wide(result.metrics(spark), tags)
+    return wide.select("writer", "step", *[rounded(t).alias(t) for t in tags])
 
 
-@query()
+@query(SQL_ACTIVATIONS)
+def train_histograms(spark, sf_dir):
+    """The histograms of activations that a pass logs at its first step, over the whole table."""
+    samples = samples_of(spark, sf_dir)
+    result = training.train_mlp(
+        samples, SMALL_B, batch_size=count_dense(samples), steps=1, keep_prob=1.0, histograms=True,
+        weights=formula_weights(SMALL_B),
+    )
+    logged = result.histograms(spark).where("tag LIKE '%activations'")
+    return logged.groupBy(F.col("tag").alias("tensor"), "bucket").agg(F.sum("n").alias("n"))
+
+
+def _job_sql() -> str:
+    """Train on one split, score the other with the updated weights."""
+    test = _CTES["x"].replace("FROM px", "FROM (" + _CTES["px"] + " WHERE vec_id % 5 = 0)")
+    update = f"(SELECT * FROM ({SQL_ADAGRAD}))"
+    cell = "CAST(i AS BIGINT)"
+    extra = {
+        **_gradient_ctes("a"),
+        "new": f"SELECT * FROM {update}",
+        "xt": test,
+        "pre2": f"""
+SELECT sample_id, cls, j, s + value AS pre FROM (
+  SELECT xt.sample_id, xt.cls, w.i % 8 AS j, sum(xt.x * w.value) AS s
+  FROM xt JOIN new w ON w.tensor = 'hid_w' AND w.i // 8 = xt.i GROUP BY ALL) p
+JOIN new b ON b.tensor = 'hid_b' AND {cell.replace('i AS', 'b.i AS')} = p.j""",
+        "z2": f"""
+SELECT sample_id, cls, k, s + value AS z FROM (
+  SELECT h.sample_id, h.cls, w.i % 10 AS k, sum(greatest(h.pre, 0.0) * w.value) AS s
+  FROM pre2 h JOIN new w ON w.tensor = 'sm_w' AND w.i // 10 = h.j GROUP BY ALL) p
+JOIN new b ON b.tensor = 'sm_b' AND {cell.replace('i AS', 'b.i AS')} = p.k""",
+        "pred2": """
+SELECT sample_id, cls, k AS prediction FROM z2
+QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY z DESC, k) = 1""",
+    }
+    select = f"""
+SELECT cls AS label, count(*) AS n, CAST(sum(CAST(prediction = cls AS INTEGER)) AS BIGINT) AS hits,
+  (SELECT count(*) FROM embeddings WHERE vec_id % 5 <> 0) AS num_train,
+  (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0) AS num_test
+FROM pred2 GROUP BY cls"""
+    whole = sql(select, "dz_a", extra)
+    return whole.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 5 <> 0)", 1)
+
+
+@query(_job_sql())
 def ingest_train_score(spark, sf_dir):
-    """Raw files to predictions: convert, verify, train, score."""
+    """Raw files to predictions: convert, verify, train one step over the split, score the other."""
     path = staging_path(spark, "job")
-    samples = samples_of(spark, sf_dir).withColumn("label", F.col("cls"))
     raw = {}
     for split in ("train", "test"):
-        part = positions.with_dense_id(
-            samples.where(F.col("split") == split).select("sample_id", "image", "label"),
-            ["sample_id"],
-            "dense",
+        part = samples_of(spark, sf_dir).where(F.col("split") == split).withColumn("label", F.col("cls"))
+        rows = positions.with_dense_id(part.select("sample_id", "image", "label"), ["sample_id"], "dense")
+        write_idx_files(
+            rows.select(F.col("dense").alias("sample_id"), "image", "label"), f"{path}/raw/{split}", SIDE, SIDE
         )
-        rows = part.select(F.col("dense").alias("sample_id"), "image", "label")
-        write_idx_files(rows, f"{path}/raw/{split}", SIDE, SIDE)
         raw[split] = (f"{path}/raw/{split}/images", f"{path}/raw/{split}/labels")
+    rows = samples_of(spark, sf_dir).where("split = 'train'").count()
     result = jobs.run_job(
-        spark, raw, f"{path}/out", spec_a(inputs=INPUTS, centered=True),
-        mode="epoch_avg", epochs=1, steps=1 << 40,
+        spark, raw, f"{path}/out", SMALL_A, batch_size=rows, steps=1, weights=formula_weights(SMALL_A)
+    )
+    hits = (F.col("prediction") == F.col("label")).cast("bigint")
+    return result.predictions.groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.sum(hits).alias("hits"),
+        *[F.lit(result.verified[s]["num_images"]).cast("bigint").alias(f"num_{s}") for s in ("train", "test")],
     )
-    return result.predictions.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- text operators

@@ -32,7 +32,7 @@ def unit_offsets(staged: DataFrame) -> DataFrame:
 
     Only the position columns are read. The unpartitioned window orders one row per
     split or write task (under a million for 100 TB), never data rows. The result is
-    kept, since counts, checks and the join all use it.
+    staged, since counts, checks and the join all use it.
     """
     units = staged.groupBy(*UNIT).agg(F.count("*").alias("_rows"), F.min(ROW).alias("_first"))
     before = Window.orderBy(*UNIT).rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +42,7 @@ def unit_offsets(staged: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"),
     )
     file_base = F.min("_base").over(Window.partitionBy("_file"))
-    return units.withColumn("_in_file", F.col("_base") - file_base).persist()
+    return stage(units.withColumn("_in_file", F.col("_base") - file_base), "offsets")
 
 
 def numbered(

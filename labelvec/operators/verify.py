@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelvec.operators.pairing import part_counts
 from labelvec.operators.positions import unit_offsets
@@ -30,6 +30,30 @@ def verify_pair(images: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def verify_text_pair(spark: SparkSession, images: str, labels: str) -> DataFrame:
+    """One row for two folders of lines: counts, vector lengths, and lines without a partner.
+
+    Files pair by their rank, so one row for each file says it all; nothing is joined line by line.
+    """
+
+    def files(path: str, name: str) -> DataFrame:
+        length = F.size(F.split("value", ","))
+        found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.count("*").alias(name), F.min(length).alias(f"{name}_min"), F.max(length).alias(f"{name}_max")
+        )
+        return found.withColumn("part", F.row_number().over(Window.orderBy("file"))).drop("file")
+
+    both = files(images, "n_images").join(files(labels, "n_labels"), "part", "full")
+    zero = [F.coalesce(c, F.lit(0)) for c in ("n_images", "n_labels")]
+    return both.agg(
+        F.sum("n_images").alias("num_images"),
+        F.sum("n_labels").alias("num_labels"),
+        F.min("n_images_min").alias("min_dim"),
+        F.max("n_images_max").alias("max_dim"),
+        F.sum(F.abs(zero[0] - zero[1])).alias("incomplete"),
+    )
+
+
 def sample_head(samples: DataFrame, n: int = 10) -> DataFrame:
     return samples.orderBy("sample_id").limit(n)
 

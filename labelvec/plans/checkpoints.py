@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelvec.plans.network import Tensors
+from labelvec.sources.files import remove_path
 
 WEIGHTS_SCHEMA = (
     "run_id string, tensor string, shape array<int>, data array<double>, step bigint"
@@ -15,26 +16,42 @@ WEIGHTS_SCHEMA = (
 METRICS_SCHEMA = (
     "run_id string, writer string, step bigint, tag string, value double, upto bigint"
 )
-REPORTS_SCHEMA = "run_id string, sample_id bigint, label int, prediction int, step bigint"
+REPORTS_SCHEMA = (
+    "run_id string, sample_id bigint, label int, prediction int, step bigint, upto bigint"
+)
 HISTOGRAMS_SCHEMA = (
     "run_id string, writer string, step bigint, tag string, bucket bigint, width double, "
     "n bigint, upto bigint"
 )
 
 
-def _replace_partition(df: DataFrame, path: str, column: str) -> None:
-    """Write one partition; writing it again after a restart replaces it."""
+IMAGES_SCHEMA = (
+    "run_id string, batch_id bigint, step bigint, image_no int, sample_id bigint, image array<array<int>>"
+)
+TABLES = ("weights", "metrics", "histograms", "reports", "images")
+
+
+def _replace_partition(df: DataFrame, path: str, *columns: str) -> None:
+    """Write partitions of one run; writing them again after a restart replaces them."""
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(column)
+        .partitionBy("run_id", *columns)
         .parquet(path)
     )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def drop_run(spark: SparkSession, model_dir: str, run_id: str) -> None:
+    """Remove one run from a model folder; others stay."""
+    for table in TABLES:
+        remove_path(spark, f"{model_dir}/{table}/run_id={run_id}")
+
+
+def _read(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:
+    """Rows of one run, or of all."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        return rows if run_id is None else rows.where(F.col("run_id") == run_id)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -64,12 +81,12 @@ def save_state(spark: SparkSession, model_dir: str, state: Tensors, step: int, r
     _replace_partition(frame, f"{model_dir}/weights", "step")
 
 
-def read_weights(spark: SparkSession, model_dir: str) -> DataFrame:
-    return _read(spark, f"{model_dir}/weights", WEIGHTS_SCHEMA)
+def read_weights(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
+    return _read(spark, f"{model_dir}/weights", WEIGHTS_SCHEMA, run_id)
 
 
 def latest_step(weights: DataFrame, tensors: int = 1) -> int | None:
-    """Highest step that has all its tensors; a save cut short does not count."""
+    """Highest step of a run's weights that has all its tensors; a save cut short does not count."""
     steps = weights.groupBy("step").agg(F.countDistinct("tensor").alias("n"))
     return steps.where(F.col("n") >= tensors).agg(F.max("step")).first()[0]
 
@@ -80,9 +97,10 @@ def latest_weights(weights: DataFrame, tensors: int = 1) -> DataFrame:
 
 
 def load_state(
-    spark: SparkSession, model_dir: str, tensors: int = 1, step: int | None = None
+    spark: SparkSession, model_dir: str, run_id: str, tensors: int = 1, step: int | None = None
 ) -> tuple[int, Tensors] | None:
-    weights = read_weights(spark, model_dir)
+    """(step, tensors) of a run: its latest complete step, or the given one."""
+    weights = read_weights(spark, model_dir, run_id)
     if step is None:
         step = latest_step(weights, tensors)
     if step is None:
@@ -104,21 +122,34 @@ def write_metrics(metrics: DataFrame, model_dir: str, run_id: str, upto: int) ->
     _replace_partition(frame, f"{model_dir}/metrics", "upto")
 
 
-def read_metrics(spark: SparkSession, model_dir: str) -> DataFrame:
-    return _read(spark, f"{model_dir}/metrics", METRICS_SCHEMA).drop("upto")
+def read_metrics(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
+    return _read(spark, f"{model_dir}/metrics", METRICS_SCHEMA, run_id).drop("upto")
 
 
-def write_report(predictions: DataFrame, model_dir: str, run_id: str, step: int) -> None:
-    """(sample_id, label, prediction) of the batch of one step."""
+def write_report(predictions: DataFrame, model_dir: str, run_id: str, upto: int) -> None:
+    """(sample_id, label, prediction, step) of the batches of reported steps before ``upto``."""
     frame = predictions.select(
         F.lit(run_id).alias("run_id"), "sample_id", "label", "prediction",
-        F.lit(step).cast("bigint").alias("step"),
+        F.col("step").cast("bigint").alias("step"), F.lit(upto).cast("bigint").alias("upto"),
+    )
+    _replace_partition(frame, f"{model_dir}/reports", "upto")
+
+
+def read_reports(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
+    return _read(spark, f"{model_dir}/reports", REPORTS_SCHEMA, run_id).drop("upto")
+
+
+def write_images(images: DataFrame, model_dir: str, run_id: str) -> None:
+    """(batch_id, step, image_no, sample_id, image) of the logged steps of a run."""
+    frame = images.select(
+        F.lit(run_id).alias("run_id"), "batch_id", "step", "image_no", "sample_id",
+        F.col("image").cast("array<array<int>>").alias("image"),
     )
-    _replace_partition(frame, f"{model_dir}/reports", "step")
+    _replace_partition(frame, f"{model_dir}/images")
 
 
-def read_reports(spark: SparkSession, model_dir: str) -> DataFrame:
-    return _read(spark, f"{model_dir}/reports", REPORTS_SCHEMA)
+def read_images(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
+    return _read(spark, f"{model_dir}/images", IMAGES_SCHEMA, run_id)
 
 
 def write_histograms(histograms: DataFrame, model_dir: str, run_id: str, upto: int) -> None:
@@ -129,5 +160,5 @@ def write_histograms(histograms: DataFrame, model_dir: str, run_id: str, upto: i
     _replace_partition(frame, f"{model_dir}/histograms", "upto")
 
 
-def read_histograms(spark: SparkSession, model_dir: str) -> DataFrame:
-    return _read(spark, f"{model_dir}/histograms", HISTOGRAMS_SCHEMA).drop("upto")
+def read_histograms(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
+    return _read(spark, f"{model_dir}/histograms", HISTOGRAMS_SCHEMA, run_id).drop("upto")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from labelvec.functions import one_hot
+from labelvec.functions import argmax, one_hot
 from labelvec.operators.positions import with_dense_id
-from labelvec.operators.verify import sample_head, verify_samples
+from labelvec.operators.verify import sample_head, verify_samples, verify_text_pair
 from labelvec.plans import checkpoints
 from labelvec.plans.network import NetSpec, Tensors
 from labelvec.plans.scoring import predict
@@ -36,14 +36,20 @@ def _check_format(fmt: str) -> None:
         raise ValueError(f"unknown format {fmt!r}, expected one of {', '.join(FORMATS)}")
 
 
-def store(samples: DataFrame, path: str, fmt: str = "csv", partitions: int = 10) -> None:
+def class_of(label: Column) -> Column:
+    """Class index of a one-hot vector; anything else is an error."""
+    one_hot_ = (F.size(F.filter(label, lambda v: v != 0)) == 1) & (F.array_max(label) == 1)
+    wrong = F.raise_error(F.concat(F.lit("not a one-hot label: "), label.cast("string")))
+    return F.when(one_hot_, argmax(label)).otherwise(wrong.cast("int"))
+
+
+def store(samples: DataFrame, path: str, fmt: str = "csv", partitions: int | None = None) -> None:
     """Write (sample_id, image, one-hot label) in one of the formats, replacing ``path``."""
     _check_format(fmt)
     if fmt == "csv":
         write_csv_pair(samples, path, partitions)
     elif fmt == "csv2":
-        classes = F.array_position("label", F.lit(1.0)) - 1
-        write_combined(samples.withColumn("label", classes), path, partitions)
+        write_combined(samples.withColumn("label", class_of(F.col("label"))), path, partitions)
     elif fmt == "pickle":
         write_pickle_pair(samples, path, partitions)
     elif fmt == "parquet":
@@ -80,24 +86,25 @@ def convert_raw(
     labels: str | list[str],
     path: str,
     fmt: str = "csv",
-    partitions: int = 10,
+    partitions: int | None = None,
 ) -> None:
     """Raw image and label files to a stored data set; nothing passes the driver."""
     store(read_idx_pair(spark, images, labels), path, fmt, partitions)
 
 
-def verify(
-    spark: SparkSession, path: str, fmt: str = "csv", trusted: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Counts of what was stored, and its first ten samples."""
-    samples = load(spark, path, fmt, trusted=trusted)
-    return verify_samples(samples), sample_head(samples)
+def verify(spark: SparkSession, path: str, fmt: str = "csv", trusted: bool = False) -> DataFrame:
+    """One row about what was stored: counts, vector lengths, rows that lack one half."""
+    if fmt == "csv":
+        return verify_text_pair(spark, f"{path}/images", f"{path}/labels")
+    return verify_samples(load(spark, path, fmt, trusted=trusted))
 
 
 @dataclass
 class JobResult:
-    verified: DataFrame
-    head: DataFrame
+    """``verified`` and ``head`` are values by split: they were read back before training."""
+
+    verified: dict[str, Row]
+    head: dict[str, list[Row]]
     training: TrainResult
     predictions: DataFrame
 
@@ -108,27 +115,31 @@ def run_job(
     out: str,
     spec: NetSpec,
     fmt: str = "csv",
-    partitions: int = 10,
+    partitions: int | None = None,
     trusted: bool = False,
     **training,
 ) -> JobResult:
     """Convert the ``train`` and ``test`` raw files, verify, train, score the test split.
 
-    ``raw`` maps a split to its image and label paths. Below ``out``: the data set
-    per split, ``native`` (training input), ``model`` and ``predictions``.
+    ``raw`` maps a split to its image and label paths. Each raw file is decoded once, into
+    ``<out>/native``; training, scoring and the data set in ``fmt`` (``<out>/<split>``) come from that table.
+    Also below ``out``: ``model``, ``predictions`` and ``prediction_lines``.
     """
+    verified, head = {}, {}
     for split, (images, labels) in raw.items():
-        convert_raw(spark, images, labels, f"{out}/{split}", fmt, partitions)
-    samples = load(spark, f"{out}/train", fmt, spec.classes, trusted)
-    if fmt != "parquet":
-        # Training reads ranges of ids, which only the native layout can prune.
-        write_samples(samples, f"{out}/native/train", partitions)
-        samples = read_samples(spark, f"{out}/native/train")
-    verified, head = verify_samples(samples), sample_head(samples)
-    training.setdefault("layout", "scan")
-    result = train_mlp(samples, spec, model_dir=f"{out}/model", **training)
-    test = load(spark, f"{out}/test", fmt, spec.classes, trusted)
-    predictions = predict(test, spec, result.weights)
+        native = f"{out}/native/{split}"
+        write_samples(read_idx_pair(spark, images, labels, spec.classes), native, partitions)
+        samples = read_samples(spark, native)
+        if fmt != "parquet":
+            store(samples, f"{out}/{split}", fmt, partitions)
+        stored = native if fmt == "parquet" else f"{out}/{split}"
+        verified[split] = verify(spark, stored, fmt, trusted).first()
+        head[split] = sample_head(samples.select("sample_id", "image", "label")).collect()
+        if verified[split]["incomplete"] or verified[split]["num_images"] != samples.count():
+            raise ValueError(f"{stored} does not hold what was read: {verified[split]}")
+    train = read_samples(spark, f"{out}/native/train")
+    result = train_mlp(train, spec, model_dir=f"{out}/model", **training)
+    predictions = predict(read_samples(spark, f"{out}/native/test"), spec, result.weights)
     predictions.write.mode("overwrite").parquet(f"{out}/predictions")
     stored = spark.read.parquet(f"{out}/predictions")
     write_predictions(stored, f"{out}/prediction_lines")
@@ -136,12 +147,12 @@ def run_job(
 
 
 def score_saved(
-    samples: DataFrame, spec: NetSpec, model_dir: str, input_column: str = "image"
+    samples: DataFrame, spec: NetSpec, model_dir: str, run_id: str = "train", input_column: str = "image"
 ) -> DataFrame:
-    """Predictions with the latest complete checkpoint of a model folder."""
-    saved = checkpoints.load_state(samples.sparkSession, model_dir, tensors=len(spec.names))
+    """Predictions with the latest complete checkpoint of a run."""
+    saved = checkpoints.load_state(samples.sparkSession, model_dir, run_id, tensors=len(spec.names))
     if saved is None:
-        raise FileNotFoundError(f"no checkpoint under {model_dir}")
+        raise FileNotFoundError(f"no checkpoint of {run_id} under {model_dir}")
     _, state = saved
     weights: Tensors = {name: state[name] for name in spec.names}
     return predict(samples, spec, weights, input_column)

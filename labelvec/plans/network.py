@@ -23,9 +23,8 @@ NAMES = {
     "a": ("hid_w", "hid_b", "sm_w", "sm_b"),
     "b": ("layer1/weights", "layer1/biases", "layer2/weights", "layer2/biases"),
 }
-# Histogram buckets of activations while training: width, and bucket count on each side of 0.
+# Width of the histogram buckets of activations.
 HIST_WIDTH = 0.5
-HIST_SIDE = 64
 
 
 @dataclass(frozen=True)
@@ -163,10 +162,20 @@ def _logit_gradient(spec: NetSpec, logits: np.ndarray, y: np.ndarray) -> np.ndar
 
 
 def bucket_counts(values: np.ndarray, width: float = HIST_WIDTH) -> np.ndarray:
-    """Counts per fixed-width bucket; the two end buckets also take what lies beyond."""
-    index = np.floor(values.ravel() / width).astype(np.int64)
-    index = np.clip(index, -HIST_SIDE, HIST_SIDE - 1) + HIST_SIDE
-    return np.bincount(index, minlength=2 * HIST_SIDE).astype(np.float64)
+    """(bucket, count) rows of all fixed-width buckets that hold a value, however far from 0."""
+    index, counts = np.unique(np.floor(values.ravel() / width).astype(np.int64), return_counts=True)
+    return np.stack([index, counts], axis=1)
+
+
+def activation_counts(pre: np.ndarray, logits: np.ndarray) -> Tensors:
+    """Bucket counts of both layers before and after activation; the second layer's is the identity."""
+    last = bucket_counts(logits)
+    return {
+        "hist:layer1/pre_activations": bucket_counts(pre),
+        "hist:layer1/activations": bucket_counts(np.maximum(pre, 0.0)),
+        "hist:layer2/pre_activations": last,
+        "hist:layer2/activations": last,
+    }
 
 
 def batch_sums(
@@ -193,9 +202,7 @@ def batch_sums(
         **metric_sums(spec, logits, y),
     }
     if histograms:
-        sums["hist:layer1/pre_activations"] = bucket_counts(pre)
-        sums["hist:layer1/activations"] = bucket_counts(np.maximum(pre, 0.0))
-        sums["hist:layer2/pre_activations"] = bucket_counts(logits)
+        sums |= activation_counts(pre, logits)
     return sums
 
 

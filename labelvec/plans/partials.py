@@ -1,8 +1,10 @@
 """Sums of tensors over all tasks of a job.
 
-A task emits each tensor once, cut into blocks. Partials are added up in levels of
-``FAN_IN``, spread over tensors and blocks, until what is left fits the driver;
-within a group they are added in task order, so a fixed layout gives a fixed sum.
+A task emits each tensor once, cut into blocks. Partials are added up by executors in
+levels of ``FAN_IN``, spread over tensors and blocks, so the driver gets one model's worth of
+values whatever the number of tasks; within a group they are added in task order, so a
+fixed layout gives a fixed sum. Histograms (``hist:`` tensors) are sparse: the block
+number is the bucket.
 """
 
 from __future__ import annotations
@@ -11,32 +13,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from labelvec.operators.batches import matrix
 from labelvec.plans.network import NetSpec, Tensors, batch_sums, dropout_factors
 
-SCHEMA = "part int, tensor string, block int, step bigint, data array<double>"
-BLOCK_VALUES = 1 << 16
+SCHEMA = "part int, tensor string, block bigint, step bigint, data array<double>"
+BLOCK_VALUES = 3 << 14  # a multiple of 3, for the triples of reports
 FAN_IN = 32
-DRIVER_BYTES = 64 << 20
+HISTOGRAM = "hist:"
 
 
 def partial_rows(tensors: Tensors, step: int | None = None) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for name, tensor in tensors.items():
-        values = np.ascontiguousarray(tensor, dtype=np.float64).ravel()
-        for block, start in enumerate(range(0, len(values), BLOCK_VALUES)):
-            data = values[start : start + BLOCK_VALUES]
+        if name.startswith(HISTOGRAM):
+            blocks, values, size = tensor[:, 0], tensor[:, 1].astype(np.float64), 1
+        else:
+            values, size = np.ascontiguousarray(tensor, dtype=np.float64).ravel(), BLOCK_VALUES
+            blocks = np.arange(-(-len(values) // size))
+        for low in range(0, len(blocks), 1024):
+            numbers = blocks[low : low + 1024]
+            data = values[low * size : (low + len(numbers)) * size]
+            edges = np.minimum(np.arange(len(numbers) + 1) * size, len(data))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()),
-                    pa.array([name]),
-                    pa.array([block], pa.int32()),
-                    pa.array([step], pa.int64()),
-                    pa.ListArray.from_arrays(np.array([0, len(data)], np.int32), data),
+                    pa.array([part] * len(numbers), pa.int32()),
+                    pa.array([name] * len(numbers)),
+                    pa.array(numbers, pa.int64()),
+                    pa.array([step] * len(numbers), pa.int64()),
+                    pa.ListArray.from_arrays(edges.astype(np.int32), data),
                 ],
                 names=["part", "tensor", "block", "step", "data"],
             )
@@ -44,7 +51,15 @@ def partial_rows(tensors: Tensors, step: int | None = None) -> Iterator[pa.Recor
 
 def add_into(total: Tensors, sums: Tensors) -> None:
     for name, value in sums.items():
-        total[name] = total[name] + value if name in total else value
+        if name not in total:
+            total[name] = value
+        elif isinstance(name, str) and name.startswith(HISTOGRAM):
+            rows = np.concatenate([total[name], value])
+            buckets, which = np.unique(rows[:, 0], return_inverse=True)
+            counts = np.bincount(which, rows[:, 1]).astype(np.int64)
+            total[name] = np.stack([buckets, counts], axis=1)
+        else:
+            total[name] = total[name] + value
 
 
 def _add_rows(table: pa.Table) -> np.ndarray:
@@ -63,7 +78,7 @@ def _add_group(table: pa.Table) -> pa.Table:
         {
             "part": pa.array([first["group"][0]], pa.int32()),
             "tensor": first["tensor"],
-            "block": pa.array(first["block"], pa.int32()),
+            "block": pa.array(first["block"], pa.int64()),
             "step": pa.array([None], pa.int64()),
             "data": pa.ListArray.from_arrays(np.array([0, len(total)], np.int32), total),
         }
@@ -72,25 +87,22 @@ def _add_group(table: pa.Table) -> pa.Table:
 
 def sum_table(rows: pa.Table) -> Tensors:
     """Flat sums by tensor name of partials that already sit on the driver."""
-    result: dict[str, dict[int, np.ndarray]] = {}
-    for name, block in sorted(set(zip(rows["tensor"].to_pylist(), rows["block"].to_pylist()))):
-        same = pc.and_(pc.equal(rows["tensor"], name), pc.equal(rows["block"], block))
-        result.setdefault(name, {})[block] = _add_rows(rows.filter(same))
+    blocks: dict[str, dict[int, np.ndarray]] = {}
+    rows = rows.sort_by([("tensor", "ascending"), ("block", "ascending"), ("part", "ascending")])
+    data = rows["data"].combine_chunks()
+    for i, (name, block) in enumerate(zip(rows["tensor"].to_pylist(), rows["block"].to_pylist())):
+        add_into(blocks.setdefault(name, {}), {block: data[i].values.to_numpy()})
     return {
-        name: np.concatenate([blocks[b] for b in sorted(blocks)])
-        for name, blocks in result.items()
+        name: np.array([(b, v[0]) for b, v in found.items()], np.int64).reshape(-1, 2)
+        if name.startswith(HISTOGRAM)
+        else np.concatenate(list(found.values()))
+        for name, found in blocks.items()
     }
 
 
-def fits_driver(n_parts: int, part_bytes: int, driver_bytes: int = DRIVER_BYTES) -> bool:
-    return n_parts <= 1 or n_parts * part_bytes <= driver_bytes
-
-
-def sum_partials(
-    partials: DataFrame, n_parts: int, part_bytes: int, driver_bytes: int = DRIVER_BYTES
-) -> Tensors:
-    """Flat sums by tensor name. ``part_bytes`` is what one task emits."""
-    while not fits_driver(n_parts, part_bytes, driver_bytes):
+def sum_partials(partials: DataFrame, n_parts: int) -> Tensors:
+    """Flat sums by tensor name of what ``n_parts`` tasks emit."""
+    while n_parts > 1:
         partials = (
             partials.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("int"))
             .groupBy("group", "tensor", "block")
@@ -100,10 +112,6 @@ def sum_partials(
     return sum_table(partials.toArrow())
 
 
-def model_bytes(spec: NetSpec, copies: int = 1) -> int:
-    return copies * 8 * sum(int(np.prod(shape)) for shape in spec.shapes.values())
-
-
 def gradient_partials(
     df: DataFrame,
     spec: NetSpec,
@@ -149,7 +157,7 @@ def dataset_sums(
     partials = gradient_partials(df, spec, shared, input_column, **options).persist()
     try:
         n_parts = (partials.agg(F.max("part")).first()[0] or 0) + 1
-        return sum_partials(partials, n_parts, model_bytes(spec))
+        return sum_partials(partials, n_parts)
     finally:
         partials.unpersist()
-        shared.unpersist()
+        shared.destroy()

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from labelvec.functions import argmax
 from labelvec.operators.batches import apply_batches, list_column, matrix
 from labelvec.plans.network import (
-    HIST_SIDE,
     NetSpec,
     Tensors,
-    bucket_counts,
+    activation_counts,
     layers,
     outputs,
 )
@@ -74,25 +73,11 @@ def activation_histogram(
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = spec.prepare(matrix(batch.column(input_column), spec.inputs))
-        pre, hidden, logits = layers(spec, shared.value, x)
-        names, buckets, counts = [], [], []
-        for name, values in (
-            ("layer1/pre_activations", pre),
-            ("layer1/activations", hidden),
-            ("layer2/pre_activations", logits),
-        ):
-            n = bucket_counts(values)
-            used = np.flatnonzero(n)
-            names += [name] * len(used)
-            buckets.append(used - HIST_SIDE)
-            counts.append(n[used])
-        return pa.RecordBatch.from_pydict(
-            {
-                "tensor": names,
-                "bucket": np.concatenate(buckets).astype(np.int64),
-                "n": np.concatenate(counts).astype(np.int64),
-            }
-        )
+        pre, _, logits = layers(spec, shared.value, x)
+        found = activation_counts(pre, logits)
+        rows = np.concatenate(list(found.values()))
+        names = [name.removeprefix("hist:") for name, counts in found.items() for _ in counts]
+        return pa.RecordBatch.from_pydict({"tensor": names, "bucket": rows[:, 0], "n": rows[:, 1]})
 
     partial = apply_batches(df, count, "tensor string, bucket bigint, n bigint")
     return partial.groupBy("tensor", "bucket").agg(F.sum("n").alias("n"))

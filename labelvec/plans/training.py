@@ -1,11 +1,11 @@
 """Training jobs. The driver holds the weights, the executors hold the data.
 
-``sync``       one global mini-batch after the other. A large batch is one Spark job:
-               tasks sum gradients, the driver updates. Batches small enough for one
-               task are chained, many steps to a job, with the same result.
-``epoch_avg``  one job per epoch: every task runs its own mini-batches from the same
-               start, and the results are averaged by the number of rows seen
-               (Zinkevich et al., 2010). The choice for large data.
+``epoch_avg``  one job per epoch, the default: every shard of the batches runs its own
+               mini-batches from the same start, and the results are averaged by the number of
+               rows seen (Zinkevich et al., 2010). Shards follow from the number of batches, so
+               results don't depend on the cluster.
+``sync``       one global mini-batch after the other. Each is one Spark job: tasks sum
+               gradients, the driver updates.
 """
 
 from __future__ import annotations
@@ -15,14 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelvec.operators.batches import matrix
 from labelvec.plans import checkpoints
 from labelvec.plans.network import (
-    HIST_SIDE,
     HIST_WIDTH,
     NetSpec,
     Tensors,
@@ -38,22 +36,28 @@ from labelvec.plans.network import (
 )
 from labelvec.plans.optimizers import Adagrad, Adam, default_optimizer
 from labelvec.plans.partials import (
+    HISTOGRAM,
     SCHEMA,
     add_into,
     gradient_partials,
-    model_bytes,
-    fits_driver,
     partial_rows,
     sum_partials,
-    sum_table,
 )
-from labelvec.plans.scoring import predict
-from labelvec.session import staging_path
-from labelvec.streaming.feed import BatchFeed, feed_range, schedule
+from labelvec.plans.scoring import activation_histogram, predict
+from labelvec.session import MAX_MODEL_BYTES, stage, staging_path
+from labelvec.sources.columnar import read_samples, write_samples
+from labelvec.streaming.feed import (
+    BatchFeed,
+    feed_range,
+    image_samples,
+    minibatch_assign,
+    schedule,
+    steps_of,
+)
 
 WEIGHT_HIST_WIDTH = 0.02
-# An epoch that logs more batches than this writes its metrics from the executors.
-DRIVER_LOG_ROWS = 10_000
+# Mini-batches that one shard trains on one after the other; a lost task repeats no more.
+SHARD_BATCHES = 64
 LOG_SCHEMA = "writer string, step bigint, tag string, value double"
 # Tags under which the weights of kind a are drawn as histograms.
 HIST_TAGS_A = {"hid_w": "hidden_weights", "sm_w": "softmax_weights"}
@@ -65,19 +69,23 @@ class TrainResult:
     state: Tensors
     step: int
     model_dir: str
+    run_id: str
 
     @property
     def weights(self) -> Tensors:
         return {name: self.state[name] for name in self.spec.names}
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return checkpoints.read_metrics(spark, self.model_dir)
+        return checkpoints.read_metrics(spark, self.model_dir, self.run_id)
 
     def reports(self, spark: SparkSession) -> DataFrame:
-        return checkpoints.read_reports(spark, self.model_dir)
+        return checkpoints.read_reports(spark, self.model_dir, self.run_id)
 
     def histograms(self, spark: SparkSession) -> DataFrame:
-        return checkpoints.read_histograms(spark, self.model_dir)
+        return checkpoints.read_histograms(spark, self.model_dir, self.run_id)
+
+    def images(self, spark: SparkSession) -> DataFrame:
+        return checkpoints.read_images(spark, self.model_dir, self.run_id)
 
 
 @dataclass(frozen=True)
@@ -97,22 +105,27 @@ class _Job:
     run_id: str
     log_every: int
     histograms: bool
+    report_every: int | None
 
 
 def count_dense(samples: DataFrame) -> int:
-    """Row count; ids have to be 0..n-1, since batches are cut by id."""
-    n, low, high, total = samples.agg(
-        F.count("*"),
-        F.min("sample_id"),
-        F.max("sample_id"),
-        F.sum(F.col("sample_id").cast("decimal(38,0)")),
+    """Row count; ids have to be 0..n-1, each once, since batches are cut by id.
+
+    Exact, by a bitmap for every 2**15 ids, which is combined before the shuffle.
+    """
+    ids = samples.select(F.col("sample_id").cast("bigint").alias("id"))
+    blocks = ids.groupBy(F.bitmap_bucket_number("id").alias("block")).agg(
+        F.count("*").alias("rows"),
+        F.max("id").alias("last"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("id"))).alias("ids"),
+    )
+    n, distinct, last, low = blocks.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)), F.sum("ids"), F.max("last"), F.min("block")
     ).first()
     if n == 0:
         raise ValueError("no samples")
-    if low != 0 or high != n - 1 or total != n * (n - 1) // 2:
-        raise ValueError(
-            f"{n} rows with ids {low}..{high}: number them 0..n-1 first (with_dense_id)"
-        )
+    if distinct != n or last != n - 1 or low < 0 or ids.where("id < 0 OR id IS NULL").limit(1).count():
+        raise ValueError(f"{n} rows with {distinct} ids up to {last}: number them 0..n-1 first (with_dense_id)")
     return n
 
 
@@ -120,7 +133,7 @@ def train_mlp(
     samples: DataFrame,
     spec: NetSpec,
     *,
-    mode: str = "sync",
+    mode: str = "epoch_avg",
     epochs: int = 1,
     batch_size: int = 100,
     steps: int = 1000,
@@ -128,6 +141,7 @@ def train_mlp(
     keep_prob: float | None = None,
     seed: int = 0,
     input_column: str = "image",
+    weights: Tensors | None = None,
     model_dir: str | None = None,
     resume: bool = False,
     checkpoint_every: int = 100,
@@ -136,8 +150,10 @@ def train_mlp(
     eval_samples: DataFrame | None = None,
     eval_every: int = 10,
     report_every: int | None = None,
-    partitions: int | None = None,
-    layout: str = "batches",
+    image_shape: tuple[int, int] | None = None,
+    images_per_step: int = 3,
+    shards: int | None = None,
+    tasks: int | None = None,
     run_id: str = "train",
 ) -> TrainResult:
     """Train on (sample_id, image, label) with dense ids and one-hot labels.
@@ -145,20 +161,20 @@ def train_mlp(
     Stops after ``epochs`` passes or ``steps`` batches, whichever comes first. With
     ``eval_samples`` (sync only), every ``eval_every``-th step scores them instead
     of training, and the batches cycle until ``steps`` is reached. With
-    ``report_every`` (sync only), the rows of every such step's batch are scored with
-    the updated weights and kept as ``reports``. ``resume`` goes on from the latest
-    complete checkpoint in ``model_dir``.
-
-    ``layout`` is for ``epoch_avg``: "batches" shuffles once so that each batch lies
-    in one task; "scan" trains along the stored order, without a shuffle, and needs
-    a table that ``write_samples`` laid out by id.
+    ``report_every``, the rows of every such step's batch are scored with
+    the updated weights and kept as ``reports``. With ``image_shape``, the first
+    ``images_per_step`` images of each logged step are kept as ``images``. ``histograms`` keeps
+    those of activations and weights for all logged steps. ``weights`` are start weights,
+    random ones by default. ``resume`` goes on from the run's latest complete checkpoint in
+    ``model_dir``; otherwise the run of this name is replaced there.
+
+    ``shards`` (epoch_avg) and ``tasks`` of a batch (sync) follow from the numbers of batches
+    and rows if they aren't given, never from the cluster.
     """
     if mode not in ("sync", "epoch_avg"):
         raise ValueError(f"unknown mode {mode!r}")
-    if layout not in ("batches", "scan"):
-        raise ValueError(f"unknown layout {layout!r}")
-    if mode == "epoch_avg" and (eval_samples is not None or report_every is not None):
-        raise ValueError("periodic evaluation and reports need mode='sync'")
+    if mode == "epoch_avg" and eval_samples is not None:
+        raise ValueError("periodic evaluation needs mode='sync'")
     spark = samples.sparkSession
     n_batches = -(-count_dense(samples) // batch_size)
     if eval_samples is None:
@@ -168,25 +184,30 @@ def train_mlp(
     job = _Job(
         spark, spec, optimizer or default_optimizer(spec), batch_size, n_batches, steps,
         keep_prob, seed, input_column, model_dir or staging_path(spark, "model"), run_id,
-        log_every, histograms,
+        log_every, histograms, report_every,
     )
-    weights = initial_weights(spec, seed)
+    weights = initial_weights(spec, seed) if weights is None else {n: weights[n] for n in spec.names}
     state = {**weights, **job.optimizer.slots(weights)}
+    size = sum(8 * w.size for w in state.values())
+    if size > MAX_MODEL_BYTES:
+        raise ValueError(f"{size} bytes of weights and optimizer state exceed {MAX_MODEL_BYTES}")
     start = 0
     if resume:
-        saved = checkpoints.load_state(spark, job.model_dir, tensors=len(state))
+        saved = checkpoints.load_state(spark, job.model_dir, run_id, tensors=len(state))
         if saved is not None:
             start, state = saved
+    else:
+        checkpoints.drop_run(spark, job.model_dir, run_id)
+    if image_shape is not None:
+        every = None if eval_samples is None else eval_every
+        logged = steps_of(spark, steps, n_batches, every).where(F.col("step") % log_every == 0)
+        first = image_samples(minibatch_assign(samples, batch_size), images_per_step, *image_shape)
+        checkpoints.write_images(logged.join(first, "batch_id"), job.model_dir, run_id)
     if mode == "sync":
-        state = _train_sync(
-            job, samples, state, start, checkpoint_every, eval_samples, eval_every,
-            report_every, partitions,
-        )
+        state = _train_sync(job, samples, state, start, checkpoint_every, eval_samples, eval_every, tasks)
     else:
-        state = _train_epochs(
-            job, samples, state, start, checkpoint_every, partitions, layout
-        )
-    return TrainResult(spec, state, max(start, steps), job.model_dir)
+        state = _train_epochs(job, samples, state, start, checkpoint_every, shards)
+    return TrainResult(spec, state, max(start, steps), job.model_dir, run_id)
 
 
 def _tensor_metrics(job: _Job, state: Tensors, writer: str, step: int) -> list[tuple]:
@@ -205,24 +226,30 @@ def _stat_rows(job: _Job, stats: np.ndarray, writer: str, step: int) -> list[tup
     return rows
 
 
-def _weight_histograms(job: _Job, state: Tensors, writer: str, step: int) -> list[tuple]:
-    rows = []
-    for name in job.spec.names:
-        tag = HIST_TAGS_A.get(name) if job.spec.kind == "a" else f"{name}/summaries/histogram"
-        if tag:
-            rows += _bucket_rows(
-                writer, step, tag, bucket_counts(state[name], WEIGHT_HIST_WIDTH), WEIGHT_HIST_WIDTH
-            )
-    return rows
+def _weight_counts(spec: NetSpec, state: Tensors) -> Tensors:
+    """Histograms of the weights under their tags."""
+    tags = {
+        name: HIST_TAGS_A.get(name) if spec.kind == "a" else f"{name}/summaries/histogram"
+        for name in spec.names
+    }
+    return {
+        f"{HISTOGRAM}{tag}": bucket_counts(state[name], WEIGHT_HIST_WIDTH)
+        for name, tag in tags.items()
+        if tag
+    }
 
 
-def _bucket_rows(
-    writer: str, step: int, tag: str, counts: np.ndarray, width: float
-) -> list[tuple]:
-    return [
-        (writer, step, tag, int(b) - HIST_SIDE, width, int(counts[b]))
-        for b in np.flatnonzero(counts)
-    ]
+def _width(tag: str) -> float:
+    return HIST_WIDTH if tag.endswith("activations") else WEIGHT_HIST_WIDTH
+
+
+def _bucket_rows(writer: str, step: int, sums: Tensors) -> list[tuple]:
+    rows = []
+    for name, counts in sums.items():
+        if name.startswith(HISTOGRAM):
+            tag = name.removeprefix(HISTOGRAM)
+            rows += [(writer, step, tag, int(b), _width(tag), int(n)) for b, n in counts]
+    return rows
 
 
 class _Log:
@@ -251,32 +278,6 @@ class _Log:
         self.metrics, self.histograms = [], []
 
 
-def _chains(
-    plan: Iterator[tuple], window: int, checkpoint_every: int, report_every: int | None
-) -> Iterator[list[tuple]]:
-    """Runs of training steps on consecutive batches of one feed window.
-
-    A run ends where something has to be saved, or after a step to report.
-    """
-    chain: list[tuple] = []
-    for step, index in plan:
-        follows = (
-            chain
-            and index is not None
-            and chain[-1][1] is not None
-            and index == chain[-1][1] + 1
-            and index % window != 0
-            and step % checkpoint_every != 0
-            and not (report_every and chain[-1][0] % report_every == 0)
-        )
-        if chain and not follows:
-            yield chain
-            chain = []
-        chain.append((step, index))
-    if chain:
-        yield chain
-
-
 def _train_sync(
     job: _Job,
     samples: DataFrame,
@@ -285,44 +286,40 @@ def _train_sync(
     checkpoint_every: int,
     eval_samples: DataFrame | None,
     eval_every: int,
-    report_every: int | None,
     tasks: int | None,
 ) -> Tensors:
     spec = job.spec
-    feed = BatchFeed(
-        samples, [job.input_column, "label"], job.batch_size, job.n_batches, tasks
-    )
+    if "chunk" not in samples.columns:
+        # Batches are ranges of ids, which only the native layout can prune.
+        path = staging_path(job.spark, "samples")
+        write_samples(samples.select("sample_id", job.input_column, "label"), path)
+        samples = read_samples(job.spark, path)
+    feed = BatchFeed(samples, [job.input_column, "label"], job.batch_size, job.n_batches, tasks)
     log = _Log(job)
     every = None
     if eval_samples is not None:
         every = eval_every
-        eval_samples = eval_samples.select(job.input_column, "label").persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-    # Histograms of activations are summed by the job-per-batch path only.
-    longest = feed.window if feed.tasks == 1 and not job.histograms else 1
-    plan = schedule(start, job.steps, job.n_batches, every)
+        eval_samples = stage(eval_samples.select(job.input_column, "label"), "evaluation")
     try:
-        for chain in _chains(plan, longest, checkpoint_every, report_every):
-            step, index = chain[-1]
+        for step, index in schedule(start, job.steps, job.n_batches, every):
             if index is None:
                 values = evaluate(eval_samples, spec, state, job.input_column)
                 log.metrics += [("test", step, tag, v) for tag, v in values.items()]
                 log.metrics += _tensor_metrics(job, state, "test", step)
-            elif longest > 1:
-                state = _run_chain(job, feed, state, chain, log)
+                if job.histograms:
+                    counts = activation_histogram(eval_samples, spec, state, job.input_column)
+                    log.histograms += [("test", step, r.tensor, r.bucket, HIST_WIDTH, r.n) for r in counts.collect()]
+                    log.histograms += _bucket_rows("test", step, _weight_counts(spec, state))
             else:
                 state = _run_batch(job, feed, state, step, index, log)
-            if index is not None and report_every and step % report_every == 0:
+            if index is not None and job.report_every and step % job.report_every == 0:
                 scores = predict(feed.batch(index), spec, state, job.input_column)
-                checkpoints.write_report(scores, job.model_dir, job.run_id, step)
+                checkpoints.write_report(scores.withColumn("step", F.lit(step)), job.model_dir, job.run_id, step + 1)
             if (step + 1) % checkpoint_every == 0 or step + 1 == job.steps:
                 log.flush(step + 1)
                 checkpoints.save_state(job.spark, job.model_dir, state, step + 1, job.run_id)
     finally:
         feed.close()
-        if eval_samples is not None:
-            eval_samples.unpersist()
     return state
 
 
@@ -335,37 +332,17 @@ def _run_batch(
         feed.batch(index), spec, shared, job.input_column,
         job.keep_prob, step, job.seed, job.histograms and logged,
     )
-    sums = sum_partials(partials, feed.tasks, model_bytes(spec))
+    sums = sum_partials(partials, feed.tasks)
     shared.destroy()
     if logged:
         values = batch_metrics(spec, sums)
         log.metrics += [("train", step, tag, v) for tag, v in values.items()]
         log.metrics += _tensor_metrics(job, state, "train", step)
         if job.histograms:
-            log.histograms += _weight_histograms(job, state, "train", step)
-            for name, counts in sums.items():
-                if name.startswith("hist:"):
-                    log.histograms += _bucket_rows("train", step, name[5:], counts, HIST_WIDTH)
+            log.histograms += _bucket_rows("train", step, {**_weight_counts(spec, state), **sums})
     return job.optimizer.update(spec, state, gradient(spec, sums))
 
 
-def _run_chain(
-    job: _Job, feed: BatchFeed, state: Tensors, chain: list[tuple], log: _Log
-) -> Tensors:
-    """Consecutive batches in one task: updates follow each other as they would job by job."""
-    (first_step, first), (_, last) = chain[0], chain[-1]
-    shared = job.spark.sparkContext.broadcast(state)
-    out = _local_epoch(
-        job, feed.batches(first, last), shared, first_step - first, weighted=False
-    )
-    table = out.toArrow()
-    shared.destroy()
-    logged = pc.is_valid(table["step"])
-    log.metrics += _logged_rows(job, table.filter(logged))
-    sums = sum_table(table.filter(pc.invert(logged)))
-    return {name: sums[name].reshape(w.shape) for name, w in state.items()}
-
-
 def evaluate(
     samples: DataFrame, spec: NetSpec, weights: Tensors, input_column: str = "image"
 ) -> dict[str, float]:
@@ -397,69 +374,78 @@ def evaluate(
     )
 
 
-def _runs(
+def _mini_batches(
     batches: Iterator[pa.RecordBatch], batch_size: int
-) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Consecutive rows of one mini-batch, with the batch number."""
+) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(shard, batch number, rows) of every mini-batch; rows arrive in the order of shard and id."""
     held: list[pa.RecordBatch] = []
-    current, rows, runs = None, 0, 0
+    current = None
     for batch in batches:
         if not batch.num_rows:
             continue
         numbers = batch.column("sample_id").to_numpy() // batch_size
+        shards = batch.column("shard").to_numpy()
         edges = np.flatnonzero(np.diff(numbers)) + 1
         for low, high in zip([0, *edges], [*edges, len(numbers)]):
-            if held and numbers[low] != current:
-                yield current, pa.concat_batches(held)
+            key = int(shards[low]), int(numbers[low])
+            if held and key != current:
+                yield *current, pa.concat_batches(held)
                 held = []
-                runs += 1
-            current = int(numbers[low])
+            current = key
             held.append(batch.slice(low, high - low))
-        rows += batch.num_rows
-        if runs > 1000 and runs * batch_size > 20 * rows:
-            raise ValueError("rows are not stored in id order: use layout='batches'")
     if held:
-        yield current, pa.concat_batches(held)
+        yield *current, pa.concat_batches(held)
 
 
-def _local_epoch(
-    job: _Job, df: DataFrame, state, first_step: int, weighted: bool = True
-) -> DataFrame:
-    """Each task trains along its rows and emits its weights and the logged values.
+def _local_epoch(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
+    """Each shard trains along its batches; a task emits the sum of its shards' weights and the logged values.
 
-    Weights are multiplied by the number of rows for averaging, unless one task
-    alone does the work.
+    Weights are multiplied by the number of rows for averaging.
     """
     spec, optimizer, batch_size = job.spec, job.optimizer, job.batch_size
     input_column, keep_prob, seed = job.input_column, job.keep_prob, job.seed
-    log_every = job.log_every
+    log_every, histograms, report_every = job.log_every, job.histograms, job.report_every
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, rows = state.value, 0
-        for number, batch in _runs(batches, batch_size):
+        total: Tensors = {}
+        local, rows, current = state.value, 0, None
+
+        def close() -> None:
+            if rows:
+                add_into(total, {n: w * rows for n, w in local.items()} | {"rows": np.array([float(rows)])})
+
+        for shard, number, batch in _mini_batches(batches, batch_size):
+            if shard != current:
+                close()
+                local, rows, current = state.value, 0, shard
             step = first_step + number
             factors = None
+            ids = batch.column("sample_id").to_numpy()
             if keep_prob < 1.0:
-                ids = batch.column("sample_id").to_numpy()
                 factors = dropout_factors(ids, spec.hidden, step, seed, keep_prob)
             x = spec.prepare(matrix(batch.column(input_column), spec.inputs))
             y = matrix(batch.column("label"), spec.classes)
-            sums = batch_sums(spec, local, x, y, factors)
-            if step % log_every == 0:
+            logs = step % log_every == 0
+            sums = batch_sums(spec, local, x, y, factors, histograms and logs)
+            if logs:
                 values = np.concatenate([sums["loss"], sums["correct"], sums["rows"]])
                 logged = {"metrics": values}
                 if spec.kind == "b":
-                    # Weighted by rows, so that parts of a split batch average out.
-                    logged["stats"] = tensor_stats(spec, local) * batch.num_rows
+                    logged["stats"] = tensor_stats(spec, local)
+                if histograms:
+                    logged |= _weight_counts(spec, local)
+                    logged |= {n: v for n, v in sums.items() if n.startswith(HISTOGRAM)}
                 yield from partial_rows(logged, step)
             local = optimizer.update(spec, local, gradient(spec, sums))
+            if report_every and step % report_every == 0:
+                found = layers(spec, local, x)[2].argmax(axis=1)
+                told = np.stack([ids, y.argmax(axis=1), found], axis=1)
+                yield from partial_rows({"report": told}, step)
             rows += batch.num_rows
-        if rows:
-            scale = rows if weighted else 1.0
-            yield from partial_rows({name: w * scale for name, w in local.items()})
-            yield from partial_rows({"rows": np.array([float(rows)])})
+        close()
+        yield from partial_rows(total)
 
-    return df.select("sample_id", input_column, "label").mapInArrow(run, SCHEMA)
+    return df.select("shard", "sample_id", input_column, "label").mapInArrow(run, SCHEMA)
 
 
 def _metric_columns(job: _Job, loss, hits, n) -> dict:
@@ -470,50 +456,47 @@ def _metric_columns(job: _Job, loss, hits, n) -> dict:
 
 
 def _epoch_metrics(job: _Job, out: DataFrame) -> DataFrame:
-    """(writer, step, tag, value) of every logged batch; parts of a split batch are added."""
+    """(writer, step, tag, value) of every logged batch."""
     data = F.col("data")
-    logged = out.where(F.col("step").isNotNull())
-    sums = (
-        logged.where(F.col("tensor") == "metrics")
-        .groupBy("step")
-        .agg(
-            F.sum(data[0]).alias("loss"), F.sum(data[1]).alias("hits"), F.sum(data[2]).alias("n")
-        )
+    logged = out.where("step IS NOT NULL AND tensor IN ('metrics', 'stats')")
+    values = _metric_columns(job, data[0], data[1], data[2])
+    losses = logged.where("tensor = 'metrics'").select(
+        F.lit("train").alias("writer"), "step", F.inline(_pairs(values))
     )
-    values = _metric_columns(job, F.col("loss"), F.col("hits"), F.col("n"))
     if job.spec.kind == "a":
-        return sums.select(F.lit("train").alias("writer"), "step", F.inline(_pairs(values)))
-    stats = logged.where(F.col("tensor") == "stats").groupBy("step").agg(
-        *[F.sum(data[i]).alias(f"s{i}") for i in range(16)]
-    )
+        return losses
     tags = [row[2] for row in _stat_rows(job, np.zeros((4, 4)), "train", 0)]
-    values["dropout_keep_probability"] = F.lit(job.keep_prob)
-    values.update({tag: F.col(f"s{i}") / F.col("n") for i, tag in enumerate(tags[1:])})
-    return sums.join(stats, "step").select(
-        F.lit("train").alias("writer"), "step", F.inline(_pairs(values))
+    values = {"dropout_keep_probability": F.lit(job.keep_prob)}
+    values.update({tag: data[i] for i, tag in enumerate(tags[1:])})
+    return losses.union(
+        logged.where("tensor = 'stats'").select(F.lit("train").alias("writer"), "step", F.inline(_pairs(values)))
     )
 
 
-def _pairs(values: dict) -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in values.items()])
+def _epoch_histograms(out: DataFrame) -> DataFrame:
+    tag = F.substring("tensor", len(HISTOGRAM) + 1, 1 << 30)
+    width = F.when(tag.endswith("activations"), HIST_WIDTH).otherwise(WEIGHT_HIST_WIDTH)
+    return out.where(F.col("step").isNotNull() & F.col("tensor").startswith(HISTOGRAM)).select(
+        F.lit("train").alias("writer"), "step", tag.alias("tag"), F.col("block").alias("bucket"),
+        width.alias("width"), F.col("data")[0].cast("bigint").alias("n"),
+    )
 
 
-def _logged_rows(job: _Job, table: pa.Table) -> list[tuple]:
-    """The same from fetched rows."""
-    steps: dict[int, dict[str, np.ndarray]] = {}
-    for step, name, data in zip(*(table[c].to_pylist() for c in ("step", "tensor", "data"))):
-        add_into(steps.setdefault(step, {}), {name: np.array(data)})
-    rows = []
-    for step in sorted(steps):
-        sums = steps[step]["metrics"]
-        rows += [
-            ("train", step, tag, float(value))
-            for tag, value in _metric_columns(job, *sums).items()
-        ]
-        if job.spec.kind == "b":
-            stats = (steps[step]["stats"] / sums[2]).reshape(4, 4)
-            rows += _stat_rows(job, stats, "train", step)
-    return rows
+def _epoch_reports(out: DataFrame) -> DataFrame:
+    """(sample_id, label, prediction, step) from triples of numbers; blocks hold whole triples."""
+    size = F.size("data") / 3
+    one = F.transform(
+        F.sequence(F.lit(0), size.cast("int") - 1),
+        lambda i: F.struct(*[
+            F.element_at("data", (3 * i + k + 1).cast("int")).cast(kind).alias(name)
+            for k, (name, kind) in enumerate((("sample_id", "bigint"), ("label", "int"), ("prediction", "int")))
+        ]),
+    )
+    return out.where("tensor = 'report'").select("step", F.inline(one))
+
+
+def _pairs(values: dict) -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in values.items()])
 
 
 def _averaged(sums: Tensors, state: Tensors) -> Tensors:
@@ -527,25 +510,19 @@ def _train_epochs(
     state: Tensors,
     start: int,
     checkpoint_every: int,
-    partitions: int | None,
-    layout: str,
+    shards: int | None,
 ) -> Tensors:
-    tasks = partitions or job.spark.sparkContext.defaultParallelism
-    tasks = max(1, min(tasks, job.n_batches))
+    shards = max(1, min(shards or -(-job.n_batches // SHARD_BATCHES), job.n_batches))
     needed = min(job.steps, job.n_batches) * job.batch_size
+    shard = F.pmod(F.expr(f"sample_id div {job.batch_size}"), F.lit(shards)).cast("int")
     rows = feed_range(samples, 0, needed).select("sample_id", job.input_column, "label")
-    if layout == "scan":
-        feed = rows.coalesce(tasks)
-    else:
-        task = F.pmod(F.expr(f"sample_id div {job.batch_size}"), F.lit(tasks)).cast("int")
-        feed = rows.repartitionById(tasks, task).sortWithinPartitions("sample_id")
+    # One shuffle puts the batches of a shard into one task, in order.
+    feed = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "sample_id")
     keep_feed = job.steps - start > job.n_batches
     if keep_feed:
         feed = feed.persist(StorageLevel.MEMORY_AND_DISK)
-    state_bytes = sum(8 * w.size for w in state.values())
-    log = _Log(job)
+    step = start
     try:
-        step = start
         while step < job.steps:
             first_step = step - step % job.n_batches
             upto = min(first_step + job.n_batches, job.steps)
@@ -553,26 +530,16 @@ def _train_epochs(
                 feed, (step - first_step) * job.batch_size, (upto - first_step) * job.batch_size
             )
             shared = job.spark.sparkContext.broadcast(state)
-            out = _local_epoch(job, batches, shared, first_step)
-            few = (upto - step) // job.log_every <= DRIVER_LOG_ROWS
-            if few and fits_driver(tasks, state_bytes):
-                table = out.toArrow()
-                logged = pc.is_valid(table["step"])
-                log.metrics += _logged_rows(job, table.filter(logged))
-                state = _averaged(sum_table(table.filter(pc.invert(logged))), state)
-            else:
-                out = out.persist(StorageLevel.MEMORY_AND_DISK)
-                tensors = out.where(F.col("step").isNull())
-                state = _averaged(sum_partials(tensors, tasks, state_bytes), state)
-                metrics = _epoch_metrics(job, out)
-                if log.metrics:
-                    metrics = metrics.union(job.spark.createDataFrame(log.metrics, LOG_SCHEMA))
-                    log.metrics = []
-                checkpoints.write_metrics(metrics, job.model_dir, job.run_id, upto)
-                out.unpersist()
+            # Written once: the weights and all logs come from the same pass.
+            out = stage(_local_epoch(job, batches, shared, first_step), "epoch")
+            state = _averaged(sum_partials(out.where("step IS NULL"), shards), state)
+            checkpoints.write_metrics(_epoch_metrics(job, out), job.model_dir, job.run_id, upto)
+            if job.histograms:
+                checkpoints.write_histograms(_epoch_histograms(out), job.model_dir, job.run_id, upto)
+            if job.report_every:
+                checkpoints.write_report(_epoch_reports(out), job.model_dir, job.run_id, upto)
             shared.destroy()
             if step // checkpoint_every != upto // checkpoint_every or upto == job.steps:
-                log.flush(upto)
                 checkpoints.save_state(job.spark, job.model_dir, state, upto, job.run_id)
             step = upto
     finally:

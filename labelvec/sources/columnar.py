@@ -4,62 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from labelvec.session import stage
+from labelvec.sources.files import remove_path
+
 # The sample table keeps 2**20 consecutive ids of a split in one directory, so a
 # range of ids is found by partition pruning instead of by opening every file.
 CHUNK_BITS = 20
-# The first chunk is dealt out in small blocks, so that a small table still
-# uses every task; later ones are cut into files of ROWS_PER_FILE.
-FIRST_CHUNK_BLOCK = 1 << 12
-ROWS_PER_FILE = 1 << 17
+# Consecutive ids that stay together in a file.
+BLOCK_ROWS = 1 << 14
 
 
 def chunk_of(sample_id: Column) -> Column:
     return F.shiftright(sample_id, CHUNK_BITS)
 
 
+def dealt(samples: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys``: to so many partitions, or to as many as their bytes are worth."""
+    if partitions is None:
+        return samples.hint("rebalance", *keys)
+    return samples.repartition(partitions, *keys)
+
+
 def write_samples(
-    samples: DataFrame,
-    path: str,
-    partitions: int | None = None,
-    rows_per_file: int = ROWS_PER_FILE,
-    first_block: int = FIRST_CHUNK_BLOCK,
+    samples: DataFrame, path: str, partitions: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> None:
     """Sample table laid out by split and id range, rows in id order within a file.
 
-    Ids are dense, so the range of a row is plain arithmetic: no sampling pass as
-    in ``repartitionByRange``, and ranges are of equal size.
+    Ids are dense, so the block of a row is plain arithmetic: no sampling pass as in
+    ``repartitionByRange``. Without ``partitions`` the sizes that adaptive execution
+    measures decide how many tasks and files there are.
     """
     if "split" not in samples.columns:
         samples = samples.withColumn("split", F.lit("train"))
-    partitions = partitions or samples.sparkSession.sparkContext.defaultParallelism
-    chunk = chunk_of(F.col("sample_id"))
-    block = F.when(chunk == 0, F.expr(f"sample_id div {first_block}")).otherwise(
-        F.expr(f"sample_id div {rows_per_file}")
+    rows = samples.withColumns(
+        {"chunk": chunk_of(F.col("sample_id")), "_block": F.expr(f"sample_id div {block_rows}")}
     )
     (
-        samples.withColumn("chunk", chunk)
-        .repartitionById(partitions, F.pmod(block, F.lit(partitions)).cast("int"))
+        dealt(rows, partitions, "split", "_block")
         .sortWithinPartitions("split", "chunk", "sample_id")
+        .drop("_block")
         .write.mode("overwrite")
         .partitionBy("split", "chunk")
         .parquet(path)
     )
 
 
+def staged_in_order(samples: DataFrame, partitions: int | None) -> DataFrame:
+    """(sample_id, image, label), evaluated once; reads of single columns see the same tasks and order."""
+    rows = samples.select("sample_id", "image", "label")
+    if partitions is None:
+        return stage(dealt(rows, None, "sample_id").sortWithinPartitions("sample_id"), "sides")
+    return dealt(stage(rows, "sides"), partitions, "sample_id").sortWithinPartitions("sample_id")
+
+
 def read_samples(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     samples = spark.read.parquet(path)
     return samples if split is None else samples.where(F.col("split") == split)
 
 
-def write_pickle_pair(samples: DataFrame, path: str, partitions: int = 10) -> None:
+def write_pickle_pair(samples: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Replace ``<path>/images`` and ``<path>/labels`` by pickled vectors that line up."""
+    rows = staged_in_order(samples, partitions)
     for name, folder in (("image", "images"), ("label", "labels")):
-        rows = (
-            samples.select("sample_id", name)
-            .repartition(partitions, "sample_id")
-            .sortWithinPartitions("sample_id")
-            .select(name)
-        )
-        rows.rdd.map(lambda row: row[0]).saveAsPickleFile(f"{path}/{folder}")
+        remove_path(samples.sparkSession, f"{path}/{folder}")
+        rows.select(name).rdd.map(lambda row: row[0]).saveAsPickleFile(f"{path}/{folder}")
 
 
 def read_pickle_pair(

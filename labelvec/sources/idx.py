@@ -65,8 +65,9 @@ def _with_headers(files: DataFrame, magic: int) -> DataFrame:
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """One file per task."""
-    return files.repartition(max(1, files.count()))
+    """One file per task: file numbers run from 1."""
+    n = max(1, files.count())
+    return files.repartitionById(n, (F.col("file_no") - 1).cast("int"))
 
 
 def _items(path: str, magic: int) -> Iterator[np.ndarray]:

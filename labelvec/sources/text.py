@@ -13,11 +13,7 @@ from labelvec.functions import (
 )
 from labelvec.operators.pairing import pair_by_position
 from labelvec.operators.positions import numbered, staged_lines
-
-
-def partition_by_id(df: DataFrame, partitions: int) -> DataFrame:
-    """Hash on the id, which repeats exactly from one write to the next."""
-    return df.repartition(partitions, "sample_id").sortWithinPartitions("sample_id")
+from labelvec.sources.columnar import dealt, staged_in_order
 
 
 def read_vectors(
@@ -44,21 +40,21 @@ def read_csv_pair(spark: SparkSession, images: str, labels: str) -> DataFrame:
     )
 
 
-def write_csv_pair(samples: DataFrame, path: str, partitions: int = 10) -> None:
+def write_csv_pair(samples: DataFrame, path: str, partitions: int | None = None) -> None:
     """``<path>/images`` and ``<path>/labels``; part files of the two line up."""
+    rows = staged_in_order(samples, partitions)
     for name, folder in (("image", "images"), ("label", "labels")):
-        rows = partition_by_id(samples.select("sample_id", name), partitions)
         rows.select(to_csv_line(F.col(name)).alias("value")).write.mode("overwrite").text(
             f"{path}/{folder}"
         )
 
 
-def write_combined(samples: DataFrame, path: str, partitions: int = 10) -> None:
+def write_combined(samples: DataFrame, path: str, partitions: int | None = None) -> None:
     """``label|v0,v1,...`` lines; ``label`` is the class index."""
-    rows = partition_by_id(samples.select("sample_id", "label", "image"), partitions)
-    rows.select(combined_line(F.col("label"), F.col("image")).alias("value")).write.mode(
-        "overwrite"
-    ).text(path)
+    rows = dealt(samples.select("sample_id", "label", "image"), partitions, "sample_id")
+    rows.sortWithinPartitions("sample_id").select(
+        combined_line(F.col("label"), F.col("image")).alias("value")
+    ).write.mode("overwrite").text(path)
 
 
 def read_combined(spark: SparkSession, path: str | list[str]) -> DataFrame:

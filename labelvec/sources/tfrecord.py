@@ -16,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from labelvec.sources import example
-from labelvec.sources.files import list_files
+from labelvec.sources.columnar import dealt
+from labelvec.sources.files import filesystem_of, list_files, qualified
 from labelvec.sources.records import GROUP_RECORDS, first_boundary, frame, record_groups
 
 SPLIT_BYTES = 128 << 20
@@ -90,7 +91,7 @@ class _RecordWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{self.job}.tfrecord"
-        filesystem, folder = fs.FileSystem.from_uri(
+        filesystem, folder = filesystem_of(
             f"{self.temporary}/attempt-{task.taskAttemptId()}"
         )
         out = None
@@ -106,15 +107,14 @@ class _RecordWriter(DataSourceArrowWriter):
         return _Written(f"{folder}/{name}")
 
     def commit(self, messages: list[_Written | None]) -> None:
-        filesystem, target = fs.FileSystem.from_uri(self.path)
+        filesystem, target = filesystem_of(self.path)
         filesystem.create_dir(target, recursive=True)
-        if self.overwrite:
-            for info in filesystem.get_file_info(fs.FileSelector(target)):
-                if info.type == fs.FileType.File:
-                    filesystem.delete_file(info.path)
+        old = [f.path for f in filesystem.get_file_info(fs.FileSelector(target)) if f.type == fs.FileType.File]
         files = [m.file for m in messages if m is not None and m.file is not None]
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda f: filesystem.move(f, f"{target}/{os.path.basename(f)}"), files))
+            if self.overwrite:  # only once the new files are in place
+                list(pool.map(filesystem.delete_file, old))
         self._drop_temporary()
         with filesystem.open_output_stream(f"{target}/_SUCCESS"):
             pass
@@ -123,7 +123,7 @@ class _RecordWriter(DataSourceArrowWriter):
         self._drop_temporary()
 
     def _drop_temporary(self) -> None:
-        filesystem, folder = fs.FileSystem.from_uri(self.temporary)
+        filesystem, folder = filesystem_of(self.temporary)
         if filesystem.get_file_info(folder).type == fs.FileType.Directory:
             filesystem.delete_dir(folder)
 
@@ -137,18 +137,14 @@ class ExampleRecords(DataSource):
         return _RecordWriter(self.options["path"], overwrite)
 
 
-def write_tfrecord(samples: DataFrame, path: str, partitions: int = 10) -> None:
+def write_tfrecord(samples: DataFrame, path: str, partitions: int | None = None) -> None:
     """Replace ``path`` with one record file per partition.
 
     Columns ``image`` and ``label`` become int64 lists; other columns are dropped.
     """
     samples.sparkSession.dataSource.register(ExampleRecords)
-    rows = (
-        samples.select("sample_id", "image", "label")
-        .repartition(partitions, "sample_id")
-        .sortWithinPartitions("sample_id")
-    )
-    rows.select(
+    rows = dealt(samples.select("sample_id", "image", "label"), partitions, "sample_id")
+    rows.sortWithinPartitions("sample_id").select(
         F.col("image").cast("array<bigint>").alias("image"),
         F.col("label").cast("array<bigint>").alias("label"),
-    ).write.format(FORMAT).mode("overwrite").save(path)
+    ).write.format(FORMAT).mode("overwrite").save(qualified(samples.sparkSession, path))

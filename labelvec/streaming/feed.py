@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelvec.functions import reshape_image
 from labelvec.sources.columnar import CHUNK_BITS
@@ -32,6 +32,17 @@ def epoch_expand(df: DataFrame, epochs: int) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
 
 
+def epochs_within(batches: DataFrame, n_batches: int, epochs: int, steps: int) -> DataFrame:
+    """Every row of ``batches`` (batch_id, ...) once per epoch in which its step is below ``steps``.
+
+    The limit is a range of ids: rows of batches that no epoch reaches are filtered
+    before anything is expanded, and no row is made to be dropped.
+    """
+    last = F.least(F.lit(epochs - 1), F.floor((F.lit(steps - 1) - F.col("batch_id")) / n_batches)).cast("int")
+    reached = batches.where(F.col("batch_id") < steps)
+    return with_global_step(reached.select("*", F.explode(F.sequence(F.lit(0), last)).alias("epoch")), n_batches)
+
+
 def with_global_step(batches: DataFrame, n_batches: int) -> DataFrame:
     return batches.withColumn(
         "global_step", F.col("epoch").cast("bigint") * n_batches + F.col("batch_id")
@@ -69,20 +80,30 @@ def schedule(start: int, steps: int, n_batches: int, every: int | None) -> Itera
 
 
 def image_samples(batches: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """The first ``k`` images of each batch as height x width; groups are one batch long."""
-    first = Window.partitionBy("batch_id").orderBy("sample_id")
-    return (
-        batches.withColumn("image_no", F.row_number().over(first) - 1)
-        .where(F.col("image_no") < k)
-        .select(
-            "batch_id",
-            "image_no",
-            "sample_id",
-            reshape_image(F.col("image"), height, width).alias("image"),
-        )
+    """The first ``k`` images of each batch as height x width. Ids are dense, so ``batch_pos`` says which: a filter."""
+    return batches.where(F.col("batch_pos") < k).select(
+        "batch_id",
+        F.col("batch_pos").cast("int").alias("image_no"),
+        "sample_id",
+        reshape_image(F.col("image"), height, width).alias("image"),
     )
 
 
+def steps_of(spark: SparkSession, steps: int, n_batches: int, every: int | None = None) -> DataFrame:
+    """(step, batch_id) of all training steps, with or without an evaluation every ``every`` steps."""
+    if every is None:
+        return spark.range(steps).select(
+            F.col("id").alias("step"), (F.col("id") % n_batches).alias("batch_id")
+        )
+    plan = eval_schedule(spark, steps, every).where("action = 'train'")
+    return plan.select("step", (F.col("batch_no") % n_batches).alias("batch_id"))
+
+
+def steps_for(n_batches: int, every: int) -> int:
+    """Number of steps after which every batch was trained on once, with an evaluation every ``every`` steps."""
+    return n_batches + 1 + (n_batches - 1) // (every - 1)
+
+
 def feed_range(samples: DataFrame, low: int, high: int) -> DataFrame:
     """Samples with ``low <= sample_id < high``.
 
@@ -111,8 +132,7 @@ class BatchFeed:
         n_batches: int,
         tasks: int | None = None,
     ):
-        cores = samples.sparkSession.sparkContext.defaultParallelism
-        self.tasks = tasks or max(1, min(cores, -(-batch_size // ROWS_PER_TASK)))
+        self.tasks = tasks or -(-batch_size // ROWS_PER_TASK)
         self.samples = samples
         self.columns = columns
         self.batch_size = batch_size
@@ -122,13 +142,7 @@ class BatchFeed:
         self._frame: DataFrame | None = None
 
     def batch(self, index: int) -> DataFrame:
-        return self.batches(index, index)
-
-    def batches(self, index: int, last_index: int) -> DataFrame:
-        """Rows of consecutive batches, which must lie in one window."""
         first = index - index % self.window
-        if last_index - last_index % self.window != first:
-            raise ValueError(f"batches {index} to {last_index} cross a window of {self.window}")
         if first != self._first:
             self.close()
             last = min(first + self.window, self.n_batches)
@@ -141,7 +155,7 @@ class BatchFeed:
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
             self._first = first
-        low, high = index * self.batch_size, (last_index + 1) * self.batch_size
+        low, high = index * self.batch_size, (index + 1) * self.batch_size
         return self._frame.where(f"sample_id >= {low} AND sample_id < {high}")
 
     def close(self) -> None:

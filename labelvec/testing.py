@@ -7,15 +7,15 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from labelvec.operators.batches import matrix
+from labelvec.sources.files import filesystem_of, qualified
 from labelvec.sources.idx import IMAGE_MAGIC, LABEL_MAGIC
 
 
 def _write_gzip(path: str, data: bytes) -> None:
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    filesystem, inner = filesystem_of(path)
     filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     with filesystem.open_output_stream(inner, compression=None) as out:
         out.write(gzip.compress(data, mtime=0))
@@ -29,6 +29,8 @@ def write_idx_files(
     A retried task writes the same bytes to the same name.
     """
 
+    path = qualified(samples.sparkSession, path)
+
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by("sample_id").combine_chunks()
         file_no = table["file_no"][0].as_py()

@@ -42,11 +42,11 @@ def test_more_partitions_than_rows(spark, small, tmp_path):
 
 
 def test_writing_again_replaces(spark, small, tmp_path):
-    for fmt in ("csv", "csv2", "tfr", "parquet"):
+    for fmt in ("csv", "csv2", "tfr", "parquet", "pickle"):
         path = str(tmp_path / fmt)
         jobs.store(small, path, fmt, 5)
         jobs.store(small.where("sample_id < 20"), path, fmt, 2)
-        assert jobs.load(spark, path, fmt).count() == 20
+        assert jobs.load(spark, path, fmt, trusted=True).count() == 20
 
 
 def test_pairing_with_forced_splits(spark, small, tmp_path, tiny_splits):
@@ -127,9 +127,58 @@ def test_larger_offset_tables_join_by_shuffle(spark, small, tmp_path, monkeypatc
 def test_verify(spark, small, tmp_path):
     path = str(tmp_path / "out")
     jobs.store(small, path, "parquet", 3)
-    summary, head = jobs.verify(spark, path, "parquet")
+    summary = jobs.verify(spark, path, "parquet")
     assert tuple(summary.first()) == (50, 50, 6, 6, 0)
-    assert [r.sample_id for r in head.collect()] == list(range(10))
+    assert [r.sample_id for r in verify.sample_head(small).collect()] == list(range(10))
+    jobs.store(small, path + "-lines", "csv", 3)
+    assert tuple(jobs.verify(spark, path + "-lines", "csv").first()) == (50, 50, 6, 6, 0)
+    sources.write_csv_pair(small.where("sample_id < 40"), path + "-less", 3)
+    uneven = verify.verify_text_pair(spark, f"{path}-lines/images", f"{path}-less/labels").first()
+    assert (uneven.num_images, uneven.num_labels, uneven.incomplete) == (50, 40, 10)
+
+
+def test_combined_lines_need_one_hot_labels(spark, small, tmp_path):
+    wrong = small.withColumn("label", F.transform("label", lambda v: v * 0.5))
+    with pytest.raises(PySparkException, match="not a one-hot label"):
+        jobs.store(wrong, str(tmp_path / "out"), "csv2")
+
+
+def test_larger_tables_get_more_tasks(spark, tmp_path):
+    rows = spark.range(200_000).select(
+        F.col("id").alias("sample_id"),
+        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: (F.xxhash64("id", k) % 256).cast("int")).alias("image"),
+        F.array(F.lit(1.0), F.lit(0.0)).alias("label"),
+    )
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(conf, "1m")
+    try:
+        files = {}
+        for n in (1000, 200_000):
+            path = str(tmp_path / str(n))
+            sources.write_samples(rows.where(f"sample_id < {n}"), path)
+            sources.write_combined(rows.where(f"sample_id < {n}").withColumn("label", F.lit(0)), path + "-lines")
+            files[n] = [len(spark.read.format(f).load(p).inputFiles()) for f, p in (("parquet", path), ("text", path + "-lines"))]
+        assert all(few < many for few, many in zip(files[1000], files[200_000]))
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_one_raw_file_per_task(spark, tmp_path):
+    frame = spark.createDataFrame([(i, [i % 7] * 4, i % 3) for i in range(64)], "sample_id long, image array<int>, label int")
+    write_idx_files(frame, str(tmp_path), 2, 2, 2)
+    pairs = sources.read_idx_pair(spark, f"{tmp_path}/images", f"{tmp_path}/labels")
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sorted(r["count"] for r in tasks) == [2] * 32
+
+
+def test_schemes_of_stores():
+    from labelvec.sources.files import filesystem_of
+
+    assert filesystem_of("file:/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="expected a qualified path"):
+        filesystem_of("/tmp/x")
+    with pytest.raises(ValueError, match="expected a qualified path"):
+        filesystem_of("ftp://host/x")
 
 
 def test_partition_counts(spark, small):
@@ -181,7 +230,7 @@ def test_idx_batches_are_bounded(spark, small, tmp_path, monkeypatch):
     classes = small.withColumn("label", F.lit(1))
     write_idx_files(classes, str(tmp_path), 2, 3)
     monkeypatch.setattr(idx, "BATCH_BYTES", 100)
-    blocks = list(idx._items(f"{tmp_path}/images/00000000.gz", idx.IMAGE_MAGIC))
+    blocks = list(idx._items(f"file:{tmp_path}/images/00000000.gz", idx.IMAGE_MAGIC))
     assert [len(b) for b in blocks] == [4] * 12 + [2]
     assert np.concatenate(blocks).tolist() == [r.image for r in small.orderBy("sample_id").collect()]
 
@@ -261,7 +310,7 @@ def test_every_boundary_is_found(spark, small, tmp_path, split_bytes):
         true.append(true[-1] + 16 + struct.unpack_from("<Q", data, true[-1])[0])
     for start in range(0, len(data), split_bytes):
         want = next(t for t in true if t >= start)
-        assert records.first_boundary(str(file), start, len(data)) == want
+        assert records.first_boundary(f"file:{file}", start, len(data)) == want
 
 
 def test_record_file_inside_a_record_is_never_misread(spark, tmp_path):
@@ -269,11 +318,11 @@ def test_record_file_inside_a_record_is_never_misread(spark, tmp_path):
     file = tmp_path / "nested.tfrecord"
     file.write_bytes(records.frame([b"first", inner, b"last"]))
     size = file.stat().st_size
-    whole = sum(records.record_groups(str(file), 0, size), [])
+    whole = sum(records.record_groups(f"file:{file}", 0, size), [])
     assert whole == [b"first", inner, b"last"]
-    cut = records.first_boundary(str(file), 40, size)
+    cut = records.first_boundary(f"file:{file}", 40, size)
     with pytest.raises(ValueError, match="in one piece"):
-        list(records.record_groups(str(file), 0, cut))
+        list(records.record_groups(f"file:{file}", 0, cut))
 
 
 def test_absent_feature_is_empty(spark, small, tmp_path):

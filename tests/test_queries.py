@@ -24,14 +24,3 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert sum(r.n_rows for r in rows) == 500
-
-
-def test_training_queries_cover_the_table(spark):
-    steps = entry.queries()["train_mlp"](spark, SF_DIR).collect()
-    assert sorted(r.step for r in steps) == list(range(10))
-    log = entry.queries()["train_eval_log"](spark, SF_DIR).collect()
-    assert {r.step: r.writer for r in log} == {
-        s: "test" if s % 10 == 0 else "train" for s in range(12)
-    }
-    scores = entry.queries()["ingest_train_score"](spark, SF_DIR).collect()
-    assert sum(r.n for r in scores) == 100

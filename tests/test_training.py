@@ -67,22 +67,25 @@ def test_gradient_does_not_depend_on_the_layout(samples, arrays, spec, partition
 
 
 def test_partials_add_up_in_levels(spark, samples, arrays, monkeypatch):
-    monkeypatch.setattr(partials, "FAN_IN", 3)
-    monkeypatch.setattr(partials, "BLOCK_VALUES", 7)
+    monkeypatch.setattr(partials, "BLOCK_VALUES", 6)
     weights = initial_weights(A, 5)
     shared = spark.sparkContext.broadcast(weights)
-    rows = partials.gradient_partials(samples.repartition(20), A, shared)
-    one_level = partials.sum_partials(rows, 20, 1000, driver_bytes=10**9)
-    levels = partials.sum_partials(rows, 20, 1000, driver_bytes=1)
+    rows = partials.gradient_partials(samples.repartition(20), A, shared, histograms=True)
+    one_level = partials.sum_partials(rows, 20)
+    monkeypatch.setattr(partials, "FAN_IN", 3)
+    levels = partials.sum_partials(rows, 20)
     close(levels, one_level)
-    close(gradient(A, levels), gradient(A, batch_sums(A, weights, *arrays)))
+    want = batch_sums(A, weights, *arrays, histograms=True)
+    close(gradient(A, levels), gradient(A, want))
+    for name in want:
+        if name.startswith("hist:"):
+            assert sorted(levels[name].tolist()) == sorted(want[name].tolist()), name
 
 
-@pytest.mark.parametrize("partitions", [1, 3])
-def test_sync_equals_one_process(samples, arrays, partitions):
-    """One task chains its steps, several tasks run a job per step."""
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_sync_equals_one_process(samples, arrays, tasks):
     result = train_mlp(
-        samples, A, epochs=2, batch_size=50, seed=5, steps=7, partitions=partitions
+        samples, A, mode="sync", epochs=2, batch_size=50, seed=5, steps=7, tasks=tasks
     )
     state, losses = by_hand(A, arrays, [0, 1, 2, 3, 4, 0, 1], 50)
     close(result.state, state)
@@ -92,53 +95,36 @@ def test_sync_equals_one_process(samples, arrays, partitions):
     assert np.allclose([r.value for r in logged], losses)
 
 
-def test_epoch_average_of_one_task_equals_one_process(samples, arrays):
-    result = train_mlp(samples, A, mode="epoch_avg", epochs=2, batch_size=50, seed=5, partitions=1)
+def test_epoch_average_of_one_shard_equals_one_process(samples, arrays):
+    result = train_mlp(samples, A, epochs=2, batch_size=50, seed=5)
     state, losses = by_hand(A, arrays, [0, 1, 2, 3, 4] * 2, 50)
     close(result.state, state)
     logged = result.metrics(samples.sparkSession).where("tag = 'loss'").orderBy("step").collect()
     assert np.allclose([r.value for r in logged], losses)
 
 
-def test_epoch_average_over_tasks(samples, arrays):
-    result = train_mlp(samples, A, mode="epoch_avg", batch_size=50, seed=5, partitions=2)
+def test_epoch_average_over_shards(samples, arrays):
+    result = train_mlp(samples, A, batch_size=50, seed=5, shards=2)
     even, _ = by_hand(A, arrays, [0, 2, 4], 50)
     odd, _ = by_hand(A, arrays, [1, 3], 50)
     close(result.state, {n: (even[n] * 130 + odd[n] * 100) / 230 for n in even})
 
 
-def test_large_epochs_write_metrics_from_the_executors(samples, monkeypatch):
-    options = dict(mode="epoch_avg", epochs=2, batch_size=50, seed=5, partitions=2)
-    want = train_mlp(samples, B, **options)
-    monkeypatch.setattr("labelvec.plans.training.DRIVER_LOG_ROWS", 0)
-    monkeypatch.setattr("labelvec.plans.training.fits_driver", lambda *_: False)
-    got = train_mlp(samples, B, **options)
-    close(got.state, want.state)
-    spark = samples.sparkSession
-    rows = [
-        {(r.step, r.tag): round(r.value, 9) for r in result.metrics(spark).collect()}
-        for result in (got, want)
-    ]
-    tags = ("cross_entropy", "accuracy", "layer1/weights/summaries/mean")
-    for tag in tags:
-        assert {k: v for k, v in rows[0].items() if k[1] == tag} == {
-            k: v for k, v in rows[1].items() if k[1] == tag
-        }
+def test_shards_follow_from_the_batches(samples, monkeypatch):
+    monkeypatch.setattr("labelvec.plans.training.SHARD_BATCHES", 2)
+    by_default = train_mlp(samples, A, batch_size=50, seed=5)
+    close(by_default.state, train_mlp(samples, A, batch_size=50, seed=5, shards=3).state)
+    # whatever the stored layout and the number of its tasks
+    close(by_default.state, train_mlp(samples.repartition(1), A, batch_size=50, seed=5).state)
 
 
-def test_scan_layout_trains_on_every_row(spark, samples, tmp_path):
-    path = str(tmp_path / "s")
-    sources.write_samples(samples, path, partitions=2, first_block=60)
-    stored = sources.read_samples(spark, path)
-    result = train_mlp(
-        stored, A, mode="epoch_avg", batch_size=50, seed=5, partitions=2, layout="scan"
-    )
-    steps = M.metrics_wide(result.metrics(spark), ("loss", "acc")).collect()
-    assert sorted(r.step for r in steps) == [0, 1, 2, 3, 4]
+def test_start_weights_are_taken(samples):
+    weights = initial_weights(A, 77)
+    close(train_mlp(samples, A, steps=0, weights=weights).weights, weights)
 
 
 def test_step_limit_in_epoch_mode(samples):
-    result = train_mlp(samples, A, mode="epoch_avg", epochs=9, batch_size=50, steps=7, partitions=3)
+    result = train_mlp(samples, A, epochs=9, batch_size=50, steps=7, shards=3)
     assert result.step == 7
     metrics = result.metrics(samples.sparkSession)
     assert sorted(r.step for r in metrics.where("tag = 'acc'").collect()) == list(range(7))
@@ -147,7 +133,7 @@ def test_step_limit_in_epoch_mode(samples):
 @pytest.mark.parametrize("mode", ["sync", "epoch_avg"])
 def test_resume_equals_an_uninterrupted_run(samples, tmp_path, mode):
     spark = samples.sparkSession
-    options = dict(mode=mode, epochs=2, batch_size=50, seed=5, checkpoint_every=5, partitions=2)
+    options = dict(mode=mode, epochs=2, batch_size=50, seed=5, checkpoint_every=5, shards=2, tasks=2)
     whole = train_mlp(samples, B, keep_prob=0.8, model_dir=str(tmp_path / "w"), **options)
     parts = str(tmp_path / "p")
     train_mlp(samples, B, keep_prob=0.8, model_dir=parts, steps=5, **options)
@@ -170,8 +156,8 @@ def test_dropout_repeats_and_scoring_has_none(samples):
 
 def test_training_with_evaluation(spark, samples):
     result = train_mlp(
-        samples, B, batch_size=50, steps=14, eval_samples=samples, eval_every=5, seed=5,
-        histograms=True, keep_prob=0.9,
+        samples, B, mode="sync", batch_size=50, steps=14, eval_samples=samples, eval_every=5, seed=5,
+        histograms=True, keep_prob=0.9, image_shape=(2, 2),
     )
     log = result.metrics(spark)
     writers = {r.step: r.writer for r in log.where("tag = 'cross_entropy'").collect()}
@@ -184,16 +170,21 @@ def test_training_with_evaluation(spark, samples):
     }
     assert counts["layer1/activations"] == 50 * 6 and counts["layer2/pre_activations"] == 50 * 3
     assert counts["layer1/weights/summaries/histogram"] == 24
+    tested = result.histograms(spark).where("step = 10 AND writer = 'test'")
+    tested = {r.tag: r.n for r in tested.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
+    assert tested["layer1/activations"] == ROWS * 6 and tested["layer2/activations"] == ROWS * 3
+    assert tested["layer2/biases/summaries/histogram"] == 3
+    images = sorted((r.step, r.image_no, r.sample_id) for r in result.images(spark).collect())
+    python = [(s, b) for s, b in feed.schedule(0, 14, 5, 5) if b is not None]
+    assert images == [(s, k, b * 50 + k) for s, b in python for k in range(3)]
     planned = feed.eval_schedule(spark, 14, 5).collect()
     python = list(feed.schedule(0, 14, 10**9, 5))
     assert [(r.step, r.batch_no) for r in planned] == python
 
 
-@pytest.mark.parametrize("partitions", [1, 2])
-def test_reports_score_the_batch_of_a_step(samples, arrays, partitions):
-    result = train_mlp(
-        samples, A, batch_size=50, steps=5, seed=5, report_every=2, partitions=partitions
-    )
+@pytest.mark.parametrize("mode", ["sync", "epoch_avg"])
+def test_reports_score_the_batch_of_a_step(samples, arrays, mode):
+    result = train_mlp(samples, A, mode=mode, batch_size=50, steps=5, seed=5, report_every=2)
     rows = result.reports(samples.sparkSession).collect()
     assert sorted((r.step, r.sample_id) for r in rows) == [
         (s, i) for s in (0, 2, 4) for i in range(50 * s, min(50 * s + 50, ROWS))
@@ -205,6 +196,33 @@ def test_reports_score_the_batch_of_a_step(samples, arrays, partitions):
     assert [got[i] for i in range(100, 150)] == list(zip(y[100:150].argmax(axis=1), want))
 
 
+def test_both_modes_log_the_same_histograms(spark, samples):
+    def logged(mode):
+        result = train_mlp(samples, B, mode=mode, batch_size=50, steps=5, seed=5, histograms=True)
+        return sorted(map(tuple, result.histograms(spark).collect()))
+
+    assert logged("sync") == logged("epoch_avg")
+
+
+def test_runs_of_one_folder_stay_apart(spark, samples, tmp_path):
+    path = str(tmp_path / "m")
+    options = dict(batch_size=50, model_dir=path, seed=5)
+    train_mlp(samples, A, run_id="a", steps=5, **options)
+    second = train_mlp(samples, A, run_id="b", steps=2, **options)
+    step, state = checkpoints.load_state(spark, path, "b", tensors=8)
+    assert step == 2
+    close(state, second.state)
+    assert checkpoints.load_state(spark, path, "a")[0] == 5
+    assert sorted(r.step for r in second.metrics(spark).where("tag = 'loss'").collect()) == [0, 1]
+    train_mlp(samples, A, run_id="a", steps=1, **options)  # replaces the run
+    assert checkpoints.load_state(spark, path, "a")[0] == 1
+    assert checkpoints.load_state(spark, path, "b")[0] == 2
+    scores = jobs.score_saved(samples, A, path, run_id="b").collect()
+    assert len(scores) == ROWS
+    with pytest.raises(FileNotFoundError, match="no checkpoint of c"):
+        jobs.score_saved(samples, A, path, run_id="c")
+
+
 def test_kind_a_histograms_use_its_tags(spark, samples):
     result = train_mlp(samples, A, batch_size=100, steps=1, histograms=True)
     tags = {r.tag for r in result.histograms(spark).collect()}
@@ -213,7 +231,7 @@ def test_kind_a_histograms_use_its_tags(spark, samples):
 
 def test_training_loss_falls(samples):
     result = train_mlp(
-        samples, A, mode="epoch_avg", epochs=20, batch_size=20, partitions=2, steps=10**6,
+        samples, A, epochs=20, batch_size=20, shards=2, steps=10**6,
         optimizer=Adagrad(rate=0.1),
     )
     losses = [
@@ -226,6 +244,11 @@ def test_training_loss_falls(samples):
 def test_ids_must_be_dense(samples):
     with pytest.raises(ValueError, match="number them"):
         count_dense(samples.where("sample_id <> 3"))
+    # count, ends and sum as if dense
+    even = samples.where("sample_id < 4").withColumn("sample_id", F.expr("if(sample_id IN (1, 2), if(sample_id = 1, 0, 3), sample_id)"))
+    with pytest.raises(ValueError, match="number them"):
+        count_dense(even)
+    assert count_dense(samples.sparkSession.range(100_000).withColumnRenamed("id", "sample_id")) == 100_000
     twice = samples.withColumn("sample_id", F.expr("if(sample_id = 3, 4, sample_id)"))
     with pytest.raises(ValueError, match="number them"):
         count_dense(twice)
@@ -236,8 +259,8 @@ def test_ids_must_be_dense(samples):
 def test_bad_arguments(samples):
     with pytest.raises(ValueError, match="unknown mode"):
         train_mlp(samples, A, mode="async")
-    with pytest.raises(ValueError, match="unknown layout"):
-        train_mlp(samples, A, layout="rows")
+    with pytest.raises(ValueError, match="needs mode='sync'"):
+        train_mlp(samples, A, eval_samples=samples)
     with pytest.raises(PySparkException, match="expected 5"):
         train_mlp(samples, NetSpec(inputs=5, hidden=2, classes=3), steps=1)
 
@@ -253,18 +276,28 @@ def test_windows_of_the_feed(samples):
 
 def test_batches_epochs_and_steps(samples):
     rows = feed.epoch_expand(feed.minibatch_assign(samples, 100), 2)
-    steps = feed.step_limit(feed.with_global_step(rows, 3), 5)
-    counts = {r.global_step: r["count"] for r in steps.groupBy("global_step").count().collect()}
-    assert counts == {0: 100, 1: 100, 2: 30, 3: 100, 4: 100}
+    limited = feed.step_limit(feed.with_global_step(rows, 3), 5)
+    ranged = feed.epochs_within(feed.minibatch_assign(samples, 100), 3, 2, 5)
+    for steps in (limited, ranged):
+        counts = {r.global_step: r["count"] for r in steps.groupBy("global_step").count().collect()}
+        assert counts == {0: 100, 1: 100, 2: 30, 3: 100, 4: 100}
+
+
+def test_first_images_are_a_filter(spark):
+    rows = spark.range(ROWS).select(F.col("id").alias("sample_id"), F.array(*[F.col("id")] * 4).alias("image"))
+    images = feed.image_samples(feed.minibatch_assign(rows, 100), 2, 2, 2)
+    plan = images._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Exchange", "Window"))
+    assert sorted((r.batch_id, r.image_no) for r in images.collect()) == [(b, k) for b in range(3) for k in range(2)]
 
 
 def test_incomplete_checkpoints_are_passed_over(spark, tmp_path):
     path = str(tmp_path / "m")
     state = {"x": np.arange(6.0).reshape(2, 3), "y": np.zeros(1)}
-    assert checkpoints.load_state(spark, path) is None
+    assert checkpoints.load_state(spark, path, "run") is None
     checkpoints.save_state(spark, path, state, 4, "run")
     checkpoints.save_state(spark, path, {"x": state["x"]}, 9, "run")
-    step, saved = checkpoints.load_state(spark, path, tensors=2)
+    step, saved = checkpoints.load_state(spark, path, "run", tensors=2)
     assert step == 4
     close(saved, state)
     assert checkpoints.latest_step(checkpoints.read_weights(spark, path)) == 9
@@ -306,9 +339,10 @@ def test_whole_job(spark, tmp_path, fmt):
         raw[split] = (str(tmp_path / split / "images"), str(tmp_path / split / "labels"))
     spec = NetSpec(inputs=4, hidden=5, classes=10)
     out = str(tmp_path / "out")
-    result = jobs.run_job(spark, raw, out, spec, fmt, partitions=2, mode="epoch_avg", batch_size=20)
-    assert tuple(result.verified.first()) == (60, 60, 4, 4, 0)
-    assert result.head.count() == 10 and result.training.step == 3
+    result = jobs.run_job(spark, raw, out, spec, fmt, partitions=2, batch_size=20)
+    assert tuple(result.verified["train"]) == (60, 60, 4, 4, 0)
+    assert tuple(result.verified["test"]) == (20, 20, 4, 4, 0)
+    assert [r.sample_id for r in result.head["train"]] == list(range(10)) and result.training.step == 3
     assert result.predictions.count() == 20
     assert sources.read_prediction_lines(spark, f"{out}/prediction_lines").count() == 20
     labels = sorted(r.label for r in result.predictions.collect())
@@ -339,7 +373,7 @@ def test_learns_on_the_given_vectors(spark):
     )
     spec = spec_a(inputs=64, divisor=1.0)
     result = train_mlp(
-        train, spec, mode="epoch_avg", epochs=50, steps=10**6, seed=42, partitions=4,
+        train, spec, epochs=50, steps=10**6, seed=42, shards=4,
         checkpoint_every=400,
     )
     assert M.accuracy(predict(test, spec, result.weights)).first().accuracy > 0.5
