@@ -83,11 +83,11 @@ def test_rules_equal_brute_force(spark, odd, odd_rows, nothing):
 
 
 def test_frequent_lines_deplete(spark):
-    common = [f"line number {k} which is on very many pages of the host" for k in range(4)]
+    common = [" ".join(f"shared{k}x{j}" for j in range(11)) for k in range(4)]
     rows = []
     for i in range(40):
         own = " ".join(f"word{i}x{k}" for k in range(60 if i % 2 else 20))
-        rows.append((i, "\n".join([own, *common[1:], "  LINE number 0 which is on very many pages of the  HOST "]), None, "a" if i < 30 else None))
+        rows.append((i, "\n".join([own, *common[1:], f"  {common[0].upper()} "]), None, "a" if i < 30 else None))
     rows += [(100 + i, rows[0][1], None, "b") for i in range(30)]
     docs = spark.createDataFrame([r[:2] + r[3:] for r in rows], "doc_id long, text string, source string")
     got = sorted(map(tuple, quality_rules.quality_rules(docs, 20, 50).collect()), key=repr)
