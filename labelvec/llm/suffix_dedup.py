@@ -112,8 +112,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last) of passages that an earlier occurrence repeats, from retained suffixes.
+def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, earliest text) of passages that stood before, from retained suffixes.
 
     Suffixes are sorted by their words and neighbours compared, which gives the length
     of their common prefix. For each number ``o`` of words to the left, suffixes in one
@@ -130,6 +130,7 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
     rank[np.lexsort((at_s, doc_s))] = np.arange(len(order))
     lead = np.zeros(len(order), np.uint64)
     low, high = np.full(len(order), -1), np.full(len(order), -1)
+    origin = np.zeros(len(order), np.int64)
     for o in range(STEP):
         if o:
             lead = mix(lead + around[:, LEFT - o].astype(np.uint64) + np.uint64(o))
@@ -141,25 +142,27 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
         rows, key = rows[by], key[by]
         new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
         least = rows[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        later = rows[(doc_s[rows] != doc_s[least]) | (at_s[rows] != at_s[least])]
+        repeat = (doc_s[rows] != doc_s[least]) | (at_s[rows] != at_s[least])
+        later = rows[repeat]
+        origin[later] = doc_s[least[repeat]]
         # all matches of a suffix overlap at its gram: from the farthest left to the farthest right
         high[later] = np.where(high[later] < 0, o, high[later])
         low[later] = o
     hit = np.flatnonzero(high >= 0)
-    return order[hit], at_s[hit] - low[hit], at_s[hit] - high[hit] + MIN_WORDS
+    return order[hit], at_s[hit] - low[hit], at_s[hit] - high[hit] + MIN_WORDS, origin[hit]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by gram; they are compared in chunks that end between grams."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("origin", pa.int64())])
     held: pa.Table | None = None
 
     def done(part: pa.Table) -> pa.RecordBatch:
         doc, at, left, right = (part.column(c).to_numpy() for c in ("doc_id", "at", "left", "right"))
         around = np.frombuffer(b"".join(part.column("around").to_pylist()), np.uint32).reshape(-1, WIDTH)
-        row, first, last = matched(doc, at, left, right, around)
+        row, first, last, origin = matched(doc, at, left, right, around)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array(first, pa.int32()), pa.array(last, pa.int32())], schema=schema
+            [pa.array(doc[row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(origin)], schema=schema
         )
 
     for batch in batches:
@@ -200,7 +203,9 @@ def retained_suffixes(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(doc_id, spans): word ranges [first, last) that repeat an earlier passage of ``MIN_WORDS`` words or more.
+    """(doc_id, spans, origins): word ranges [first, last) that repeat an earlier passage of ``MIN_WORDS`` words or more.
+
+    ``origins`` are the documents that hold the earliest occurrences.
 
     ``kept`` comes from ``retained_suffixes``. Suffixes whose gram occurs once are
     dropped after a combined count. The others are dealt out by gram, at most
@@ -217,12 +222,13 @@ def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     hot = stage(often.where(F.col("n") > HOT_SUFFIXES).select("gram"), "hot")
     contexts = stage(contexts, "contexts")
     few = contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    spans = map_texts(few, _compare, "doc_id long, first int, last int")
+    spans = map_texts(few, _compare, "doc_id long, first int, last int, origin long")
     windows = map_texts(contexts.join(hot, "gram", "left_semi"), _windows, "window long, doc_id long, first int").distinct()
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(earliest, "window").where(F.struct("doc_id", "first") > F.col("least"))
-    spans = spans.union(later.select("doc_id", "first", (F.col("first") + MIN_WORDS).alias("last")))
-    return stage(spans.groupBy("doc_id").agg(_merged(F.collect_set(F.struct("first", "last")))), "spans")
+    spans = spans.union(later.select("doc_id", "first", (F.col("first") + MIN_WORDS).alias("last"), "least.doc_id"))
+    origins = F.array_sort(F.collect_set("origin")).alias("origins")
+    return stage(spans.groupBy("doc_id").agg(_merged(F.collect_set(F.struct("first", "last"))), origins), "spans")
 
 
 def _merged(spans):
@@ -243,19 +249,18 @@ def _merged(spans):
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, dup_words, n_spans, spans) for every row of ``docs`` (doc_id, text, ...).
+    """(doc_id, n_words, dup_words, n_spans, spans, origins) of the ``docs`` (doc_id, text, ...) that repeat a passage.
 
     A word is repeated if a run of 50 words or more around it also occurs at a smaller
-    (doc_id, position); the earliest occurrence is never marked. Words are compared by
-    their bytes, white space isn't compared. ``spans`` are word ranges [first, last).
-    Null, blank and short texts have none. Rows that repeat a doc_id count as one
-    document and get equal results; rows without a doc_id take no part (no spans).
+    (doc_id, position); the earliest occurrence is never marked, its document is one of
+    ``origins``. Words are compared by their bytes, white space isn't compared. ``spans`` are
+    word ranges [first, last). Null, blank and short texts repeat nothing. Rows that repeat a doc_id count as one
+    document and get equal results; rows without a doc_id take no part.
     """
     kept = retained_suffixes(docs)
-    out = kept.select("doc_id", "n_words").join(repeats(docs, kept), "doc_id", "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
-    dup = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return out.select("doc_id", "n_words", dup.alias("dup_words"), F.size(spans).alias("n_spans"), spans.alias("spans"))
+    out = kept.select("doc_id", "n_words").join(repeats(docs, kept), "doc_id")
+    dup = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return out.select("doc_id", "n_words", dup.alias("dup_words"), F.size("spans").alias("n_spans"), "spans", "origins")
 
 
 def _cut(columns: list[str]):
@@ -295,7 +300,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     Columns stay; an ``n_chars`` column follows the text of changed documents.
     """
-    spans = repeats(docs, retained_suffixes(docs))
+    spans = repeats(docs, retained_suffixes(docs)).drop("origins")
     joined = docs.join(spans.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").drop("_of")
     out = map_texts(joined, _cut(docs.columns), docs.schema)
     if "n_chars" in docs.columns:
