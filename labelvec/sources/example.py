@@ -55,24 +55,50 @@ def example_class(packed: bool = False):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName("labelvec.Example"))
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values one after the other, bytes of each): seven bits a byte, the last without a mark."""
+    left = values.astype(np.int64).view(np.uint64)
+    size = np.ones(len(left), np.int64)
+    for k in range(1, 10):
+        size += left >= np.uint64(1 << 7 * k)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        mark = np.where(size[more] > k + 1, 0x80, 0).astype(np.uint8)
+        out[start[more] + k] = ((left[more] >> np.uint64(7 * k)) & np.uint64(0x7F)).astype(np.uint8) | mark
+    return out, size
+
+
+@functools.lru_cache(maxsize=4096)
+def _tagged(field: int, size: int) -> bytes:
+    """Tag and length of a field of bytes; the field numbers are those of ``example_class``."""
+    return bytes([field << 3 | 2]) + varints(np.array([size]))[0].tobytes()
+
+
+def _field(field: int, body: bytes) -> bytes:
+    return _tagged(field, len(body)) + body
+
+
 def encode(batch: pa.RecordBatch) -> list[bytes]:
-    """One message per row; every column is a list of ints."""
-    new = example_class()
+    """One message per row; every column is a list of ints. Features are in the order of their names."""
     columns = []
-    for name, column in zip(batch.schema.names, batch.columns):
+    for name, column in sorted(zip(batch.schema.names, batch.columns), key=lambda c: c[0]):
         if column.null_count or column.flatten().null_count:
             raise ValueError(f"null in feature {name!r}")
         # Offsets start inside the values when the batch is a slice of a larger one.
         offsets = column.offsets.to_numpy()
-        columns.append((name, column.flatten().to_numpy(), (offsets - offsets[0]).tolist()))
+        data, size = varints(column.flatten().to_numpy())
+        edges = np.concatenate([[0], np.cumsum(size)])[offsets - offsets[0]]
+        columns.append((_field(1, name.encode()), data.tobytes(), edges.tolist()))
     messages = []
     for row in range(batch.num_rows):
-        message = new()
-        for name, values, offsets in columns:
-            message.features.feature[name].int64_list.value.extend(
-                values[offsets[row] : offsets[row + 1]].tolist()
-            )
-        messages.append(message.SerializeToString(deterministic=True))
+        features = []
+        for key, data, edges in columns:
+            packed = data[edges[row] : edges[row + 1]]
+            feature = _field(3, _field(1, packed)) if packed else b""
+            features.append(_field(1, key + _field(2, feature)))
+        messages.append(_field(1, b"".join(features)))
     return messages
 
 

@@ -84,37 +84,38 @@ def _check_length(head: bytes, path: str) -> int:
     return length
 
 
-def _heads(stream, path: str, size: int) -> Iterator[int]:
-    """Data length of each record in the next ``size`` bytes; the caller consumes the data."""
-    done = 0
-    while done < size:
-        length = _check_length(read_exactly(stream, 12, path), path)
-        yield length
-        done += 16 + length
-    if done != size:
-        raise ValueError(f"{path}: no record ends {size} bytes in; read the file in one piece")
-
-
 def record_groups(path: str, start: int, size: int) -> Iterator[list[bytes]]:
-    """Verified payloads of a byte range, in groups of bounded size."""
+    """Payloads of a byte range, in groups of bounded size; lengths and data of a group are verified at once."""
+    heads: list[bytes] = []
     payloads: list[bytes] = []
     stored: list[bytes] = []
-    held = 0
+    held = done = 0
 
     def verified() -> list[bytes]:
+        lengths = np.frombuffer(b"".join(h[8:] for h in heads), "<u4")
+        if not np.array_equal(masked(crc32c([h[:8] for h in heads])), lengths):
+            raise ValueError(f"{path}: bad checksum of a record length")
         expected = np.frombuffer(b"".join(stored), "<u4")
         if not np.array_equal(masked(crc32c(payloads)), expected):
             raise ValueError(f"{path}: bad checksum of a record")
         return payloads
 
     with open_stream(path, start) as stream:
-        for length in _heads(stream, path, size):
+        while done < size:
+            head = read_exactly(stream, 12, path)
+            length = struct.unpack_from("<Q", head)[0]
+            if done + 16 + length > size:  # a wrong length, or a split that ends inside a record
+                _check_length(head, path)
+                read_exactly(stream, length + 4, path)
+                raise ValueError(f"{path}: no record ends {size} bytes in; read the file in one piece")
+            heads.append(head)
             payloads.append(read_exactly(stream, length, path))
             stored.append(read_exactly(stream, 4, path))
+            done += 16 + length
             held += length
             if len(payloads) >= GROUP_RECORDS or held >= GROUP_BYTES:
                 yield verified()
-                payloads, stored, held = [], [], 0
+                heads, payloads, stored, held = [], [], [], 0
     if payloads:
         yield verified()
 
