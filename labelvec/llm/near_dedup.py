@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelvec.llm.graph import connected_components
 from labelvec.llm.text import Texts, find_words, map_texts, mix, ngrams, slices
-from labelvec.session import stage
+from labelvec.session import broadcast_if_small, stage
 
 BANDS, ROWS = 42, 6
 MINIMA = BANDS * ROWS
@@ -184,6 +184,12 @@ def _band_rows(reps: DataFrame) -> DataFrame:
     return reps.select("id", F.posexplode(keys).alias("band", "key"))
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the ids in ``wanted``, one row each. Up to a million ids go to the texts, else they meet by a shuffle."""
+    wanted = stage(wanted, "wanted")
+    return texts.join(broadcast_if_small(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def links_of(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect all similar ``reps`` (id, n_shingles, minima).
 
@@ -203,7 +209,7 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Data
     pairs = stage(map_texts(pairs, _by_signature(least), "a long, b long"), "pairs")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    held = _texts_of(texts, wanted)
     near = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
     first = stage(map_texts(near, _by_sets(width, percent), "a long, b long").distinct(), "links")
 
@@ -229,9 +235,7 @@ def links_of(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Data
         "band", "key", "id", "component", F.lit(True).alias("probe"), own(n_probe).alias("i"), F.explode(F.sequence(F.lit(0), n_base - 1)).alias("j")
     )
     both = base.union(probe)
-    asked = both.select("id").distinct()
-    held = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    dealt = both.join(marks, "id").join(held, "id")
+    dealt = both.join(marks, "id").join(_texts_of(texts, both.select("id").distinct()), "id")
     rest = dealt.groupBy("band", "key", "i", "j").applyInPandas(_compare(width, percent, least), "a long, b long")
     return stage(first.union(rest).distinct(), "links")
 
