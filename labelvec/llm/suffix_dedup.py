@@ -22,9 +22,9 @@ GRAM = 16
 STEP = MIN_WORDS - GRAM + 1
 LEFT = STEP - 1
 WIDTH = LEFT + MIN_WORDS
-# Retained suffixes that share a gram are compared in one task up to this number. Beyond
-# it their windows are counted by a grouped minimum, with the same result.
-HOT_SUFFIXES = 256
+# Retained suffixes that share a gram are compared in one block up to this number. More are dealt
+# to several blocks by document; what the blocks keep is then compared by a grouped minimum.
+HOT_SUFFIXES = 512
 CHUNK_ROWS = 30_000
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -67,32 +67,26 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), *lists], schema=schema)
 
 
-def _located(batch: pa.RecordBatch) -> Iterator[tuple[Texts, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts, words, words of each text, text, position in it and in ``words``) of the suffixes in ``at``."""
-    for texts in slices(batch.column("text")):
-        words = find_words(texts)
-        counts = words.per_doc(texts.count)
-        first = np.cumsum(counts) - counts
-        lists = batch.column("at").slice(texts.first, texts.count)
-        doc = np.repeat(np.arange(texts.count), lists.value_lengths().to_numpy())
-        at = lists.flatten().to_numpy()
-        fits = at < counts[doc]
-        doc, at = doc[fits], at[fits]
-        yield texts, words, counts, doc, at, at + first[doc]
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around every suffix as 32-bit codes: ``LEFT`` before it, ``MIN_WORDS`` from it."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("around", pa.binary())]
+        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("around", pa.binary())]
     )
     for batch in batches:
-        for texts, words, counts, doc, at, place in _located(batch):
+        for texts in slices(batch.column("text")):
+            words = find_words(texts)
+            counts = words.per_doc(texts.count)
+            lists = batch.column("places").slice(texts.first, texts.count)
+            doc = np.repeat(np.arange(texts.count), lists.value_lengths().to_numpy())
+            at, often = (lists.flatten().field(c).to_numpy() for c in ("at", "n"))
+            fits = at < counts[doc]
+            doc, at, often = doc[fits], at[fits], often[fits]
+            place = at + (np.cumsum(counts) - counts)[doc]
             codes = np.concatenate([np.zeros(LEFT, np.uint32), words.hash.astype(np.uint32), np.zeros(MIN_WORDS, np.uint32)])
             gram_at, gram = ngrams(words, GRAM)
             known = np.searchsorted(gram_at, place)
             good = (known < len(gram_at)) & (gram_at[np.minimum(known, max(0, len(gram_at) - 1))] == place) if len(gram_at) else np.zeros(len(place), bool)
-            doc, at, place, known = doc[good], at[good], place[good], known[good]
+            doc, at, often, place, known = doc[good], at[good], often[good], place[good], known[good]
             ids = np.asarray(batch.column("doc_id").slice(texts.first, texts.count))
             for lo in range(0, len(at), 4096):
                 part = slice(lo, lo + 4096)
@@ -104,6 +98,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(ids[doc[part]], pa.int64()),
                         pa.array(at[part], pa.int32()),
                         pa.array(gram[known[part]].view(np.int64)),
+                        pa.array(often[part], pa.int64()),
                         pa.array(np.minimum(LEFT, at[part]), pa.int32()),
                         pa.array(np.minimum(MIN_WORDS, counts[doc[part]] - at[part]), pa.int32()),
                         pa.Array.from_buffers(pa.binary(), len(around), [None, edges, flat]),
@@ -152,48 +147,72 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
     return order[hit], at_s[hit] - low[hit], at_s[hit] - high[hit] + MIN_WORDS, origin[hit]
 
 
+def least_windows(
+    doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first word) of the distinct windows of ``MIN_WORDS`` words around suffixes, where they stand first."""
+    around = around.astype(np.uint64)
+    found = []
+    for o in range(STEP):
+        rows = np.flatnonzero((left >= o) & (right >= MIN_WORDS - o))
+        window = np.zeros(len(rows), np.uint64)
+        for k in range(LEFT - o, LEFT - o + MIN_WORDS):
+            window = mix(window + around[rows, k])
+        found.append((window, doc[rows], at[rows].astype(np.int64) - o))
+    window, doc, first = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((first, doc, window))
+    window, doc, first = window[order], doc[order], first[order]
+    new = np.concatenate([[True], window[1:] != window[:-1]])[: len(window)]
+    return window[new], doc[new], first[new]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by gram; they are compared in chunks that end between grams."""
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("origin", pa.int64())])
+    """Repeats within blocks, and (``window``) what blocks of a hot gram hold, to be compared with other blocks.
+
+    Rows arrive sorted by block (gram, salt); they are compared in chunks that end between blocks.
+    """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("origin", pa.int64()), ("window", pa.int64())]
+    )
     held: pa.Table | None = None
 
-    def done(part: pa.Table) -> pa.RecordBatch:
-        doc, at, left, right = (part.column(c).to_numpy() for c in ("doc_id", "at", "left", "right"))
+    def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, at, left, right, n = (part.column(c).to_numpy() for c in ("doc_id", "at", "left", "right", "n"))
         around = np.frombuffer(b"".join(part.column("around").to_pylist()), np.uint32).reshape(-1, WIDTH)
         row, first, last, origin = matched(doc, at, left, right, around)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(origin)], schema=schema
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(origin), pa.nulls(len(row), pa.int64())],
+            schema=schema,
         )
+        edges = np.flatnonzero(_changes(part)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(n)]):
+            if n[a] > HOT_SUFFIXES:
+                window, who, first = least_windows(doc[a:b], at[a:b], left[a:b], right[a:b], around[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(who), pa.array(first, pa.int32()), pa.array(first + MIN_WORDS, pa.int32()),
+                        pa.nulls(len(who), pa.int64()), pa.array(window.view(np.int64)),
+                    ],
+                    schema=schema,
+                )
 
     for batch in batches:
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
         if held.num_rows >= CHUNK_ROWS:
-            gram = held.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))
-            if cut:
-                yield done(held.slice(0, cut))
+            changes = np.flatnonzero(_changes(held))
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield from done(held.slice(0, cut))
                 held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield done(held)
+        yield from done(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, first) for all windows of ``MIN_WORDS`` words around each suffix."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32())])
-    for batch in batches:
-        doc, at, left, right = (batch.column(c).to_numpy() for c in ("doc_id", "at", "left", "right"))
-        if not len(doc):
-            continue
-        around = np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint32).reshape(-1, WIDTH).astype(np.uint64)
-        for o in range(STEP):
-            rows = np.flatnonzero((left >= o) & (right >= MIN_WORDS - o))
-            window = np.zeros(len(rows), np.uint64)
-            for k in range(LEFT - o, LEFT - o + MIN_WORDS):
-                window = mix(window + around[rows, k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(window.view(np.int64)), pa.array(doc[rows]), pa.array(at[rows] - o, pa.int32())], schema=schema
-            )
+def _changes(part: pa.Table) -> np.ndarray:
+    """Rows after which another block begins."""
+    gram, salt = part.column("gram").to_numpy(), part.column("salt").to_numpy()
+    return (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
 
 
 def retained_suffixes(docs: DataFrame) -> DataFrame:
@@ -208,25 +227,24 @@ def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     ``origins`` are the documents that hold the earliest occurrences.
 
     ``kept`` comes from ``retained_suffixes``. Suffixes whose gram occurs once are
-    dropped after a combined count. The others are dealt out by gram, at most
-    ``HOT_SUFFIXES`` of a gram, and sorted and compared where they arrive.
+    dropped after a combined count. The others are dealt out by gram, in blocks of about
+    ``HOT_SUFFIXES``, and sorted and compared where they arrive. Blocks of one gram then
+    exchange their distinct windows, of which each block keeps the earliest occurrence.
     """
     suffixes = kept.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "gram")).alias("s"))
     suffixes = suffixes.select("doc_id", "s.at", "s.gram")
     often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(suffixes.join(often, "gram"), "shared")
-    places = shared.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    places = suffixes.join(often, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = "doc_id long, at int, gram long, left int, right int, around binary"
-    contexts = map_texts(texts.join(places, "doc_id"), _contexts, fields)
-    hot = stage(often.where(F.col("n") > HOT_SUFFIXES).select("gram"), "hot")
-    contexts = stage(contexts, "contexts")
-    few = contexts.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    spans = map_texts(few, _compare, "doc_id long, first int, last int, origin long")
-    windows = map_texts(contexts.join(hot, "gram", "left_semi"), _windows, "window long, doc_id long, first int").distinct()
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(earliest, "window").where(F.struct("doc_id", "first") > F.col("least"))
-    spans = spans.union(later.select("doc_id", "first", (F.col("first") + MIN_WORDS).alias("last"), "least.doc_id"))
+    fields = "doc_id long, at int, gram long, n long, left int, right int, around binary"
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT_SUFFIXES)).cast("int")
+    blocks = map_texts(texts.join(places, "doc_id"), _contexts, fields).withColumn("salt", salt)
+    blocks = blocks.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    found = stage(map_texts(blocks, _compare, "doc_id long, first int, last int, origin long, window long"), "repeats")
+    spans, heads = found.where("window is null").drop("window"), found.where("window is not null")
+    earliest = heads.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    later = heads.join(earliest, "window").where(F.struct("doc_id", "first") > F.col("least"))
+    spans = spans.union(later.select("doc_id", "first", "last", "least.doc_id"))
     origins = F.array_sort(F.collect_set("origin")).alias("origins")
     return stage(spans.groupBy("doc_id").agg(_merged(F.collect_set(F.struct("first", "last"))), origins), "spans")
 

@@ -113,7 +113,7 @@ def marked(texts, least=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [512, 2])
 def test_repeated_passages_equal_brute_force(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_SUFFIXES", hot)
     monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 50)
