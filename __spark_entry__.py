@@ -1009,10 +1009,10 @@ def train_eval_log(spark, sf_dir):
 
 @query(SQL_ACTIVATIONS)
 def train_histograms(spark, sf_dir):
-    """The histograms of activations that a pass logs at its first step, over the whole table."""
+    """The histograms of activations that a step over the whole table logs, counted by all its tasks."""
     samples = samples_of(spark, sf_dir)
     result = training.train_mlp(
-        samples, SMALL_B, batch_size=count_dense(samples), steps=1, keep_prob=1.0, histograms=True,
+        samples, SMALL_B, mode="sync", batch_size=count_dense(samples), steps=1, keep_prob=1.0, histograms=True,
         weights=formula_weights(SMALL_B),
     )
     logged = result.histograms(spark).where("tag LIKE '%activations'")
@@ -1065,7 +1065,7 @@ def ingest_train_score(spark, sf_dir):
         raw[split] = (f"{path}/raw/{split}/images", f"{path}/raw/{split}/labels")
     rows = samples_of(spark, sf_dir).where("split = 'train'").count()
     result = jobs.run_job(
-        spark, raw, f"{path}/out", SMALL_A, batch_size=rows, steps=1, weights=formula_weights(SMALL_A)
+        spark, raw, f"{path}/out", SMALL_A, mode="sync", batch_size=rows, steps=1, weights=formula_weights(SMALL_A)
     )
     hits = (F.col("prediction") == F.col("label")).cast("bigint")
     return result.predictions.groupBy("label").agg(

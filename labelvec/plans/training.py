@@ -58,6 +58,8 @@ from labelvec.streaming.feed import (
 WEIGHT_HIST_WIDTH = 0.02
 # Mini-batches that one shard trains on one after the other; a lost task repeats no more.
 SHARD_BATCHES = 64
+# Rows of all mini-batches of a shard, which go through one task; a larger batch needs mode='sync'.
+SHARD_ROWS = 1 << 15
 LOG_SCHEMA = "writer string, step bigint, tag string, value double"
 # Tags under which the weights of kind a are drawn as histograms.
 HIST_TAGS_A = {"hid_w": "hidden_weights", "sm_w": "softmax_weights"}
@@ -169,14 +171,18 @@ def train_mlp(
     ``model_dir``; otherwise the run of this name is replaced there.
 
     ``shards`` (epoch_avg) and ``tasks`` of a batch (sync) follow from the numbers of batches
-    and rows if they aren't given, never from the cluster.
+    and rows if they aren't given, never from the cluster. A shard of epoch_avg is one task, so more
+    than ``SHARD_ROWS`` rows of a batch or a shard are an error; sync spreads each batch by its rows.
     """
     if mode not in ("sync", "epoch_avg"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "epoch_avg" and eval_samples is not None:
         raise ValueError("periodic evaluation needs mode='sync'")
     spark = samples.sparkSession
-    n_batches = -(-count_dense(samples) // batch_size)
+    n_rows = count_dense(samples)
+    n_batches = -(-n_rows // batch_size)
+    if mode == "epoch_avg":
+        shards = _shards(n_rows, batch_size, shards)
     if eval_samples is None:
         steps = min(steps, epochs * n_batches)
     if keep_prob is None:
@@ -210,6 +216,20 @@ def train_mlp(
     return TrainResult(spec, state, max(start, steps), job.model_dir, run_id)
 
 
+def _shards(n_rows: int, batch_size: int, shards: int | None) -> int:
+    """Number of shards, of ``SHARD_BATCHES`` batches and ``SHARD_ROWS`` rows at most unless it is given."""
+    n_batches = -(-n_rows // batch_size)
+    if min(batch_size, n_rows) > SHARD_ROWS:
+        raise ValueError(f"a batch of {min(batch_size, n_rows)} rows exceeds a task's {SHARD_ROWS}: use mode='sync'")
+    if shards is None:
+        shards = -(-n_batches // min(SHARD_BATCHES, max(1, SHARD_ROWS // batch_size)))
+    shards = max(1, min(shards, n_batches))
+    rows = min(n_rows, -(-n_batches // shards) * batch_size)
+    if rows > SHARD_ROWS:
+        raise ValueError(f"{shards} shards of {rows} rows exceed a task's {SHARD_ROWS} rows: use more shards")
+    return shards
+
+
 def _tensor_metrics(job: _Job, state: Tensors, writer: str, step: int) -> list[tuple]:
     """Summaries of the weights, which the driver holds anyway."""
     if job.spec.kind == "a":
@@ -510,9 +530,8 @@ def _train_epochs(
     state: Tensors,
     start: int,
     checkpoint_every: int,
-    shards: int | None,
+    shards: int,
 ) -> Tensors:
-    shards = max(1, min(shards or -(-job.n_batches // SHARD_BATCHES), job.n_batches))
     needed = min(job.steps, job.n_batches) * job.batch_size
     shard = F.pmod(F.expr(f"sample_id div {job.batch_size}"), F.lit(shards)).cast("int")
     rows = feed_range(samples, 0, needed).select("sample_id", job.input_column, "label")

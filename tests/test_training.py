@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelvec import functions as V, sources
 from labelvec.operators import metrics as M
 from labelvec.operators.batches import apply_batches
-from labelvec.plans import checkpoints, jobs, partials
+from labelvec.plans import checkpoints, jobs, partials, training
 from labelvec.plans.network import NetSpec, batch_sums, gradient, initial_weights, layers
 from labelvec.plans.optimizers import Adagrad, default_optimizer
 from labelvec.plans.training import count_dense, evaluate, train_mlp
@@ -377,3 +377,35 @@ def test_learns_on_the_given_vectors(spark):
         checkpoint_every=400,
     )
     assert M.accuracy(predict(test, spec, result.weights)).first().accuracy > 0.5
+
+
+def test_no_shard_holds_more_rows_than_its_bound(samples, arrays, monkeypatch):
+    monkeypatch.setattr(training, "SHARD_ROWS", 100)
+    with pytest.raises(ValueError, match="sync"):
+        train_mlp(samples, A, batch_size=ROWS, steps=1, seed=5)
+    with pytest.raises(ValueError, match="shards"):
+        train_mlp(samples, A, batch_size=50, seed=5, shards=1)
+    # batches of 40 go two by two, so the averages are those of three shards
+    bounded = train_mlp(samples, A, batch_size=40, seed=5)
+    close(bounded.state, train_mlp(samples, A, batch_size=40, seed=5, shards=3).state)
+    whole = train_mlp(samples, A, mode="sync", batch_size=ROWS, steps=1, seed=5)
+    close(whole.state, by_hand(A, arrays, [0], ROWS)[0])
+
+
+@pytest.mark.parametrize("name", ["train_histograms", "ingest_train_score"])
+def test_queries_that_train_on_a_whole_table_spread_it(spark, monkeypatch, name):
+    entry = pytest.importorskip("__spark_entry__")
+    whole = []
+
+    def no_shards(*args):
+        raise AssertionError("the whole table is one shard")
+
+    def spread(job, feed, *args, run=training._run_batch):
+        whole.append((feed.tasks, feed.batch_size))
+        return run(job, feed, *args)
+
+    monkeypatch.setattr(feed, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(training, "_train_epochs", no_shards)
+    monkeypatch.setattr(training, "_run_batch", spread)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert whole and all(tasks >= rows / 50 > 1 for tasks, rows in whole)
