@@ -26,25 +26,27 @@ WIDTH = LEFT + MIN_WORDS
 # to several blocks by document; what the blocks keep is then compared by a grouped minimum.
 HOT_SUFFIXES = 512
 CHUNK_ROWS = 30_000
-_LOW = np.uint64((1 << 20) - 1)
 
 
-def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of the least gram of every window of ``STEP`` grams; the first of equals."""
+def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first word, hash, low, high) of the least gram of every window of ``STEP`` grams; the first of equals.
+
+    A gram is the least of the windows that begin ``low`` to ``high`` words before it.
+    """
     at, grams = ngrams(words, GRAM)
     if len(at) < STEP:
-        return at[:0], grams[:0]
-    keys = (grams & ~_LOW) | (at.astype(np.uint64) & _LOW)
-    least, size = keys, 1
-    while 2 * size <= STEP:
-        least = np.minimum(least[: len(least) - size], least[size:])
-        size *= 2
-    rest = STEP - size
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    inside = words.doc[at[: len(least)]] == words.doc[at[STEP - 1 :]]
-    first = at[: len(least)][inside].astype(np.uint64)
-    chosen = np.unique(first + ((least[inside] - first) & _LOW)).astype(np.int64)
-    return chosen, grams[np.searchsorted(at, chosen)]
+        return at[:0], grams[:0], at[:0], at[:0]
+    least, place, size = grams, np.arange(len(at)), 1
+    while size < STEP:
+        shift = min(size, STEP - size)
+        later = least[shift:] < least[:-shift]
+        least = np.where(later, least[shift:], least[:-shift])
+        place = np.where(later, place[shift:], place[:-shift])
+        size += shift
+    inside = np.flatnonzero(words.doc[at[: len(place)]] == words.doc[at[STEP - 1 :]])
+    chosen, first = np.unique(place[inside], return_index=True)
+    last = np.append(first[1:], len(inside)) - 1
+    return at[chosen], grams[chosen], at[chosen] - at[inside[last]], at[chosen] - at[inside[first]]
 
 
 def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +58,7 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = find_words(texts)
             counts = words.per_doc(texts.count)
             first = np.cumsum(counts) - counts
-            at, grams = minimisers(words)
+            at, grams, _, _ = minimisers(words)
             doc = words.doc[at]
             bounds = pa.array(np.searchsorted(doc, np.arange(texts.count + 1)), pa.int32())
             lists = [
@@ -68,9 +70,9 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around every suffix as 32-bit codes: ``LEFT`` before it, ``MIN_WORDS`` from it."""
+    """The words around every suffix as 32-bit codes: ``LEFT`` before it, ``MIN_WORDS`` from it; ``low`` and ``high`` as above."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("around", pa.binary())]
+        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("around", pa.binary())]
     )
     for batch in batches:
         for texts in slices(batch.column("text")):
@@ -83,7 +85,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, at, often = doc[fits], at[fits], often[fits]
             place = at + (np.cumsum(counts) - counts)[doc]
             codes = np.concatenate([np.zeros(LEFT, np.uint32), words.hash.astype(np.uint32), np.zeros(MIN_WORDS, np.uint32)])
-            gram_at, gram = ngrams(words, GRAM)
+            gram_at, gram, low, high = minimisers(words)
             known = np.searchsorted(gram_at, place)
             good = (known < len(gram_at)) & (gram_at[np.minimum(known, max(0, len(gram_at) - 1))] == place) if len(gram_at) else np.zeros(len(place), bool)
             doc, at, often, place, known = doc[good], at[good], often[good], place[good], known[good]
@@ -99,39 +101,38 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(at[part], pa.int32()),
                         pa.array(gram[known[part]].view(np.int64)),
                         pa.array(often[part], pa.int64()),
-                        pa.array(np.minimum(LEFT, at[part]), pa.int32()),
-                        pa.array(np.minimum(MIN_WORDS, counts[doc[part]] - at[part]), pa.int32()),
+                        pa.array(low[known[part]], pa.int32()),
+                        pa.array(high[known[part]], pa.int32()),
                         pa.Array.from_buffers(pa.binary(), len(around), [None, edges, flat]),
                     ],
                     schema=schema,
                 )
 
 
-def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last, earliest text) of passages that stood before, from retained suffixes.
+def matched(doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, earliest text) of passages that stood before, from retained suffixes; a row for each earliest text.
 
     Suffixes are sorted by their words and neighbours compared, which gives the length
     of their common prefix. For each number ``o`` of words to the left, suffixes in one
     run of common prefixes of ``MIN_WORDS - o`` words match if their ``o`` words before
     are equal too; all but the earliest (doc, at) of such a set are repeats. Rows of
-    one (doc, at) are one occurrence.
+    one (doc, at) are one occurrence. Each window is looked at from its own least gram only, which
+    all its occurrences hold at the same place, so the earliest one is among the rows.
     """
     suffix = np.ascontiguousarray(around[:, LEFT:].astype(">u4"))
     order = np.argsort(suffix.view(f"S{4 * MIN_WORDS}").ravel(), kind="stable")
-    around, doc_s, at_s = around[order], doc[order], at[order]
+    around, doc_s, at_s, low, high = around[order], doc[order], at[order], low[order], high[order]
     equal = around[1:, LEFT:] == around[:-1, LEFT:]
     common = np.where(equal.all(axis=1), MIN_WORDS, (~equal).argmax(axis=1))
     rank = np.empty(len(order), np.int64)
     rank[np.lexsort((at_s, doc_s))] = np.arange(len(order))
     lead = np.zeros(len(order), np.uint64)
-    low, high = np.full(len(order), -1), np.full(len(order), -1)
-    origin = np.zeros(len(order), np.int64)
+    found = []
     for o in range(STEP):
         if o:
             lead = mix(lead + around[:, LEFT - o].astype(np.uint64) + np.uint64(o))
-        whole = (left[order] >= o) & (right[order] >= MIN_WORDS - o)
         run = np.concatenate([[0], np.cumsum(common < MIN_WORDS - o)]).astype(np.uint64)
-        rows = np.flatnonzero(whole)
+        rows = np.flatnonzero((low <= o) & (o <= high))
         key = mix(lead[rows] ^ mix(run[rows] + np.uint64(1)))
         by = np.lexsort((rank[rows], key))
         rows, key = rows[by], key[by]
@@ -139,72 +140,107 @@ def matched(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray
         least = rows[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
         repeat = (doc_s[rows] != doc_s[least]) | (at_s[rows] != at_s[least])
         later = rows[repeat]
-        origin[later] = doc_s[least[repeat]]
-        # all matches of a suffix overlap at its gram: from the farthest left to the farthest right
-        high[later] = np.where(high[later] < 0, o, high[later])
-        low[later] = o
-    hit = np.flatnonzero(high >= 0)
-    return order[hit], at_s[hit] - low[hit], at_s[hit] - high[hit] + MIN_WORDS, origin[hit]
+        found.append((later, at_s[later].astype(np.int64) - o, doc_s[least[repeat]]))
+    row, first, origin = (np.concatenate(x) for x in zip(*found))
+    row, first, last, origin = _joined(row, first, origin)
+    return order[row], first, last, origin
+
+
+def _joined(row: np.ndarray, first: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, mark) of the distinct marks of every row; its windows overlap at its gram, so they are one span."""
+    by = np.lexsort((mark, row))
+    row, first, mark = row[by], first[by], mark[by]
+    new = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+    edges = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    if len(row):
+        begin, end = np.minimum.reduceat(first, edges)[which], np.maximum.reduceat(first, edges)[which] + MIN_WORDS
+    else:
+        begin = end = first
+    keep = new.copy()
+    keep[1:] |= mark[1:] != mark[:-1]
+    return row[keep], begin[keep], end[keep], mark[keep]
 
 
 def least_windows(
-    doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, first word) of the distinct windows of ``MIN_WORDS`` words around suffixes, where they stand first."""
+    doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray, seed: int
+) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """What a block of a hot gram holds: its distinct windows of ``MIN_WORDS`` words, and its repeats of them.
+
+    (hash, text, first word, group) of the windows where they stand first; (row, first, last, group) of the
+    repeats. Windows that the same texts repeat are one group, as they share the texts that
+    their earliest occurrences are origins of.
+    """
     around = around.astype(np.uint64)
     found = []
     for o in range(STEP):
-        rows = np.flatnonzero((left >= o) & (right >= MIN_WORDS - o))
+        rows = np.flatnonzero((low <= o) & (o <= high))
         window = np.zeros(len(rows), np.uint64)
         for k in range(LEFT - o, LEFT - o + MIN_WORDS):
             window = mix(window + around[rows, k])
-        found.append((window, doc[rows], at[rows].astype(np.int64) - o))
-    window, doc, first = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((first, doc, window))
-    window, doc, first = window[order], doc[order], first[order]
+        found.append((window, rows, at[rows].astype(np.int64) - o))
+    window, row, first = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((first, doc[row], window))
+    window, row, first = window[by], row[by], first[by]
+    who = doc[row]
     new = np.concatenate([[True], window[1:] != window[:-1]])[: len(window)]
-    return window[new], doc[new], first[new]
+    which = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    repeat = (who != who[head[which]]) | (first != first[head[which]])
+    # a text counts once for each window
+    r = np.flatnonzero(repeat)
+    once = np.ones(len(r), bool)
+    once[1:] = (which[r[1:]] != which[r[:-1]]) | (who[r[1:]] != who[r[:-1]])
+    group = np.zeros(len(head), np.uint64)
+    np.add.at(group, which[r[once]], mix(who[r[once]].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    group = mix(group + np.uint64(seed)).view(np.int64)
+    return (window[new], who[new], first[new], group), _joined(row[r], first[r], group[which[r]])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats within blocks, and (``window``) what blocks of a hot gram hold, to be compared with other blocks.
 
-    Rows arrive sorted by block (gram, salt); they are compared in chunks that end between blocks.
+    Rows arrive sorted by block (gram, salt); they are compared in chunks that end between blocks. Repeats
+    in blocks of a hot gram have a ``part``, a group of windows, instead of an origin.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("origin", pa.int64()), ("window", pa.int64())]
+        [("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("origin", pa.int64()), ("window", pa.int64()), ("part", pa.int64())]
     )
     held: pa.Table | None = None
+    full = CHUNK_ROWS
+
+    def rows(doc, first, last, origin=None, window=None, part=None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (origin, window, part)]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first, pa.int32()), pa.array(last, pa.int32()), *columns], schema=schema)
 
     def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, at, left, right, n = (part.column(c).to_numpy() for c in ("doc_id", "at", "left", "right", "n"))
+        doc, at, low, high, n, gram, salt = (part.column(c).to_numpy() for c in ("doc_id", "at", "low", "high", "n", "gram", "salt"))
         around = np.frombuffer(b"".join(part.column("around").to_pylist()), np.uint32).reshape(-1, WIDTH)
-        row, first, last, origin = matched(doc, at, left, right, around)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(origin), pa.nulls(len(row), pa.int64())],
-            schema=schema,
-        )
         edges = np.flatnonzero(_changes(part)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(n)]):
-            if n[a] > HOT_SUFFIXES:
-                window, who, first = least_windows(doc[a:b], at[a:b], left[a:b], right[a:b], around[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(who), pa.array(first, pa.int32()), pa.array(first + MIN_WORDS, pa.int32()),
-                        pa.nulls(len(who), pa.int64()), pa.array(window.view(np.int64)),
-                    ],
-                    schema=schema,
-                )
+        begin = np.concatenate([[0], edges])
+        hot = np.maximum.reduceat(n, begin) > HOT_SUFFIXES
+        alone = np.flatnonzero(~np.repeat(hot, np.diff(np.append(begin, len(n)))))
+        if len(alone):
+            row, first, last, origin = matched(doc[alone], at[alone], low[alone], high[alone], around[alone])
+            yield rows(doc[alone][row], first, last, origin=origin)
+        for a, b in zip(begin[hot].tolist(), np.append(edges, len(n))[hot].tolist()):
+            seed = int(mix(gram[a : a + 1].view(np.uint64) + salt[a : a + 1].astype(np.uint64))[0])
+            (window, who, first, group), (row, start, end, mark) = least_windows(doc[a:b], at[a:b], low[a:b], high[a:b], around[a:b], seed)
+            yield rows(who, first, first + MIN_WORDS, window=window.view(np.int64), part=group)
+            yield rows(doc[a:b][row], start, end, part=mark)
 
     for batch in batches:
         part = pa.Table.from_batches([batch])
         held = part if held is None else pa.concat_tables([held, part])
-        if held.num_rows >= CHUNK_ROWS:
+        if held.num_rows >= full:
             changes = np.flatnonzero(_changes(held))
             if len(changes):
                 cut = int(changes[-1]) + 1
                 yield from done(held.slice(0, cut))
-                held = held.slice(cut)
+                held, full = held.slice(cut), CHUNK_ROWS
+            else:
+                held = held.group_by(held.column_names).aggregate([])  # rows that repeat a doc_id and its text
+                full = max(CHUNK_ROWS, 2 * held.num_rows)
     if held is not None and held.num_rows:
         yield from done(held)
 
@@ -224,7 +260,7 @@ def retained_suffixes(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(doc_id, spans, origins): word ranges [first, last) that repeat an earlier passage of ``MIN_WORDS`` words or more.
 
-    ``origins`` are the documents that hold the earliest occurrences.
+    ``origins`` are the documents that hold the earliest occurrences of its windows of ``MIN_WORDS`` words, whatever the blocks.
 
     ``kept`` comes from ``retained_suffixes``. Suffixes whose gram occurs once are
     dropped after a combined count. The others are dealt out by gram, in blocks of about
@@ -236,15 +272,18 @@ def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     places = suffixes.join(often, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = "doc_id long, at int, gram long, n long, left int, right int, around binary"
+    fields = "doc_id long, at int, gram long, n long, low int, high int, around binary"
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT_SUFFIXES)).cast("int")
     blocks = map_texts(texts.join(places, "doc_id"), _contexts, fields).withColumn("salt", salt)
     blocks = blocks.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    found = stage(map_texts(blocks, _compare, "doc_id long, first int, last int, origin long, window long"), "repeats")
+    found = stage(map_texts(blocks, _compare, "doc_id long, first int, last int, origin long, window long, part long"), "repeats")
     spans, heads = found.where("window is null").drop("window"), found.where("window is not null")
-    earliest = heads.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    later = heads.join(earliest, "window").where(F.struct("doc_id", "first") > F.col("least"))
-    spans = spans.union(later.select("doc_id", "first", "last", "least.doc_id"))
+    earliest = heads.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"))
+    heads = heads.drop("origin").join(earliest, "window").withColumn("origin", F.col("least.doc_id"))
+    later = heads.where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", "last", "origin")
+    among = spans.where("part is not null").drop("origin").join(heads.select("part", "origin").distinct(), "part")
+    fields = ["doc_id", "first", "last", "origin"]
+    spans = spans.where("part is null").select(fields).union(among.select(fields)).union(later)
     origins = F.array_sort(F.collect_set("origin")).alias("origins")
     return stage(spans.groupBy("doc_id").agg(_merged(F.collect_set(F.struct("first", "last"))), origins), "spans")
 

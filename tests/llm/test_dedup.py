@@ -157,3 +157,32 @@ def test_repeats_of_odd_rows(odd, odd_rows, nothing):
     assert Counter(r.doc_id for r in rows)[10] == 2 and 11 not in {r.doc_id for r in rows}
     assert all(r.text is None for r in rows if r.doc_id == 13)
     assert suffix_dedup.repeated_passages(nothing).count() == suffix_dedup.cut_repeats(nothing).count() == 0
+
+
+def first_holders(texts, least=50):
+    """Documents of each (id, text), ids rising, that hold the first occurrences of its repeated windows."""
+    first, out = {}, {}
+    for i, t in texts:
+        ws = words(t)
+        for k in range(len(ws) - least + 1):
+            holder = first.setdefault(tuple(ws[k : k + least]), (i, k))
+            if holder != (i, k):
+                out.setdefault(i, set()).add(holder[0])
+    return {i: sorted(s) for i, s in out.items()}
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_origins_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SUFFIXES", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 50)
+    rng = random.Random(3)
+    long = prose(rng, 300).split(" ")
+    # pieces of one passage, so that a document's windows stand first in several documents
+    texts = [(i, prose(rng, 10) + " " + " ".join(long[a : a + rng.randrange(60, 160)])) for i in range(40) for a in [rng.randrange(200)]]
+    texts += [(50, " ".join(long)), (51, "la li " * 200), (52, "li la " * 90 + " ".join(long[100:180]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = first_holders(texts)
+    assert max(map(len, want.values())) > 2
+    for layout in (1, 5):
+        got = suffix_dedup.repeated_passages(docs.repartition(layout)).collect()
+        assert {r.doc_id: r.origins for r in got} == want
