@@ -23,8 +23,9 @@ STEP = MIN_WORDS - GRAM + 1
 LEFT = STEP - 1
 WIDTH = LEFT + MIN_WORDS
 # Retained suffixes that share a gram are compared in one block up to this number. More are dealt
-# to several blocks by document; what the blocks keep is then compared by a grouped minimum.
+# to several blocks by text and range of positions; what the blocks keep is then compared by a grouped minimum.
 HOT_SUFFIXES = 512
+DEAL_WORDS = 512
 CHUNK_ROWS = 30_000
 
 
@@ -72,7 +73,7 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around every suffix as 32-bit codes: ``LEFT`` before it, ``MIN_WORDS`` from it; ``low`` and ``high`` as above."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("around", pa.binary())]
+        [("doc_id", pa.int64()), ("at", pa.int32()), ("gram", pa.int64()), ("n", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("deal", pa.int64()), ("around", pa.binary())]
     )
     for batch in batches:
         for texts in slices(batch.column("text")):
@@ -90,6 +91,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             good = (known < len(gram_at)) & (gram_at[np.minimum(known, max(0, len(gram_at) - 1))] == place) if len(gram_at) else np.zeros(len(place), bool)
             doc, at, often, place, known = doc[good], at[good], often[good], place[good], known[good]
             ids = np.asarray(batch.column("doc_id").slice(texts.first, texts.count))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash, dtype=np.uint64)])
+            ends = np.cumsum(counts)
+            deal = mix(mix(sums[ends] - sums[ends - counts])[doc] + at.astype(np.uint64) // np.uint64(DEAL_WORDS)).view(np.int64)
             for lo in range(0, len(at), 4096):
                 part = slice(lo, lo + 4096)
                 around = codes[place[part, None] + np.arange(WIDTH)]
@@ -103,6 +107,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array(often[part], pa.int64()),
                         pa.array(low[known[part]], pa.int32()),
                         pa.array(high[known[part]], pa.int32()),
+                        pa.array(deal[part], pa.int64()),
                         pa.Array.from_buffers(pa.binary(), len(around), [None, edges, flat]),
                     ],
                     schema=schema,
@@ -257,6 +262,21 @@ def retained_suffixes(docs: DataFrame) -> DataFrame:
     return stage(map_texts(docs, _retain, "doc_id long, n_words long, at array<int>, gram array<long>"), "suffixes")
 
 
+def dealt_suffixes(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Suffixes whose gram occurs more than once, with their words and block (gram, salt).
+
+    A block holds about ``HOT_SUFFIXES`` suffixes, and never more than a few ranges of ``DEAL_WORDS`` words of a text.
+    """
+    suffixes = kept.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "gram")).alias("s"))
+    suffixes = suffixes.select("doc_id", "s.at", "s.gram")
+    often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    places = suffixes.join(often, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fields = "doc_id long, at int, gram long, n long, low int, high int, deal long, around binary"
+    salt = F.pmod(F.xxhash64("doc_id", "deal"), F.ceil(F.col("n") / HOT_SUFFIXES)).cast("int")
+    return map_texts(texts.join(places, "doc_id"), _contexts, fields).withColumn("salt", salt).drop("deal")
+
+
 def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(doc_id, spans, origins): word ranges [first, last) that repeat an earlier passage of ``MIN_WORDS`` words or more.
 
@@ -267,14 +287,7 @@ def repeats(docs: DataFrame, kept: DataFrame) -> DataFrame:
     ``HOT_SUFFIXES``, and sorted and compared where they arrive. Blocks of one gram then
     exchange their distinct windows, of which each block keeps the earliest occurrence.
     """
-    suffixes = kept.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("at", "gram")).alias("s"))
-    suffixes = suffixes.select("doc_id", "s.at", "s.gram")
-    often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    places = suffixes.join(often, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = "doc_id long, at int, gram long, n long, low int, high int, around binary"
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / HOT_SUFFIXES)).cast("int")
-    blocks = map_texts(texts.join(places, "doc_id"), _contexts, fields).withColumn("salt", salt)
+    blocks = dealt_suffixes(docs, kept)
     blocks = blocks.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     found = stage(map_texts(blocks, _compare, "doc_id long, first int, last int, origin long, window long, part long"), "repeats")
     spans, heads = found.where("window is null").drop("window"), found.where("window is not null")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import prose, words
+from pyspark.sql import functions as F
 
 from labelvec.llm import near_dedup, suffix_dedup
 from labelvec.llm.graph import connected_components
@@ -186,3 +187,17 @@ def test_origins_equal_brute_force(spark, hot, monkeypatch):
     for layout in (1, 5):
         got = suffix_dedup.repeated_passages(docs.repartition(layout)).collect()
         assert {r.doc_id: r.origins for r in got} == want
+
+
+def test_no_block_grows_with_one_text_or_repeated_rows(spark, monkeypatch):
+    texts = [(1, "na " * 40_000), (2, "na " * 30), (3, "la li lo " * 5_000)] + [(4, "na " * 700)] * 40
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 50)
+    kept = suffix_dedup.retained_suffixes(docs)
+    blocks = suffix_dedup.dealt_suffixes(docs, kept).groupBy("gram", "salt").agg(F.countDistinct("doc_id", "at").alias("n"))
+    assert blocks.agg(F.max("n")).first()[0] <= 20 * suffix_dedup.HOT_SUFFIXES
+    got = {r.doc_id: r for r in suffix_dedup.repeats(docs, kept).collect()}
+    assert [(r["first"], r["last"]) for r in got[1].spans] == [(1, 40_000)] and got[1].origins == [1]
+    assert [(r["first"], r["last"]) for r in got[3].spans] == [(3, 15_000)] and got[3].origins == [3]
+    assert [(r["first"], r["last"]) for r in got[4].spans] == [(0, 700)] and got[4].origins == [1]
+    assert set(got) == {1, 3, 4}
