@@ -45,6 +45,13 @@ def op1_lm_scoring(spark, sf_dir):
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
+@query
+def op1_lm_scoring_trigrams(spark, sf_dir):
+    """The same with words, pairs and runs of three; its steps of backoff are two."""
+    scores = lm_scoring.score_documents(documents(spark, sf_dir), orders=3)
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     """Words that each document gives to a mix of 150 % of all words with weights 3, 1, 2."""

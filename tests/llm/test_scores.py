@@ -181,3 +181,12 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, nothing):
     assert quality_crf.quality_scores(nothing, model).count() == quality_crf.keep_good(nothing, model).count() == 0
     unfitted = quality_crf.train(odd, labels.where("doc_id is null"))
     assert quality_crf.quality_scores(odd, unfitted).count() == len(odd_rows)
+
+
+@with_data
+def test_a_registered_query_uses_runs_of_three_words(spark):
+    path = "/root/testdata/sf0.001"
+    full = {n: {(r.doc_id, r.n_words): r.n_full for r in queries.QUERIES[n](spark, path).collect()} for n in ("op1_lm_scoring", "op1_lm_scoring_trigrams")}
+    pairs, threes = full["op1_lm_scoring"], full["op1_lm_scoring_trigrams"]
+    assert pairs.keys() == threes.keys()
+    assert all(threes[k] <= pairs[k] for k in pairs) and 0 < sum(threes.values()) < sum(pairs.values())
