@@ -31,10 +31,3 @@ def small(spark):
         for i in range(50)
     ]
     return spark.createDataFrame(rows, "sample_id long, image array<int>, label array<double>")
-
-
-def content(df):
-    """Image and label of every row, in a comparable form."""
-    return sorted(
-        (tuple(r.image), tuple(float(v) for v in r.label)) for r in df.select("image", "label").collect()
-    )

@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import content
+from helpers import content
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
