@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelvec.llm import (
     bpe,
+    decontaminate,
     language_id,
     lm_scoring,
     mixing,
@@ -116,4 +117,15 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query
+def op12_decontaminate(spark, sf_dir):
+    """Words of every document inside runs of ten words that a benchmark item holds too."""
+    found = decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL.update(op12_decontaminate=decontaminate.SQL)
 SQL.update(op1_lm_scoring=lm_scoring.SQL, op3_quality_rules=quality_rules.SQL, op10_exact_top_k=topk.SQL)
