@@ -19,6 +19,7 @@ from labelvec.llm import (
     suffix_dedup,
     token_counts,
     topk,
+    vector_codes,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -127,5 +128,15 @@ def op12_decontaminate(spark, sf_dir):
     )
 
 
-SQL.update(op12_decontaminate=decontaminate.SQL)
+@query
+def op13_vector_codes(spark, sf_dir):
+    """Codes of 16 parts with 64 entries each, after two rounds over the whole table."""
+    codes, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+SQL.update(op12_decontaminate=decontaminate.SQL, op13_vector_codes=vector_codes.SQL)
 SQL.update(op1_lm_scoring=lm_scoring.SQL, op3_quality_rules=quality_rules.SQL, op10_exact_top_k=topk.SQL)
