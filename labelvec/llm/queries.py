@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelvec.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     language_id,
     lm_scoring,
@@ -118,6 +119,13 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Cheapest edits that give every damaged conversation a legal order of roles."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repairs(conversation_repair.damaged(rows), dropped="dropped", turns=False)[0]
+
+
 @query
 def op12_decontaminate(spark, sf_dir):
     """Words of every document inside runs of ten words that a benchmark item holds too."""
