@@ -81,11 +81,12 @@ def item_windows(items: DataFrame) -> DataFrame:
 def _marks(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, key, n_words, marks, short): kept grams, and hashes of all runs of the short items' ``lengths``."""
 
+    def runs(words: Column, n: int) -> Column:
+        one = lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.xxhash64(_window(words, i, n)).alias("hash"))
+        return _each(F.size(words) - (n - 1), one, "struct<n:int,at:int,hash:bigint>")
+
     def row(words: Column) -> Column:
-        short = [
-            _each(F.size(words) - (n - 1), lambda i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), F.xxhash64(_window(words, i, n)).alias("hash")), "struct<n:int,at:int,hash:bigint>")
-            for n in lengths
-        ]
+        short = [runs(words, n) for n in lengths]
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             winnowed(words).alias("marks"),
