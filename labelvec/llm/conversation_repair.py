@@ -404,3 +404,54 @@ def repairs(rows: DataFrame, dropped: str | None = None, turns: bool = True) ->
     left = map_texts(pieces, _turns, "conv_id long, turn long, seq int, turns array<struct<role:string,text:string>>")
     whole = found.where("whole").select("conv_id", "turn", F.lit(0).alias("seq"), "turns")
     return summary, whole.union(left)
+
+
+# The checksum's polynomial is a fixed value; its table and sums follow bit by bit.
+SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations, crc),
+names AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+turned AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed JOIN names ON keyed.conv_id IS NOT DISTINCT FROM names.conv_id, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM turned),
+told AS MATERIALIZED (
+  SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'cut' ELSE '' END AS fault
+  FROM (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS bare FROM numbered)),
+ins(s, t, paid, letters, added) AS (VALUES
+  (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+  (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:'])),
+ops(op, t, keeps, u, price) AS (VALUES
+  ('D', 0, NULL, 0, 3), ('D', 1, NULL, 1, 3), ('D', 2, NULL, 2, 3), ('D', 3, NULL, 3, 3),
+  ('R', 0, NULL, 2, 2), ('R', 1, NULL, 2, 2), ('R', 2, NULL, 3, 2), ('R', 3, NULL, 2, 2),
+  ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 2, 'a', 3, 0), ('K', 3, 'u', 2, 0)),
+label AS (
+  SELECT c, 0::BIGINT AS i, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS b FROM names
+  UNION ALL
+  SELECT label.c, label.i + 1, u, min({'cost': b.cost + paid + price + CASE WHEN op <> 'D' AND fault = 'cut' THEN 1 ELSE 0 END,
+    'audit': concat(b.audit, letters, op), 'lines': list_concat(b.lines, list_concat(added, CASE op WHEN 'D' THEN []::VARCHAR[]
+      WHEN 'K' THEN [concat(role, ':', text)] ELSE [concat(CASE u WHEN 2 THEN 'user' ELSE 'assistant' END, ':', text)] END))})
+  FROM label JOIN ins USING (s) JOIN ops USING (t) JOIN told ON told.c = label.c AND told.i = label.i + 1
+  WHERE (keeps IS NULL OR keeps = initial) AND (op = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY label.c, label.i, u),
+counts AS (
+  SELECT c, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'cut') AS truncated,
+    count(*) FILTER (past IS NOT NULL AND concat(past, initial) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM names LEFT JOIN (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY i) AS past FROM told) USING (c) GROUP BY c),
+ended AS (
+  SELECT c, min({'cost': b.cost + paid, 'audit': concat(b.audit, letters), 'lines': list_concat(b.lines, added)}) AS b
+  FROM label JOIN counts USING (c) JOIN ins USING (s) WHERE label.i = n AND t IN (0, 3) GROUP BY c)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit,
+  sha256(array_to_string(b.lines, chr(10))) AS repaired_sha256
+FROM names JOIN counts USING (c) JOIN ended USING (c)
+"""

@@ -146,5 +146,6 @@ def op13_vector_codes(spark, sf_dir):
     )
 
 
+SQL.update(op11_conversation_repair=conversation_repair.SQL)
 SQL.update(op12_decontaminate=decontaminate.SQL, op13_vector_codes=vector_codes.SQL)
 SQL.update(op1_lm_scoring=lm_scoring.SQL, op3_quality_rules=quality_rules.SQL, op10_exact_top_k=topk.SQL)
