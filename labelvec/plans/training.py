@@ -1,9 +1,9 @@
 """Training jobs. The driver holds the weights, the executors hold the data.
 
-``epoch_avg``  one job per epoch, the default: every shard of the batches runs its own
+``epoch_avg``  the default: in every round the shards of the batches run some of their own
                mini-batches from the same start, and the results are averaged by the number of
-               rows seen (Zinkevich et al., 2010). Shards follow from the number of batches, so
-               results don't depend on the cluster.
+               rows seen (Zinkevich et al., 2010; Stich, 2019). A round is one job, an epoch has one or more.
+               Shards follow from the number of batches, so results don't depend on the cluster.
 ``sync``       one global mini-batch after the other. Each is one Spark job: tasks sum
                gradients, the driver updates.
 """
@@ -45,9 +45,11 @@ from labelvec.plans.partials import (
 )
 from labelvec.plans.scoring import activation_histogram, predict
 from labelvec.session import MAX_MODEL_BYTES, stage, staging_path
-from labelvec.sources.columnar import read_samples, write_samples
 from labelvec.streaming.feed import (
     BatchFeed,
+    EpochOrder,
+    epoch_of,
+    epoch_shuffle,
     feed_range,
     image_samples,
     minibatch_assign,
@@ -60,6 +62,8 @@ WEIGHT_HIST_WIDTH = 0.02
 SHARD_BATCHES = 64
 # Rows of all mini-batches of a shard, which go through one task; a larger batch needs mode='sync'.
 SHARD_ROWS = 1 << 15
+# Rows that a task of a round trains on, in one or more shards.
+TASK_ROWS = 1 << 17
 LOG_SCHEMA = "writer string, step bigint, tag string, value double"
 # Tags under which the weights of kind a are drawn as histograms.
 HIST_TAGS_A = {"hid_w": "hidden_weights", "sm_w": "softmax_weights"}
@@ -108,6 +112,11 @@ class _Job:
     log_every: int
     histograms: bool
     report_every: int | None
+    n_rows: int
+    reshuffle: bool
+
+    def order(self, samples: DataFrame, laid_out: bool) -> EpochOrder:
+        return EpochOrder(samples, [self.input_column, "label"], self.n_rows, self.seed, self.reshuffle, laid_out)
 
 
 def count_dense(samples: DataFrame) -> int:
@@ -156,6 +165,8 @@ def train_mlp(
     images_per_step: int = 3,
     shards: int | None = None,
     tasks: int | None = None,
+    reshuffle: bool = False,
+    average_every: int = SHARD_BATCHES,
     run_id: str = "train",
 ) -> TrainResult:
     """Train on (sample_id, image, label) with dense ids and one-hot labels.
@@ -170,6 +181,10 @@ def train_mlp(
     random ones by default. ``resume`` goes on from the run's latest complete checkpoint in
     ``model_dir``; otherwise the run of this name is replaced there.
 
+    With ``reshuffle`` every epoch cuts its batches from a new order of the rows, which follows from ``seed`` and the epoch.
+    In epoch_avg the shards are averaged after ``average_every`` batches of each, at the end of an epoch, and wherever a
+    checkpoint is due, every ``checkpoint_every`` steps or, if a round of one batch of each shard has more, after each round.
+
     ``shards`` (epoch_avg) and ``tasks`` of a batch (sync) follow from the numbers of batches
     and rows if they aren't given, never from the cluster. A shard of epoch_avg is one task, so more
     than ``SHARD_ROWS`` rows of a batch or a shard are an error; sync spreads each batch by its rows.
@@ -190,7 +205,7 @@ def train_mlp(
     job = _Job(
         spark, spec, optimizer or default_optimizer(spec), batch_size, n_batches, steps,
         keep_prob, seed, input_column, model_dir or staging_path(spark, "model"), run_id,
-        log_every, histograms, report_every,
+        log_every, histograms, report_every, n_rows, reshuffle,
     )
     weights = initial_weights(spec, seed) if weights is None else {n: weights[n] for n in spec.names}
     state = {**weights, **job.optimizer.slots(weights)}
@@ -207,12 +222,17 @@ def train_mlp(
     if image_shape is not None:
         every = None if eval_samples is None else eval_every
         logged = steps_of(spark, steps, n_batches, every).where(F.col("step") % log_every == 0)
-        first = image_samples(minibatch_assign(samples, batch_size), images_per_step, *image_shape)
-        checkpoints.write_images(logged.join(first, "batch_id"), job.model_dir, run_id)
+        if reshuffle:
+            epochs = epoch_of(steps - 1, n_batches, every) + 1 if steps > 0 else 1
+            first, keys = epoch_shuffle(samples, n_rows, epochs, batch_size, seed), ["epoch", "batch_id"]
+        else:
+            first, keys = minibatch_assign(samples, batch_size), ["batch_id"]
+        first = image_samples(first, images_per_step, *image_shape, also=keys[:-1])
+        checkpoints.write_images(logged.join(first, keys), job.model_dir, run_id)
     if mode == "sync":
         state = _train_sync(job, samples, state, start, checkpoint_every, eval_samples, eval_every, tasks)
     else:
-        state = _train_epochs(job, samples, state, start, checkpoint_every, shards)
+        state = _train_rounds(job, samples, state, start, checkpoint_every, shards, average_every)
     return TrainResult(spec, state, max(start, steps), job.model_dir, run_id)
 
 
@@ -309,12 +329,7 @@ def _train_sync(
     tasks: int | None,
 ) -> Tensors:
     spec = job.spec
-    if "chunk" not in samples.columns:
-        # Batches are ranges of ids, which only the native layout can prune.
-        path = staging_path(job.spark, "samples")
-        write_samples(samples.select("sample_id", job.input_column, "label"), path)
-        samples = read_samples(job.spark, path)
-    feed = BatchFeed(samples, [job.input_column, "label"], job.batch_size, job.n_batches, tasks)
+    feed = BatchFeed(job.order(samples, laid_out=True), job.batch_size, job.n_batches, tasks)
     log = _Log(job)
     every = None
     if eval_samples is not None:
@@ -331,9 +346,10 @@ def _train_sync(
                     log.histograms += [("test", step, r.tensor, r.bucket, HIST_WIDTH, r.n) for r in counts.collect()]
                     log.histograms += _bucket_rows("test", step, _weight_counts(spec, state))
             else:
-                state = _run_batch(job, feed, state, step, index, log)
+                batch = feed.batch(index, epoch_of(step, job.n_batches, every))
+                state = _run_batch(job, feed, batch, state, step, log)
             if index is not None and job.report_every and step % job.report_every == 0:
-                scores = predict(feed.batch(index), spec, state, job.input_column)
+                scores = predict(batch, spec, state, job.input_column)
                 checkpoints.write_report(scores.withColumn("step", F.lit(step)), job.model_dir, job.run_id, step + 1)
             if (step + 1) % checkpoint_every == 0 or step + 1 == job.steps:
                 log.flush(step + 1)
@@ -344,12 +360,12 @@ def _train_sync(
 
 
 def _run_batch(
-    job: _Job, feed: BatchFeed, state: Tensors, step: int, index: int, log: _Log
+    job: _Job, feed: BatchFeed, batch: DataFrame, state: Tensors, step: int, log: _Log
 ) -> Tensors:
     spec, logged = job.spec, step % job.log_every == 0
     shared = job.spark.sparkContext.broadcast({n: state[n] for n in spec.names})
     partials = gradient_partials(
-        feed.batch(index), spec, shared, job.input_column,
+        batch, spec, shared, job.input_column,
         job.keep_prob, step, job.seed, job.histograms and logged,
     )
     sums = sum_partials(partials, feed.tasks)
@@ -397,13 +413,13 @@ def evaluate(
 def _mini_batches(
     batches: Iterator[pa.RecordBatch], batch_size: int
 ) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(shard, batch number, rows) of every mini-batch; rows arrive in the order of shard and id."""
+    """(shard, batch number, rows) of every mini-batch; rows arrive in the order of shard and position."""
     held: list[pa.RecordBatch] = []
     current = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        numbers = batch.column("sample_id").to_numpy() // batch_size
+        numbers = batch.column("position").to_numpy() // batch_size
         shards = batch.column("shard").to_numpy()
         edges = np.flatnonzero(np.diff(numbers)) + 1
         for low, high in zip([0, *edges], [*edges, len(numbers)]):
@@ -417,7 +433,7 @@ def _mini_batches(
         yield *current, pa.concat_batches(held)
 
 
-def _local_epoch(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
+def _local_steps(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
     """Each shard trains along its batches; a task emits the sum of its shards' weights and the logged values.
 
     Weights are multiplied by the number of rows for averaging.
@@ -465,7 +481,7 @@ def _local_epoch(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
         close()
         yield from partial_rows(total)
 
-    return df.select("shard", "sample_id", input_column, "label").mapInArrow(run, SCHEMA)
+    return df.select("shard", "position", "sample_id", input_column, "label").mapInArrow(run, SCHEMA)
 
 
 def _metric_columns(job: _Job, loss, hits, n) -> dict:
@@ -524,34 +540,55 @@ def _averaged(sums: Tensors, state: Tensors) -> Tensors:
     return {name: sums[name].reshape(w.shape) / total for name, w in state.items()}
 
 
-def _train_epochs(
+def round_steps(n_batches: int, shards: int, average_every: int, checkpoint_every: int) -> int:
+    """Steps of all shards between two averages: whole turns through the shards, and no more than until a save is due."""
+    if average_every < 1:
+        raise ValueError("shards are averaged after one batch of each at least")
+    return min(n_batches, shards * max(1, min(average_every, checkpoint_every // shards)))
+
+
+def _dealt(job: _Job, rows: DataFrame, shards: int, batches: int) -> tuple[DataFrame, int]:
+    """Rows by shard and position, in tasks of several shards; and the number of tasks."""
+    tasks = min(shards, batches, -(-batches * job.batch_size // TASK_ROWS))
+    shard = F.pmod(F.expr(f"position div {job.batch_size}"), F.lit(shards)).cast("int")
+    task = F.pmod(F.col("shard"), F.lit(tasks)).cast("int")
+    rows = rows.select("sample_id", "position", job.input_column, "label").withColumn("shard", shard)
+    return rows.repartitionById(tasks, task).sortWithinPartitions("shard", "position"), tasks
+
+
+def _train_rounds(
     job: _Job,
     samples: DataFrame,
     state: Tensors,
     start: int,
     checkpoint_every: int,
     shards: int,
+    average_every: int,
 ) -> Tensors:
-    needed = min(job.steps, job.n_batches) * job.batch_size
-    shard = F.pmod(F.expr(f"sample_id div {job.batch_size}"), F.lit(shards)).cast("int")
-    rows = feed_range(samples, 0, needed).select("sample_id", job.input_column, "label")
-    # One shuffle puts the batches of a shard into one task, in order.
-    feed = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "sample_id")
-    keep_feed = job.steps - start > job.n_batches
-    if keep_feed:
-        feed = feed.persist(StorageLevel.MEMORY_AND_DISK)
+    batch_size, n_batches = job.batch_size, job.n_batches
+    steps = round_steps(n_batches, shards, average_every, checkpoint_every)
+    order = job.order(samples, laid_out=steps < n_batches)
+    # One shuffle puts the batches of a shard into one task, in order; a round that repeats keeps them there.
+    kept = None
+    if steps == n_batches and not job.reshuffle and job.steps - start > n_batches:
+        kept, kept_tasks = _dealt(job, order.of(0), shards, n_batches)
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
     step = start
     try:
         while step < job.steps:
-            first_step = step - step % job.n_batches
-            upto = min(first_step + job.n_batches, job.steps)
-            batches = feed_range(
-                feed, (step - first_step) * job.batch_size, (upto - first_step) * job.batch_size
-            )
+            epoch, at = divmod(step, n_batches)
+            first_step = step - at
+            upto = min(first_step + min((at // steps + 1) * steps, n_batches), job.steps)
+            low, high = at * batch_size, (upto - first_step) * batch_size
+            if kept is not None:
+                batches, tasks = feed_range(kept, low, high, "position"), kept_tasks
+            else:
+                rows = feed_range(order.of(epoch), low, high, "position")
+                batches, tasks = _dealt(job, rows, shards, upto - step)
             shared = job.spark.sparkContext.broadcast(state)
             # Written once: the weights and all logs come from the same pass.
-            out = stage(_local_epoch(job, batches, shared, first_step), "epoch")
-            state = _averaged(sum_partials(out.where("step IS NULL"), shards), state)
+            out = stage(_local_steps(job, batches, shared, first_step), "round")
+            state = _averaged(sum_partials(out.where("step IS NULL"), tasks), state)
             checkpoints.write_metrics(_epoch_metrics(job, out), job.model_dir, job.run_id, upto)
             if job.histograms:
                 checkpoints.write_histograms(_epoch_histograms(out), job.model_dir, job.run_id, upto)
@@ -562,6 +599,7 @@ def _train_epochs(
                 checkpoints.save_state(job.spark, job.model_dir, state, upto, job.run_id)
             step = upto
     finally:
-        if keep_feed:
-            feed.unpersist()
+        if kept is not None:
+            kept.unpersist()
+        order.close()
     return state

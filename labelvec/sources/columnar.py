@@ -26,9 +26,9 @@ def dealt(samples: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
 
 
 def write_samples(
-    samples: DataFrame, path: str, partitions: int | None = None, block_rows: int = BLOCK_ROWS
+    samples: DataFrame, path: str, partitions: int | None = None, block_rows: int = BLOCK_ROWS, order: str = "sample_id"
 ) -> None:
-    """Sample table laid out by split and id range, rows in id order within a file.
+    """Sample table laid out by split and range of ids (or of another dense column, ``order``), in order within a file.
 
     Ids are dense, so the block of a row is plain arithmetic: no sampling pass as in
     ``repartitionByRange``. Without ``partitions`` the sizes that adaptive execution
@@ -37,11 +37,11 @@ def write_samples(
     if "split" not in samples.columns:
         samples = samples.withColumn("split", F.lit("train"))
     rows = samples.withColumns(
-        {"chunk": chunk_of(F.col("sample_id")), "_block": F.expr(f"sample_id div {block_rows}")}
+        {"chunk": chunk_of(F.col(order)), "_block": F.expr(f"{order} div {block_rows}")}
     )
     (
         dealt(rows, partitions, "split", "_block")
-        .sortWithinPartitions("split", "chunk", "sample_id")
+        .sortWithinPartitions("split", "chunk", order)
         .drop("_block")
         .write.mode("overwrite")
         .partitionBy("split", "chunk")

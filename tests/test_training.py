@@ -266,7 +266,8 @@ def test_bad_arguments(samples):
 
 
 def test_windows_of_the_feed(samples):
-    batches = feed.BatchFeed(samples, ["label"], 50, 5, tasks=2)
+    order = feed.EpochOrder(samples, ["label"], ROWS, 0, reshuffle=False, laid_out=True)
+    batches = feed.BatchFeed(order, 50, 5, tasks=2)
     batches.window = 2
     for index in (0, 1, 2, 3, 4, 0):
         ids = sorted(r.sample_id for r in batches.batch(index).collect())
@@ -405,7 +406,7 @@ def test_queries_that_train_on_a_whole_table_spread_it(spark, monkeypatch, name)
         return run(job, feed, *args)
 
     monkeypatch.setattr(feed, "ROWS_PER_TASK", 50)
-    monkeypatch.setattr(training, "_train_epochs", no_shards)
+    monkeypatch.setattr(training, "_train_rounds", no_shards)
     monkeypatch.setattr(training, "_run_batch", spread)
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert whole and all(tasks >= rows / 50 > 1 for tasks, rows in whole)
