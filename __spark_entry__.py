@@ -7,6 +7,7 @@ pixels 0..255. Weights come from a closed formula that SQL can repeat.
 from __future__ import annotations
 
 import pathlib
+import re
 import sys
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from labelvec import functions as V, sources  # noqa: E402
+from labelvec.functions import permutation  # noqa: E402
 from labelvec.operators import metrics as M, pairing, positions, verify  # noqa: E402
 from labelvec.plans import checkpoints, jobs, scoring, training  # noqa: E402
 from labelvec.plans.network import NetSpec, Tensors, gradient, spec_a, spec_b  # noqa: E402
@@ -742,6 +744,40 @@ def minibatch_assign(spark, sf_dir):
     )
 
 
+SHUFFLE_SEED = 11
+
+
+def _shuffle_sql(epochs: int) -> str:
+    """(id, epoch, x): the place of every vec_id in each epoch, by rounds over a grid that walk on beyond its last row."""
+
+    def step(rows: str) -> str:
+        grid = f"SELECT id, epoch, n, a, c, x // c AS l, x % c AS r FROM ({rows})"
+        p = permutation.PRIME
+        for k in range(permutation.ROUNDS):
+            key = permutation.round_key(k, SHUFFLE_SEED, 0)
+            mixed = f"SELECT *, ({'l' if k % 2 else 'r'} % {p} * {permutation.PLACE} + epoch % {p} * {permutation.EPOCH} + {key}) % {p} AS m FROM ({grid})"
+            drawn = f"SELECT *, (m * m % {p}) * (m * m % {p}) % {p} * m % {p} AS f FROM ({mixed})"
+            l, r = ("l", "(r + f) % c") if k % 2 else ("(l + f) % a", "r")
+            grid = f"SELECT id, epoch, n, a, c, {l} AS l, {r} AS r FROM ({drawn})"
+        return f"SELECT id, epoch, n, a, c, l * c + r AS x FROM ({grid})"
+
+    start = f"""
+SELECT vec_id AS id, CAST(e AS BIGINT) AS epoch, n, a, (n + a - 1) // a AS c, vec_id AS x FROM embeddings, range({epochs}) t(e),
+  (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM embeddings)"""
+    return f"SELECT id, epoch, x FROM (WITH RECURSIVE w AS ({step(start)} UNION ALL {step('SELECT * FROM w WHERE x >= n')}) SELECT * FROM w WHERE x < n)"
+
+
+@query(
+    f"SELECT id AS sample_id, CAST(epoch AS INTEGER) AS epoch, x AS position, x // {BATCH} AS batch_id, x % {BATCH} AS batch_pos FROM ({_shuffle_sql(3)})"
+)
+def epoch_shuffle(spark, sf_dir):
+    """Three epochs, each with batches of its own."""
+    samples = samples_of(spark, sf_dir).select("sample_id")
+    return feed.epoch_shuffle(samples, count_dense(samples), 3, BATCH, SHUFFLE_SEED).select(
+        "sample_id", "epoch", "position", "batch_id", "batch_pos"
+    )
+
+
 @query("SELECT vec_id AS sample_id, CAST(e AS INTEGER) AS epoch FROM embeddings, range(3) t(e)")
 def epoch_expand(spark, sf_dir):
     return feed.epoch_expand(samples_of(spark, sf_dir).select("sample_id"), 3)
@@ -975,6 +1011,60 @@ def train_mlp(spark, sf_dir):
     return tensor_rows(spark, result.state)
 
 
+# Averages of the batches' updates from one start; weights are those of a shard's rows.
+SQL_AVERAGE = """
+SELECT tensor, i, sum(n * (w - 0.01::DOUBLE * g / sqrt(0.1::DOUBLE + g * g))) / sum(n) AS value FROM grad JOIN rows USING (b) {0} GROUP BY tensor, i
+UNION ALL SELECT tensor || '/Adagrad', i, sum(n * (0.1::DOUBLE + g * g)) / sum(n) FROM grad JOIN rows USING (b) {0} GROUP BY tensor, i"""
+
+
+@query(
+    sql(
+        f"SELECT tensor, i, {sql_round('value')} AS value FROM ({SQL_AVERAGE.format('')})",
+        "dz_a",
+        _BATCH_CTES,
+    ).replace(_CTES["px"], _CTES["px"].replace("SELECT vec_id AS", "SELECT x AS").replace("FROM embeddings", f"FROM embeddings JOIN ({_shuffle_sql(1)}) ON id = vec_id"))
+)
+def train_reshuffled(spark, sf_dir):
+    """One pass over the whole table in the first epoch's order, a shard for each of its mini-batches, averaged."""
+    samples = samples_of(spark, sf_dir)
+    n_batches = -(-count_dense(samples) // BATCH)
+    result = training.train_mlp(
+        samples, SMALL_A, steps=n_batches, shards=n_batches, weights=formula_weights(SMALL_A), reshuffle=True, seed=SHUFFLE_SEED
+    )
+    return tensor_rows(spark, result.state)
+
+
+def _rounds_sql() -> str:
+    """Half of the batches from the first weights; the other half from their average, in tables of the same names with a 2."""
+    half = f"(SELECT (max(vec_id) // {BATCH} + 2) // 2 FROM embeddings)"
+    first = {**_BATCH_CTES, "avg1": SQL_AVERAGE.format(f"WHERE b < {half}")}
+    weights = {
+        "hid_w": "SELECT i // 8 AS i, i % 8 AS j, value AS w FROM avg1 WHERE tensor = 'hid_w'",
+        "hid_b": "SELECT i AS j, value AS b FROM avg1 WHERE tensor = 'hid_b'",
+        "sm_w": "SELECT i // 10 AS j, i % 10 AS k, value AS w FROM avg1 WHERE tensor = 'sm_w'",
+        "sm_b": "SELECT i AS k, value AS b FROM avg1 WHERE tensor = 'sm_b'",
+    }
+    again = {n: _CTES[n] for n in ("pre", "hid", "z", "zm", "y", "dz_a")} | {n: _BATCH_CTES[n] for n in ("dh", "grad")}
+    names = re.compile(r"\b(" + "|".join([*weights, *again]) + r")\b(?!')")
+    second = {f"{n}2": body for n, body in weights.items()} | {f"{n}2": names.sub(r"\g<1>2", body) for n, body in again.items()}
+    select = f"""
+SELECT tensor, i, {sql_round("sum(n * (w - 0.01::DOUBLE * g / sqrt(a + g * g))) / sum(n)")} AS value FROM late GROUP BY tensor, i
+UNION ALL SELECT tensor || '/Adagrad', i, {sql_round("sum(n * (a + g * g)) / sum(n)")} FROM late GROUP BY tensor, i"""
+    late = f"SELECT grad2.*, n, value AS a FROM grad2 JOIN rows USING (b) JOIN avg1 ON avg1.tensor = grad2.tensor || '/Adagrad' AND avg1.i = grad2.i WHERE b >= {half}"
+    return sql(select, "dz_a", {**first, **second, "late": late})
+
+
+@query(_rounds_sql())
+def train_rounds(spark, sf_dir):
+    """One pass over the whole table in two rounds: shards of two mini-batches, averaged after each."""
+    samples = samples_of(spark, sf_dir)
+    n_batches = -(-count_dense(samples) // BATCH)
+    result = training.train_mlp(
+        samples, SMALL_A, steps=n_batches, shards=-(-n_batches // 2), average_every=1, weights=formula_weights(SMALL_A)
+    )
+    return tensor_rows(spark, result.state)
+
+
 @query(_grad_sql("a", SQL_ADAGRAD))
 def train_mlp_sync(spark, sf_dir):
     """One step over the whole table as one batch, its gradient summed over tasks."""

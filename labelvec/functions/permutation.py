@@ -60,12 +60,18 @@ def shuffled(ids: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
 
 
 def longest_walk(n: int, seed: int, epoch: int) -> int:
-    """Steps, after the first one, until no number is on a place beyond ``n``."""
+    """Steps, after the first one, until no number is on a place beyond ``n``.
+
+    Places that are left when none gets back inside form cycles out there, which no number enters.
+    """
     rows, columns = grid(n)
     x, walk = np.arange(n, rows * columns, dtype=np.int64), 0
     while len(x):
-        x, walk = _step(x, n, seed, epoch), walk + 1
-        x = x[x >= n]
+        on = _step(x, n, seed, epoch)
+        on = on[on >= n]
+        if len(on) == len(x):
+            break
+        x, walk = on, walk + 1
     return walk
 
 
