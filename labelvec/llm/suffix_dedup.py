@@ -167,6 +167,20 @@ def _joined(row: np.ndarray, first: np.ndarray, mark: np.ndarray) -> tuple[np.nd
     return row[keep], begin[keep], end[keep], mark[keep]
 
 
+def _adjoining(doc: np.ndarray, first: np.ndarray, last: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of a text with one mark, as one row where they overlap or touch: a repeated line is one span, not one for each suffix."""
+    if not len(doc):
+        return doc, first, last, mark
+    by = np.lexsort((first, mark, doc))
+    doc, first, last, mark = doc[by], first[by].astype(np.int64), last[by].astype(np.int64), mark[by]
+    own = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))
+    # Words of a text are fewer than 2**31, so each text and mark has a range of its own.
+    reached = np.maximum.accumulate(last + (own << 32))
+    begins = np.flatnonzero(np.concatenate([[True], first[1:] + (own[1:] << 32) > reached[:-1]]))
+    ends = np.append(begins[1:], len(doc)) - 1
+    return doc[begins], first[begins], reached[ends] - (own[ends] << 32), mark[begins]
+
+
 def least_windows(
     doc: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray, seed: int
 ) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -227,12 +241,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = np.flatnonzero(~np.repeat(hot, np.diff(np.append(begin, len(n)))))
         if len(alone):
             row, first, last, origin = matched(doc[alone], at[alone], low[alone], high[alone], around[alone])
-            yield rows(doc[alone][row], first, last, origin=origin)
+            who, first, last, origin = _adjoining(doc[alone][row], first, last, origin)
+            yield rows(who, first, last, origin=origin)
         for a, b in zip(begin[hot].tolist(), np.append(edges, len(n))[hot].tolist()):
             seed = int(mix(gram[a : a + 1].view(np.uint64) + salt[a : a + 1].astype(np.uint64))[0])
             (window, who, first, group), (row, start, end, mark) = least_windows(doc[a:b], at[a:b], low[a:b], high[a:b], around[a:b], seed)
             yield rows(who, first, first + MIN_WORDS, window=window.view(np.int64), part=group)
-            yield rows(doc[a:b][row], start, end, part=mark)
+            who, start, end, mark = _adjoining(doc[a:b][row], start, end, mark)
+            yield rows(who, start, end, part=mark)
 
     for batch in batches:
         part = pa.Table.from_batches([batch])
@@ -333,12 +349,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", dup.alias("dup_words"), F.size("spans").alias("n_spans"), "spans", "origins")
 
 
-def _cut(columns: list[str]):
-    """Leave out the words of ``spans``, each with the white space after it; texts without words left go."""
+def _cut(columns: list[str], cuts: str):
+    """Leave out the words of the column ``cuts``, each with the white space after it; texts without words left go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("spans").to_pylist()
+            spans = batch.column(cuts).to_pylist()
             column, at = batch.column("text"), batch.schema.get_field_index("text")
             texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
             for part in slices(column):
@@ -365,14 +381,23 @@ def _cut(columns: list[str]):
     return run
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; a document of which no word is left goes.
 
-    Columns stay; an ``n_chars`` column follows the text of changed documents.
+    Columns stay, whatever their names; an ``n_chars`` column follows the text of changed documents. Null, empty and short texts
+    stay as they are; rows that repeat a doc_id are cut alike, those without one not at all. No rows give none.
     """
-    spans = repeats(docs, retained_suffixes(docs)).drop("origins")
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    out = map_texts(joined, _cut(docs.columns), docs.schema)
+    of, cuts = (_unused(name, docs.columns) for name in ("_of", "_cuts"))
+    spans = repeats(docs, retained_suffixes(docs)).select(F.col("doc_id").alias(of), F.col("spans").alias(cuts))
+    joined = docs.join(spans, F.col("doc_id") == F.col(of), "left").drop(of)
+    out = map_texts(joined, _cut(docs.columns, cuts), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -152,6 +152,8 @@ def test_repeats_of_odd_rows(odd, odd_rows, nothing):
     assert not {10, 13, 14, 15, 16, None} & set(by_id)
     assert by_id[11].dup_words == by_id[11].n_words and by_id[11].origins == [10]
     assert by_id[22].dup_words >= 60 and by_id[22].origins == [21]
+    clash = odd.selectExpr("*", "1 AS spans", "'a' AS _of", "2.5D AS _cuts", "doc_id AS ORIGINS")
+    assert sorted(map(str, suffix_dedup.cut_repeats(clash).drop("spans", "_of", "_cuts", "ORIGINS").collect())) == sorted(map(str, suffix_dedup.cut_repeats(odd).collect()))
     cut = suffix_dedup.cut_repeats(odd)
     assert cut.columns == odd.columns
     rows = cut.collect()
@@ -201,3 +203,16 @@ def test_no_block_grows_with_one_text_or_repeated_rows(spark, monkeypatch):
     assert [(r["first"], r["last"]) for r in got[3].spans] == [(3, 15_000)] and got[3].origins == [3]
     assert [(r["first"], r["last"]) for r in got[4].spans] == [(0, 700)] and got[4].origins == [1]
     assert set(got) == {1, 3, 4}
+
+
+def test_spans_of_a_text_and_mark_become_one():
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), a := rng.randrange(60), a + rng.randrange(1, 9), rng.randrange(2)) for _ in range(80)]
+    got = suffix_dedup._adjoining(*(np.array(c) for c in zip(*rows)))
+    spans = list(zip(*(c.tolist() for c in got)))
+    for doc in range(3):
+        for mark in range(2):
+            want = {k for d, a, b, m in rows if (d, m) == (doc, mark) for k in range(a, b)}
+            own = sorted((a, b) for d, a, b, m in spans if (d, m) == (doc, mark))
+            assert {k for a, b in own for k in range(a, b)} == want
+            assert all(b < c for (_, b), (c, _) in zip(own, own[1:]))
