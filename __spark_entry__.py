@@ -6,6 +6,7 @@ pixels 0..255. Weights come from a closed formula that SQL can repeat.
 
 from __future__ import annotations
 
+import dataclasses
 import pathlib
 import re
 import sys
@@ -17,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from labelvec import functions as V, sources  # noqa: E402
-from labelvec.functions import permutation  # noqa: E402
+from labelvec.functions import draws, permutation  # noqa: E402
 from labelvec.operators import metrics as M, pairing, positions, verify  # noqa: E402
 from labelvec.plans import checkpoints, jobs, scoring, training  # noqa: E402
-from labelvec.plans.network import NetSpec, Tensors, gradient, spec_a, spec_b  # noqa: E402
+from labelvec.plans.network import NetSpec, Tensors, gradient, initial_values, spec_a, spec_b  # noqa: E402
 from labelvec.plans.optimizers import Adagrad, Adam  # noqa: E402
 from labelvec.plans.partials import dataset_sums  # noqa: E402
 from labelvec.plans.training import count_dense  # noqa: E402
@@ -513,6 +514,28 @@ def verify_dataset(spark, sf_dir):
     return jobs.verify(spark, path, "csv")
 
 
+DIGESTS = ("csv", "csv2", "tfr", "parquet")
+
+
+def _digest_sql(fmt: str) -> str:
+    row = f"{'sample_id || ' + repr('|') + ' || ' if fmt == 'parquet' else ''}{SQL_LINE} || '|' || {SQL_ONE_HOT.format('cls')}"
+    halves = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(h, {k}, 16) AS UBIGINT)) AS VARCHAR)" for k in (1, 17))
+    return f"SELECT '{fmt}' AS fmt, count(*) AS n_rows, {halves} AS digest FROM (SELECT md5({row}) AS h FROM px)"
+
+
+@query(sql(" UNION ALL ".join(map(_digest_sql, DIGESTS))))
+def dataset_digest(spark, sf_dir):
+    """The table in four formats: each is written, read back and compared with what passed the writer."""
+    samples = samples_of(spark, sf_dir).select("sample_id", "image", "label")
+    rows = None
+    for fmt in DIGESTS:
+        path = staging_path(spark, f"digest-{fmt}")
+        found = jobs.store_verified(samples, path, fmt)
+        part = jobs.load(spark, path, fmt).agg(F.count("*").alias("n_rows")).select(F.lit(fmt).alias("fmt"), "n_rows", F.lit(found).alias("digest"))
+        rows = part if rows is None else rows.union(part)
+    return rows
+
+
 @query(sql(f"SELECT sample_id, {SQL_LINE} AS image_line, cls AS label FROM px ORDER BY sample_id LIMIT 10"))
 def sample_head(spark, sf_dir):
     return verify.sample_head(samples_of(spark, sf_dir)).select(
@@ -850,6 +873,52 @@ def eval_schedule(spark, sf_dir):
     return trained.union(evaluated)
 
 
+# ---------------------------------------------------------------- initial weights
+
+INIT_SEED = 19
+
+
+def _init_sql(kind: str) -> str:
+    """Weights of a layer that is as wide as the table has rows."""
+    p = draws.PRIME
+
+    def drawn(n: str, name: str, k: int, deviation: str) -> str:
+        start = (k * draws.TENSOR + INIT_SEED * draws.SEED) % p
+        polynomial = lambda c, x: " + ".join(f"{v!r}::DOUBLE * pow({x}, {e})" for e, v in enumerate(c))
+        ratio = lambda pair, x: f"({polynomial(pair[0], x)}) / ({polynomial(pair[1], x)})"
+        fifth = lambda x: f"(({x}) * ({x}) % {p}) * (({x}) * ({x}) % {p}) % {p} * ({x}) % {p}"
+        return f"""
+SELECT '{name}' AS tensor, i, round({deviation} * CASE WHEN abs(q) <= 0.425 THEN q * {ratio(draws.MIDDLE, '(0.180625 - q * q)')}
+  ELSE sign(q) * {ratio(draws.OUTER, '(sqrt(-ln(least(q + 0.5, 0.5 - q))) - 1.6)')} END, 6) + 0.0 AS value
+FROM (SELECT i, n, (({fifth('b')}) + 0.5) / {p}.0::DOUBLE * (1.0::DOUBLE - 2.0 * {draws.TAIL!r}::DOUBLE) + {draws.TAIL!r}::DOUBLE - 0.5 AS q FROM (
+  SELECT i, n, ((({fifth('a')}) * {draws.AGAIN} + {start}) % {p}) AS b FROM (SELECT i, n, (i % {p} * {draws.CELL} + {start}) % {p} AS a FROM n, range({n}) t(i))))"""
+
+    def flat(n: str, name: str, value: str) -> str:
+        return f"SELECT '{name}', i, {value}::DOUBLE FROM n, range({n}) t(i)"
+
+    w1, b1, w2, b2 = {"a": SMALL_A, "b": SMALL_B}[kind].names
+    first, second, bias = ("0.125::DOUBLE", "1.0 / sqrt(n)", "0.0") if kind == "a" else ("0.1::DOUBLE", "0.1::DOUBLE", "0.1")
+    parts = [drawn(f"{INPUTS} * n", w1, 0, first), flat("n", b1, bias), drawn(f"{CLASSES} * n", w2, 2, second), flat(str(CLASSES), b2, bias)]
+    return "WITH n AS (SELECT count(*) AS n FROM embeddings) " + " UNION ALL ".join(parts)
+
+
+def _init(spark, sf_dir, spec) -> DataFrame:
+    wide = dataclasses.replace(spec, hidden=count_dense(samples_of(spark, sf_dir)))
+    return initial_values(spark, wide, INIT_SEED).select("tensor", "i", rounded("value").alias("value"))
+
+
+@query(_init_sql("a"))
+def init_a(spark, sf_dir):
+    """First weights of model A with a hidden unit for each row of the table, drawn by executors."""
+    return _init(spark, sf_dir, SMALL_A)
+
+
+@query(_init_sql("b"))
+def init_b(spark, sf_dir):
+    """The same for model B."""
+    return _init(spark, sf_dir, SMALL_B)
+
+
 # ---------------------------------------------------------------- training
 
 

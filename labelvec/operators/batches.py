@@ -66,3 +66,26 @@ def apply_batches(
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def mini_batches(
+    batches: Iterator[pa.RecordBatch], batch_size: int, group: str
+) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(group, batch number, rows) of every mini-batch; rows arrive in the order of ``group`` and ``position``."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = batch.column("position").to_numpy() // batch_size
+        groups = batch.column(group).to_numpy()
+        edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(groups) != 0)) + 1
+        for low, high in zip([0, *edges], [*edges, len(numbers)]):
+            key = int(groups[low]), int(numbers[low])
+            if held and key != current:
+                yield *current, pa.concat_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield *current, pa.concat_batches(held)

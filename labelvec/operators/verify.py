@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from labelvec.operators.pairing import part_counts
 from labelvec.operators.positions import unit_offsets
@@ -21,6 +21,35 @@ def verify_samples(samples: DataFrame) -> DataFrame:
     )
 
 
+def _row_text(name: str, element: str) -> Column:
+    return F.coalesce(F.array_join(F.col(name).cast(f"array<{element}>").cast("array<string>"), ",", "null"), F.lit("missing"))
+
+
+def digest(with_ids: bool = False) -> Column:
+    """Aggregate over (image, label), or (sample_id, image, label): two sums of halves of the rows' 128-bit hashes.
+
+    The same for any order and layout of the rows, and as it is a sum it is added up before the shuffle. A
+    row that is changed, lost, repeated or paired with another label changes it.
+    """
+    parts = [F.col("sample_id").cast("string")] if with_ids else []
+    row = F.md5(F.concat_ws("|", *parts, _row_text("image", "int"), _row_text("label", "double")))
+    halves = [F.conv(F.substr(row, F.lit(k), F.lit(16)), 16, 10).cast("decimal(28,0)") for k in (1, 17)]
+    sums = [F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string") for h in halves]
+    return F.concat(sums[0], F.lit(":"), sums[1])
+
+
+class WrittenDigest:
+    """The digest of rows as they pass by on their way into a data set."""
+
+    def __init__(self, samples: DataFrame, with_ids: bool = False):
+        self._source, self._with_ids, self._seen = samples, with_ids, Observation()
+        self.samples = samples.observe(self._seen, digest(with_ids).alias("digest"), F.count("*").alias("n"))
+
+    def equals(self, found: str) -> bool:
+        """Compared with what was read back; a pass that Spark ran twice may have counted rows twice, so the source decides."""
+        return self._seen.get["digest"] == found or self._source.agg(digest(self._with_ids)).first()[0] == found
+
+
 def verify_pair(images: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for two staged sides: both counts and the rows without a partner."""
     return part_counts(unit_offsets(images), unit_offsets(labels)).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from labelvec.functions import argmax, one_hot
 from labelvec.operators.positions import with_dense_id
-from labelvec.operators.verify import sample_head, verify_samples, verify_text_pair
+from labelvec.operators.verify import WrittenDigest, digest, sample_head, verify_samples, verify_text_pair
 from labelvec.plans import checkpoints
 from labelvec.plans.network import NetSpec, Tensors
 from labelvec.plans.scoring import predict
@@ -99,6 +99,22 @@ def verify(spark: SparkSession, path: str, fmt: str = "csv", trusted: bool = Fal
     return verify_samples(load(spark, path, fmt, trusted=trusted))
 
 
+def read_back_digest(spark: SparkSession, path: str, fmt: str = "csv", classes: int = 10, trusted: bool = False) -> str:
+    """Digest of a stored data set: of (image, label) pairs, with ids where the format keeps them."""
+    return load(spark, path, fmt, classes, trusted).agg(digest(fmt == "parquet")).first()[0]
+
+
+def store_verified(samples: DataFrame, path: str, fmt: str = "csv", partitions: int | None = None, trusted: bool = False) -> str:
+    """Write a data set, read it back, and compare the contents; the digest. A difference is an error."""
+    written = WrittenDigest(samples, with_ids=fmt == "parquet")
+    store(written.samples, path, fmt, partitions)
+    classes = samples.select(F.size("label")).limit(1).collect()
+    found = read_back_digest(samples.sparkSession, path, fmt, classes[0][0] if classes else 10, trusted)
+    if not written.equals(found):
+        raise ValueError(f"{path} does not hold what was written")
+    return found
+
+
 @dataclass
 class JobResult:
     """``verified`` and ``head`` are values by split: they were read back before training."""
@@ -131,7 +147,7 @@ def run_job(
         write_samples(read_idx_pair(spark, images, labels, spec.classes), native, partitions)
         samples = read_samples(spark, native)
         if fmt != "parquet":
-            store(samples, f"{out}/{split}", fmt, partitions)
+            store_verified(samples, f"{out}/{split}", fmt, partitions, trusted)
         stored = native if fmt == "parquet" else f"{out}/{split}"
         verified[split] = verify(spark, stored, fmt, trusted).first()
         head[split] = sample_head(samples.select("sample_id", "image", "label")).collect()

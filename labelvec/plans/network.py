@@ -6,7 +6,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from labelvec.functions.draws import truncated_normal, truncated_normals
 from labelvec.functions.vectors import (
     DROPOUT_PRIME,
     DROPOUT_SAMPLE,
@@ -80,28 +82,37 @@ def spec_b(**changes) -> NetSpec:
     return NetSpec(**{"kind": "b", "hidden": 500, **changes})
 
 
-def _truncated_normal(rng: np.random.Generator, shape, sd: float) -> np.ndarray:
-    """Normal draws; those beyond two deviations are drawn again."""
-    values = rng.standard_normal(shape)
-    while (far := np.abs(values) > 2.0).any():
-        values[far] = rng.standard_normal(int(far.sum()))
-    return values * sd
-
-
-def initial_weights(spec: NetSpec, seed: int = 0) -> Tensors:
-    rng = np.random.default_rng(seed)
+def _starts(spec: NetSpec) -> list[tuple[str, float | None, float]]:
+    """(tensor, deviation of its draws or None, value otherwise) in the order of the tensors."""
     if spec.kind == "a":
         # The first deviation is one over the image side.
         deviations, bias = (1.0 / math.sqrt(spec.inputs), 1.0 / math.sqrt(spec.hidden)), 0.0
     else:
         deviations, bias = (0.1, 0.1), 0.1
     w1, b1, w2, b2 = spec.names
-    return {
-        w1: _truncated_normal(rng, (spec.inputs, spec.hidden), deviations[0]),
-        b1: np.full(spec.hidden, bias),
-        w2: _truncated_normal(rng, (spec.hidden, spec.classes), deviations[1]),
-        b2: np.full(spec.classes, bias),
-    }
+    return [(w1, deviations[0], 0.0), (b1, None, bias), (w2, deviations[1], 0.0), (b2, None, bias)]
+
+
+def initial_weights(spec: NetSpec, seed: int = 0) -> Tensors:
+    """Normal draws within two deviations, and constant biases; a formula of (seed, tensor, cell)."""
+    new = {}
+    for k, (name, deviation, value) in enumerate(_starts(spec)):
+        shape = spec.shapes[name]
+        cells = np.arange(math.prod(shape))
+        flat = np.full(len(cells), value) if deviation is None else truncated_normals(cells, k, seed, deviation)
+        new[name] = flat.reshape(shape)
+    return new
+
+
+def initial_values(spark: SparkSession, spec: NetSpec, seed: int = 0) -> DataFrame:
+    """(tensor, i, value): the same weights, drawn by the executors."""
+    rows = None
+    for k, (name, deviation, value) in enumerate(_starts(spec)):
+        cell = F.col("id")
+        drawn = F.lit(value) if deviation is None else truncated_normal(cell, k, seed, deviation)
+        part = spark.range(math.prod(spec.shapes[name])).select(F.lit(name).alias("tensor"), cell.alias("i"), drawn.alias("value"))
+        rows = part if rows is None else rows.union(part)
+    return rows
 
 
 def dropout_factors(

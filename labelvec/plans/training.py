@@ -4,8 +4,9 @@
                mini-batches from the same start, and the results are averaged by the number of
                rows seen (Zinkevich et al., 2010; Stich, 2019). A round is one job, an epoch has one or more.
                Shards follow from the number of batches, so results don't depend on the cluster.
-``sync``       one global mini-batch after the other. Each is one Spark job: tasks sum
-               gradients, the driver updates.
+``sync``       one global mini-batch after the other. All steps up to the next save or evaluation are one job, whose
+               tasks sum gradients and update weights between barriers. Where the tasks of a batch can't
+               run side by side, each step is a job and the driver updates.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelvec.operators.batches import matrix
-from labelvec.plans import checkpoints
+from labelvec.operators.batches import matrix, mini_batches
+from labelvec.plans import checkpoints, lockstep
 from labelvec.plans.network import (
     HIST_WIDTH,
     NetSpec,
@@ -48,12 +49,12 @@ from labelvec.session import MAX_MODEL_BYTES, stage, staging_path
 from labelvec.streaming.feed import (
     BatchFeed,
     EpochOrder,
+    batch_of,
     epoch_of,
     epoch_shuffle,
     feed_range,
     image_samples,
     minibatch_assign,
-    schedule,
     steps_of,
 )
 
@@ -64,6 +65,8 @@ SHARD_BATCHES = 64
 SHARD_ROWS = 1 << 15
 # Rows that a task of a round trains on, in one or more shards.
 TASK_ROWS = 1 << 17
+# Passes over the table that one job of synchronous steps may hold.
+JOB_EPOCHS = 16
 LOG_SCHEMA = "writer string, step bigint, tag string, value double"
 # Tags under which the weights of kind a are drawn as histograms.
 HIST_TAGS_A = {"hid_w": "hidden_weights", "sm_w": "softmax_weights"}
@@ -167,6 +170,7 @@ def train_mlp(
     tasks: int | None = None,
     reshuffle: bool = False,
     average_every: int = SHARD_BATCHES,
+    steps_per_job: int | None = None,
     run_id: str = "train",
 ) -> TrainResult:
     """Train on (sample_id, image, label) with dense ids and one-hot labels.
@@ -185,6 +189,9 @@ def train_mlp(
     In epoch_avg the shards are averaged after ``average_every`` batches of each, at the end of an epoch, and wherever a
     checkpoint is due, every ``checkpoint_every`` steps or, if a round of one batch of each shard has more, after each round.
 
+    In sync a job holds the steps up to the next checkpoint, evaluation or report, ``steps_per_job`` at most; the weights are the
+    same whatever their number.
+
     ``shards`` (epoch_avg) and ``tasks`` of a batch (sync) follow from the numbers of batches
     and rows if they aren't given, never from the cluster. A shard of epoch_avg is one task, so more
     than ``SHARD_ROWS`` rows of a batch or a shard are an error; sync spreads each batch by its rows.
@@ -230,7 +237,7 @@ def train_mlp(
         first = image_samples(first, images_per_step, *image_shape, also=keys[:-1])
         checkpoints.write_images(logged.join(first, keys), job.model_dir, run_id)
     if mode == "sync":
-        state = _train_sync(job, samples, state, start, checkpoint_every, eval_samples, eval_every, tasks)
+        state = _train_sync(job, samples, state, start, checkpoint_every, eval_samples, eval_every, tasks, steps_per_job)
     else:
         state = _train_rounds(job, samples, state, start, checkpoint_every, shards, average_every)
     return TrainResult(spec, state, max(start, steps), job.model_dir, run_id)
@@ -327,6 +334,7 @@ def _train_sync(
     eval_samples: DataFrame | None,
     eval_every: int,
     tasks: int | None,
+    steps_per_job: int | None,
 ) -> Tensors:
     spec = job.spec
     feed = BatchFeed(job.order(samples, laid_out=True), job.batch_size, job.n_batches, tasks)
@@ -335,30 +343,90 @@ def _train_sync(
     if eval_samples is not None:
         every = eval_every
         eval_samples = stage(eval_samples.select(job.input_column, "label"), "evaluation")
+    together = steps_per_job != 1 and lockstep.fits(job.spark, feed.tasks)
+    step = start
     try:
-        for step, index in schedule(start, job.steps, job.n_batches, every):
-            if index is None:
-                values = evaluate(eval_samples, spec, state, job.input_column)
-                log.metrics += [("test", step, tag, v) for tag, v in values.items()]
-                log.metrics += _tensor_metrics(job, state, "test", step)
-                if job.histograms:
-                    counts = activation_histogram(eval_samples, spec, state, job.input_column)
-                    log.histograms += [("test", step, r.tensor, r.bucket, HIST_WIDTH, r.n) for r in counts.collect()]
-                    log.histograms += _bucket_rows("test", step, _weight_counts(spec, state))
+        while step < job.steps:
+            evaluates = every is not None and step % every == 0
+            if evaluates:
+                _evaluate_step(job, log, eval_samples, state, step)
+                upto = step + 1
+            elif together:
+                upto = _job_end(job, step, checkpoint_every, every, steps_per_job)
+                state = _run_job(job, feed, state, step, upto, every)
             else:
-                batch = feed.batch(index, epoch_of(step, job.n_batches, every))
+                upto = step + 1
+                batch = feed.batch(batch_of(step, every) % job.n_batches, epoch_of(step, job.n_batches, every))
                 state = _run_batch(job, feed, batch, state, step, log)
-            if index is not None and job.report_every and step % job.report_every == 0:
+            if not evaluates and job.report_every and (upto - 1) % job.report_every == 0:
+                last = upto - 1
+                batch = feed.batch(batch_of(last, every) % job.n_batches, epoch_of(last, job.n_batches, every))
                 scores = predict(batch, spec, state, job.input_column)
-                checkpoints.write_report(scores.withColumn("step", F.lit(step)), job.model_dir, job.run_id, step + 1)
-            if (step + 1) % checkpoint_every == 0 or step + 1 == job.steps:
-                log.flush(step + 1)
-                checkpoints.save_state(job.spark, job.model_dir, state, step + 1, job.run_id)
+                checkpoints.write_report(scores.withColumn("step", F.lit(last)), job.model_dir, job.run_id, upto)
+            due = upto % checkpoint_every == 0 or upto == job.steps
+            if due or together:
+                log.flush(upto)
+            if due:
+                checkpoints.save_state(job.spark, job.model_dir, state, upto, job.run_id)
+            step = upto
     finally:
         feed.close()
     return state
 
 
+def _evaluate_step(job: _Job, log: _Log, eval_samples: DataFrame, state: Tensors, step: int) -> None:
+    values = evaluate(eval_samples, job.spec, state, job.input_column)
+    log.metrics += [("test", step, tag, v) for tag, v in values.items()]
+    log.metrics += _tensor_metrics(job, state, "test", step)
+    if job.histograms:
+        counts = activation_histogram(eval_samples, job.spec, state, job.input_column)
+        log.histograms += [("test", step, r.tensor, r.bucket, HIST_WIDTH, r.n) for r in counts.collect()]
+        log.histograms += _bucket_rows("test", step, _weight_counts(job.spec, state))
+
+
+def _job_end(job: _Job, step: int, checkpoint_every: int, every: int | None, steps_per_job: int | None) -> int:
+    """Step before which a job of training steps ends; what it logs has no other rows of this number."""
+    ends = [job.steps, (step // checkpoint_every + 1) * checkpoint_every]
+    if every is not None:
+        ends.append((step // every + 1) * every)
+    if job.report_every:
+        ends.append(-(-step // job.report_every) * job.report_every + 1)
+    if steps_per_job is not None:
+        ends.append(step + steps_per_job)
+    # The table of a reshuffled epoch gives way to the next one's.
+    epochs = 1 if job.reshuffle else JOB_EPOCHS
+    last = epoch_of(step, job.n_batches, every) + epochs
+    upto = min(ends)
+    while epoch_of(upto - 1, job.n_batches, every) >= last:
+        upto -= 1
+    return upto
+
+
+def _run_job(job: _Job, feed: BatchFeed, state: Tensors, first: int, upto: int, every: int | None) -> Tensors:
+    """All training steps from ``first`` on, before ``upto``, in one pass over their rows."""
+    numbers = [(s, batch_of(s, every)) for s in range(first, upto)]
+    rows = None
+    for epoch in range(numbers[0][1] // job.n_batches, numbers[-1][1] // job.n_batches + 1):
+        own = [(s, b % job.n_batches) for s, b in numbers if b // job.n_batches == epoch]
+        part = feed_range(feed.order.of(epoch), own[0][1] * job.batch_size, (own[-1][1] + 1) * job.batch_size, "position")
+        step = F.lit(own[0][0] - own[0][1]).cast("bigint") + F.expr(f"position div {job.batch_size}")
+        part = part.select(step.alias("step"), "position", "sample_id", job.input_column, "label")
+        rows = part if rows is None else rows.unionByName(part)
+    plan = lockstep.Plan(
+        job.spec, job.optimizer, job.batch_size, job.n_rows, job.n_batches, job.keep_prob, job.seed, job.input_column,
+        job.log_every, job.histograms,
+    )
+    steps = [(s, b % job.n_batches) for s, b in numbers]
+    out, folder = lockstep.run_steps(plan, rows, state, steps, feed.tasks, _weight_counts)
+    out = stage(out, "steps")
+    lockstep.drop(job.spark, folder)
+    checkpoints.write_metrics(_epoch_metrics(job, out), job.model_dir, job.run_id, upto)
+    if job.histograms:
+        counts = _epoch_histograms(out).groupBy("writer", "step", "tag", "bucket", "width").agg(F.sum("n").alias("n"))
+        checkpoints.write_histograms(counts, job.model_dir, job.run_id, upto)
+    return lockstep.new_state(out, job.spec, state)
+
+
 def _run_batch(
     job: _Job, feed: BatchFeed, batch: DataFrame, state: Tensors, step: int, log: _Log
 ) -> Tensors:
@@ -410,29 +478,6 @@ def evaluate(
     )
 
 
-def _mini_batches(
-    batches: Iterator[pa.RecordBatch], batch_size: int
-) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(shard, batch number, rows) of every mini-batch; rows arrive in the order of shard and position."""
-    held: list[pa.RecordBatch] = []
-    current = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        numbers = batch.column("position").to_numpy() // batch_size
-        shards = batch.column("shard").to_numpy()
-        edges = np.flatnonzero(np.diff(numbers)) + 1
-        for low, high in zip([0, *edges], [*edges, len(numbers)]):
-            key = int(shards[low]), int(numbers[low])
-            if held and key != current:
-                yield *current, pa.concat_batches(held)
-                held = []
-            current = key
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield *current, pa.concat_batches(held)
-
-
 def _local_steps(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
     """Each shard trains along its batches; a task emits the sum of its shards' weights and the logged values.
 
@@ -450,7 +495,7 @@ def _local_steps(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
             if rows:
                 add_into(total, {n: w * rows for n, w in local.items()} | {"rows": np.array([float(rows)])})
 
-        for shard, number, batch in _mini_batches(batches, batch_size):
+        for shard, number, batch in mini_batches(batches, batch_size, "shard"):
             if shard != current:
                 close()
                 local, rows, current = state.value, 0, shard

@@ -114,9 +114,13 @@ def steps_of(spark: SparkSession, steps: int, n_batches: int, every: int | None
     return plan.select("step", epoch.alias("epoch"), (F.col("batch_no") % n_batches).alias("batch_id"))
 
 
+def batch_of(step: int, every: int | None = None) -> int:
+    """Number of the batch of a training step, counted through all epochs."""
+    return step if every is None else step - step // every - 1
+
+
 def epoch_of(step: int, n_batches: int, every: int | None = None) -> int:
-    """Epoch of the batch of a training step."""
-    return (step if every is None else step - step // every - 1) // n_batches
+    return batch_of(step, every) // n_batches
 
 
 def steps_for(n_batches: int, every: int) -> int:
