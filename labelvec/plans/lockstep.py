@@ -1,20 +1,22 @@
 """Many synchronous steps in one job.
 
-Every task of a barrier stage holds its rows of each batch and all weights. In a step it writes its gradient sums to the shared
-folder; behind a barrier it adds up its own block of the values over all tasks, updates that block of the weights with the block
-of the optimizer's state that it keeps, and writes it; behind a second barrier it reads the others' blocks. So a step
+The tasks of a barrier stage run side by side; each holds its rows of every batch and all weights. In a step it writes its gradient
+sums to the shared folder, waits for those of the others, adds up its own block of the values, updates that block of the weights with
+the block of the optimizer's state that it keeps, writes it, and reads the others' blocks. So a step
 costs each task three times the size of the model, whatever the number of tasks, and the driver nothing. A batch for one task
 needs no exchange. If a task is lost, Spark starts the stage again, from the weights that the job was given.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,6 +28,8 @@ from labelvec.sources.files import filesystem_of, qualified, remove_path
 from labelvec.session import staging_path
 
 METRICS = ("loss", "correct", "rows")
+# A task that fails ends the stage for all; this is for files that never appear although it runs.
+WAIT_SECONDS = 600
 
 
 def fits(spark: SparkSession, tasks: int) -> bool:
@@ -48,10 +52,14 @@ class _Alone:
 
 
 class _Folder:
-    """Blocks of values between the tasks of a barrier stage, through files that all of them reach."""
+    """Blocks of values between the tasks of a barrier stage, through files that all of them reach.
+
+    A file gets its name once it is whole, and tasks wait for each other's files: Spark's own barrier looks
+    for its answer once a second only. Whoever has written a block of a step has read all sums of it, and whoever has written sums has
+    read all blocks of the step before, so files can go as soon as the next kind has been seen from everyone.
+    """
 
     def __init__(self, folder: str, context: BarrierTaskContext, values: int):
-        self.context = context
         self.tasks, self.me = len(context.getTaskInfos()), context.partitionId()
         # Files of a stage that was given up are never read by the next one.
         attempt = max(context.allGather(str(context.taskAttemptId())), key=int)
@@ -63,34 +71,45 @@ class _Folder:
     def _path(self, kind: str, step: int, task: int) -> str:
         return f"{self.folder}/{kind}-{step}-{task}"
 
+    def _exists(self, path: str) -> bool:
+        return self.filesystem.get_file_info(path).type == fs.FileType.File
+
     def _write(self, path: str, *parts: np.ndarray) -> None:
-        with self.filesystem.open_output_stream(path) as out:
+        with self.filesystem.open_output_stream(f"{path}.part") as out:
             for part in parts:
                 out.write(np.ascontiguousarray(part, np.float64).tobytes())
+        self.filesystem.move(f"{path}.part", path)
+
+    def _open(self, path: str):
+        pause, until = 0.001, time.monotonic() + WAIT_SECONDS
+        while not self._exists(path):
+            if time.monotonic() > until:
+                raise TimeoutError(f"{path}: no task has written it")
+            time.sleep(pause)
+            pause = min(0.05, pause * 1.5)
+        return self.filesystem.open_input_file(path)
 
     def total(self, step: int, head: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums over all tasks, in their order: of ``head``, and of this task's block of ``values``."""
         self._write(self._path("sums", step, self.me), head, values)
-        self.context.barrier()
         heads, block = np.zeros_like(head), np.zeros(self.high - self.low)
         for task in range(self.tasks):
-            with self.filesystem.open_input_file(self._path("sums", step, task)) as file:
+            with self._open(self._path("sums", step, task)) as file:
                 heads += np.frombuffer(file.read_at(8 * len(head), 0))
                 block += np.frombuffer(file.read_at(8 * len(block), 8 * int(len(head) + self.low)))
+        before = self._path("block", step - 1, self.me)
+        if self._exists(before):
+            self.filesystem.delete_file(before)
         return heads, block
 
     def shared(self, step: int, block: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """All blocks; behind this barrier nobody reads the step's sums, or the blocks of the step before."""
+        """The blocks of all tasks."""
         self._write(self._path("block", step, self.me), block)
-        self.context.barrier()
-        self.filesystem.delete_file(self._path("sums", step, self.me))
-        before = self._path("block", step - 1, self.me)
-        if self.filesystem.get_file_info(before).type.name == "File":
-            self.filesystem.delete_file(before)
         out = np.empty(len(values))
         for task in range(self.tasks):
-            with self.filesystem.open_input_file(self._path("block", step, task)) as file:
+            with self._open(self._path("block", step, task)) as file:
                 out[self.edges[task] : self.edges[task + 1]] = np.frombuffer(file.read())
+        self.filesystem.delete_file(self._path("sums", step, self.me))
         return out
 
 
