@@ -20,7 +20,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 from labelvec import functions as V, sources  # noqa: E402
 from labelvec.functions import draws, permutation  # noqa: E402
 from labelvec.operators import metrics as M, pairing, positions, verify  # noqa: E402
-from labelvec.plans import checkpoints, jobs, scoring, training  # noqa: E402
+from labelvec.plans import checkpoints, jobs, scoring, state_rows, training  # noqa: E402
 from labelvec.plans.network import NetSpec, Tensors, gradient, initial_values, spec_a, spec_b  # noqa: E402
 from labelvec.plans.optimizers import Adagrad, Adam  # noqa: E402
 from labelvec.plans.partials import dataset_sums  # noqa: E402
@@ -960,9 +960,16 @@ SQL_ADAGRAD = (
 )
 
 
+def _step_rows(spark: SparkSession, sf_dir: str, spec: NetSpec, optimizer: Adagrad | Adam) -> DataFrame:
+    """Weights and slots after one step over the whole table; all tensors stay with the executors."""
+    stored = state_rows.StoredState.store(state_rows.rows_of(spark, spec, formula_weights(spec), optimizer), spec)
+    new, _ = state_rows.step(stored, samples_of(spark, sf_dir), optimizer, updates=1)
+    return state_rows.values_of(new.rows(spark), optimizer).select("tensor", "i", rounded("value").alias("value"))
+
+
 @query(_grad_sql("a", SQL_ADAGRAD))
 def adagrad_step(spark, sf_dir):
-    return tensor_rows(spark, _adagrad_state(spark, sf_dir))
+    return _step_rows(spark, sf_dir, SMALL_A, Adagrad())
 
 
 SQL_ADAM_RATE = "(0.001::DOUBLE * sqrt(1.0::DOUBLE - 0.999::DOUBLE) / (1.0::DOUBLE - 0.9::DOUBLE))"
@@ -980,11 +987,8 @@ UNION ALL SELECT 'Adam/updates', 0, 1.0::DOUBLE""",
     )
 )
 def adam_step(spark, sf_dir):
-    optimizer, weights = Adam(), formula_weights(SMALL_B)
-    state = {**weights, **optimizer.slots(weights)}
-    return tensor_rows(
-        spark, optimizer.update(SMALL_B, state, _gradient(spark, sf_dir, SMALL_B))
-    )
+    updates = spark.range(1).select(F.lit("Adam/updates").alias("tensor"), F.lit(0).alias("i"), F.lit(1.0).alias("value"))
+    return _step_rows(spark, sf_dir, SMALL_B, Adam()).union(updates)
 
 
 @query(_grad_sql("a", f"SELECT CAST(1 AS BIGINT) AS step, * FROM ({SQL_ADAGRAD})"))

@@ -100,8 +100,8 @@ def sum_table(rows: pa.Table) -> Tensors:
     }
 
 
-def sum_partials(partials: DataFrame, n_parts: int) -> Tensors:
-    """Flat sums by tensor name of what ``n_parts`` tasks emit."""
+def summed(partials: DataFrame, n_parts: int) -> DataFrame:
+    """Sums (tensor, block, data, ...) of what ``n_parts`` tasks emit, as rows."""
     while n_parts > 1:
         partials = (
             partials.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("int"))
@@ -109,7 +109,12 @@ def sum_partials(partials: DataFrame, n_parts: int) -> Tensors:
             .applyInArrow(_add_group, SCHEMA)
         )
         n_parts = -(-n_parts // FAN_IN)
-    return sum_table(partials.toArrow())
+    return partials
+
+
+def sum_partials(partials: DataFrame, n_parts: int) -> Tensors:
+    """The same sums on the driver, flat by tensor name."""
+    return sum_table(summed(partials, n_parts).toArrow())
 
 
 def gradient_partials(
