@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
 from labelvec import functions as V, sources  # noqa: E402
-from labelvec.functions import draws, permutation  # noqa: E402
+from labelvec.functions import draws, permutation, vectors  # noqa: E402
 from labelvec.operators import metrics as M, pairing, positions, verify  # noqa: E402
 from labelvec.plans import checkpoints, jobs, scoring, state_rows, training  # noqa: E402
 from labelvec.plans.network import NetSpec, Tensors, gradient, initial_values, spec_a, spec_b  # noqa: E402
@@ -757,6 +757,18 @@ def metrics_every_n(spark, sf_dir):
     return feed.every_n(_step_metrics(spark, sf_dir), 2)
 
 
+@query(
+    f"""
+SELECT label, CASE WHEN v = 0 THEN 0 ELSE CAST(sign(v) * (ceil(ln(abs(v)) / ln(1.05 / 0.95::DOUBLE)) + {vectors.LOG_OFFSET}) AS BIGINT) END AS bucket,
+    count(*) AS n FROM (SELECT label, exp(40.0::DOUBLE * CAST(unnest(embedding) AS DOUBLE)) - 1.0 AS v FROM embeddings) GROUP BY 1, 2"""
+)
+def log_histogram(spark, sf_dir):
+    """Components with a heavy tail, by class, in buckets of 5 % relative error."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.explode("embedding").alias("x"))
+    values = rows.select("label", (F.exp(F.col("x").cast("double") * 40.0) - 1.0).alias("value"))
+    return M.log_histogram(values, "label").select("label", "bucket", "n")
+
+
 # ---------------------------------------------------------------- batch feed
 
 

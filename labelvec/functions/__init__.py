@@ -6,6 +6,8 @@ from labelvec.functions.vectors import (
     flatten_image,
     from_csv_line,
     histogram_bucket,
+    log_bucket,
+    log_bucket_value,
     normalize,
     one_hot,
     prediction_line,
@@ -26,6 +28,8 @@ __all__ = [
     "flatten_image",
     "from_csv_line",
     "histogram_bucket",
+    "log_bucket",
+    "log_bucket_value",
     "logit_cross_entropy",
     "normalize",
     "one_hot",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the dropout hash: a prime modulus and one multiplier per input.
@@ -10,6 +13,9 @@ DROPOUT_SAMPLE = 48271
 DROPOUT_UNIT = 69621
 DROPOUT_STEP = 16807
 DROPOUT_SEED = 39373
+# Relative error of a logarithmic bucket, and what keeps the buckets of small numbers positive.
+LOG_ERROR = 0.05
+LOG_OFFSET = 1 << 20
 
 
 def _required(value: Column, ok: Column, message: Column) -> Column:
@@ -131,6 +137,35 @@ def histogram_bucket(value: Column, low: float, width: float) -> Column:
     return F.floor((value - F.lit(low)) / F.lit(width)).cast("bigint")
 
 
+def _log_base(error: float) -> float:
+    if not 0.0 < error < 1.0:
+        raise ValueError(f"a relative error lies between 0 and 1, not at {error}")
+    return math.log((1.0 + error) / (1.0 - error))
+
+
+def log_bucket(value: Column, error: float = LOG_ERROR) -> Column:
+    """Bucket of any finite number: 0 for zero, else its sign times a whole number that grows with the logarithm.
+
+    ``log_bucket_value`` is off by the relative ``error`` at most, and doubles of either sign have
+    a bounded number of buckets, however they are spread.
+    """
+    place = F.ceil(F.log(F.abs(value)) / F.lit(_log_base(error))) + LOG_OFFSET
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("int") * place).cast("bigint")
+
+
+def log_bucket_value(bucket: Column, error: float = LOG_ERROR) -> Column:
+    """The number that stands for all of a bucket."""
+    power = (F.abs(bucket) - LOG_OFFSET) * _log_base(error)
+    return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * F.exp(power) * (1.0 - error))
+
+
+def log_buckets(values: np.ndarray, error: float = LOG_ERROR) -> np.ndarray:
+    """The same buckets as the expression."""
+    size = np.abs(values)
+    place = np.ceil(np.log(np.where(size > 0, size, 1.0)) / _log_base(error)) + LOG_OFFSET
+    return (np.sign(values) * np.where(size > 0, place, 0.0)).astype(np.int64)
+
+
 def dropout_mask(
     sample_id: Column, units: int, step: Column, seed: int, keep_prob: float
 ) -> Column:

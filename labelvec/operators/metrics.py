@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelvec.functions import histogram_bucket
+from labelvec.functions import histogram_bucket, log_bucket, log_bucket_value
+from labelvec.functions.vectors import LOG_ERROR
 
 METRIC_TAGS = ("loss", "acc", "cross_entropy", "accuracy", "dropout_keep_probability")
 
@@ -47,6 +48,13 @@ def tensor_histogram(values: DataFrame, low: float, width: float, *by: str) -> D
     )
 
 
+def log_histogram(values: DataFrame, *by: str, error: float = LOG_ERROR) -> DataFrame:
+    """Counts of ``value`` in logarithmic buckets, and the number that stands for each. Counts of parts add up."""
+    bucket = log_bucket(F.col("value"), error)
+    counts = values.groupBy(*(by or ("tensor",)), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return counts.withColumn("about", log_bucket_value(F.col("bucket"), error))
+
+
 def metrics_wide(metrics: DataFrame, tags: tuple[str, ...] = METRIC_TAGS) -> DataFrame:
     """One row per writer and step with a column per tag."""
     return metrics.groupBy("writer", "step").pivot("tag", list(tags)).agg(F.first("value"))

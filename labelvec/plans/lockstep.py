@@ -126,7 +126,7 @@ class Plan:
     seed: int
     input_column: str
     log_every: int
-    histograms: bool
+    histograms: bool | str
 
     def rows_of(self, number: int) -> int:
         return min(self.batch_size, self.n_rows - number * self.batch_size)
@@ -174,7 +174,7 @@ def run_steps(plan: Plan, rows: DataFrame, state: Tensors, steps: list[tuple[int
                 if plan.keep_prob < 1.0:
                     factors = dropout_factors(batch.column("sample_id").to_numpy(), spec.hidden, step, plan.seed, plan.keep_prob)
                 x = spec.prepare(matrix(batch.column(plan.input_column), spec.inputs))
-                sums = batch_sums(spec, weights, x, matrix(batch.column("label"), spec.classes), factors, plan.histograms and logs)
+                sums = batch_sums(spec, weights, x, matrix(batch.column("label"), spec.classes), factors, plan.histograms if logs else False)
                 held = next(waiting, None)
             head, block = exchange.total(step, _flat(sums, METRICS), _flat(sums, spec.names))
             if logs:
@@ -184,7 +184,7 @@ def run_steps(plan: Plan, rows: DataFrame, state: Tensors, steps: list[tuple[int
                     if spec.kind == "b":
                         logged["stats"] = tensor_stats(spec, weights)
                     if plan.histograms:
-                        logged |= weight_counts(spec, weights)
+                        logged |= weight_counts(spec, weights, plan.histograms)
                 yield from partial_rows(logged, step)
             scale = 1.0 if spec.kind == "a" else 1.0 / max(plan.rows_of(number), 1)
             own = optimizer.update(block_spec, own, {"block": block * scale})

@@ -15,6 +15,7 @@ from labelvec.functions.vectors import (
     DROPOUT_SEED,
     DROPOUT_STEP,
     DROPOUT_UNIT,
+    log_buckets,
 )
 from labelvec.session import MAX_MODEL_BYTES
 
@@ -172,18 +173,24 @@ def _logit_gradient(spec: NetSpec, logits: np.ndarray, y: np.ndarray) -> np.ndar
     return (g - (g * probs).sum(axis=1, keepdims=True)) * probs
 
 
-def bucket_counts(values: np.ndarray, width: float = HIST_WIDTH) -> np.ndarray:
-    """(bucket, count) rows of all fixed-width buckets that hold a value, however far from 0."""
-    index, counts = np.unique(np.floor(values.ravel() / width).astype(np.int64), return_counts=True)
+def bucket_counts(values: np.ndarray, width: float | None = HIST_WIDTH) -> np.ndarray:
+    """(bucket, count) rows of all fixed-width buckets that hold a value, however far from 0; logarithmic ones without a width."""
+    buckets = log_buckets(values.ravel()) if width is None else np.floor(values.ravel() / width).astype(np.int64)
+    index, counts = np.unique(buckets, return_counts=True)
     return np.stack([index, counts], axis=1)
 
 
-def activation_counts(pre: np.ndarray, logits: np.ndarray) -> Tensors:
+def hist_width(histograms: bool | str, width: float) -> float | None:
+    """``True`` asks for buckets of equal width, ``"log"`` for logarithmic ones."""
+    return None if histograms == "log" else width
+
+
+def activation_counts(pre: np.ndarray, logits: np.ndarray, width: float | None = HIST_WIDTH) -> Tensors:
     """Bucket counts of both layers before and after activation; the second layer's is the identity."""
-    last = bucket_counts(logits)
+    last = bucket_counts(logits, width)
     return {
-        "hist:layer1/pre_activations": bucket_counts(pre),
-        "hist:layer1/activations": bucket_counts(np.maximum(pre, 0.0)),
+        "hist:layer1/pre_activations": bucket_counts(pre, width),
+        "hist:layer1/activations": bucket_counts(np.maximum(pre, 0.0), width),
         "hist:layer2/pre_activations": last,
         "hist:layer2/activations": last,
     }
@@ -195,7 +202,7 @@ def batch_sums(
     x: np.ndarray,
     y: np.ndarray,
     factors: np.ndarray | None = None,
-    histograms: bool = False,
+    histograms: bool | str = False,
 ) -> Tensors:
     """Gradient sums and metric sums of a block. All values add up across blocks."""
     w1, b1, w2, b2 = spec.names
@@ -213,7 +220,7 @@ def batch_sums(
         **metric_sums(spec, logits, y),
     }
     if histograms:
-        sums |= activation_counts(pre, logits)
+        sums |= activation_counts(pre, logits, hist_width(histograms, HIST_WIDTH))
     return sums
 
 

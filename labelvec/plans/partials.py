@@ -125,7 +125,7 @@ def gradient_partials(
     keep_prob: float = 1.0,
     step: int = 0,
     seed: int = 0,
-    histograms: bool = False,
+    histograms: bool | str = False,
 ) -> DataFrame:
     """One set of gradient and metric sums per task. ``weights`` is a broadcast variable."""
 

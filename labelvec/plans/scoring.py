@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from labelvec.functions import argmax
 from labelvec.operators.batches import apply_batches, list_column, matrix
 from labelvec.plans.network import (
+    HIST_WIDTH,
     NetSpec,
     Tensors,
     activation_counts,
@@ -61,7 +62,7 @@ def predict(
 
 
 def activation_histogram(
-    df: DataFrame, spec: NetSpec, weights: Tensors, input_column: str = "image"
+    df: DataFrame, spec: NetSpec, weights: Tensors, input_column: str = "image", width: float | None = HIST_WIDTH
 ) -> DataFrame:
     """(tensor, bucket, n) of pre-activations and activations over all rows.
 
@@ -74,7 +75,7 @@ def activation_histogram(
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = spec.prepare(matrix(batch.column(input_column), spec.inputs))
         pre, _, logits = layers(spec, shared.value, x)
-        found = activation_counts(pre, logits)
+        found = activation_counts(pre, logits, width)
         rows = np.concatenate(list(found.values()))
         names = [name.removeprefix("hist:") for name, counts in found.items() for _ in counts]
         return pa.RecordBatch.from_pydict({"tensor": names, "bucket": rows[:, 0], "n": rows[:, 1]})

@@ -120,7 +120,9 @@ def _adam(optimizer: Adam, g: Column, updates: int) -> dict[str, Column]:
 def updated(rows: DataFrame, sums: DataFrame, optimizer: Adagrad | Adam, scale: float, updates: int) -> DataFrame:
     """The rows after one update; ``sums`` (tensor, block, data) are gradient sums, ``updates`` counts this one too."""
     both = rows.join(sums.select("tensor", "block", "data"), ["tensor", "block"])
-    g = F.transform("data", lambda x: x * scale) if scale != 1.0 else F.col("data")
+    # Blocks of another size would be filled up with nulls.
+    same = F.when(F.size("data") == F.size("w"), F.col("data")).otherwise(F.raise_error(F.lit("gradient sums of other blocks")).cast("array<double>"))
+    g = F.transform(same, lambda x: x * scale) if scale != 1.0 else same
     new = _adagrad(optimizer, g) if isinstance(optimizer, Adagrad) else _adam(optimizer, g, updates)
     return both.select("tensor", "block", *[column.alias(name) for name, column in new.items()])
 

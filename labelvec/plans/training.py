@@ -30,6 +30,7 @@ from labelvec.plans.network import (
     bucket_counts,
     dropout_factors,
     gradient,
+    hist_width,
     initial_weights,
     layers,
     metric_sums,
@@ -113,7 +114,7 @@ class _Job:
     model_dir: str
     run_id: str
     log_every: int
-    histograms: bool
+    histograms: bool | str
     report_every: int | None
     n_rows: int
     reshuffle: bool
@@ -160,7 +161,7 @@ def train_mlp(
     resume: bool = False,
     checkpoint_every: int = 100,
     log_every: int = 1,
-    histograms: bool = False,
+    histograms: bool | str = False,
     eval_samples: DataFrame | None = None,
     eval_every: int = 10,
     report_every: int | None = None,
@@ -181,7 +182,8 @@ def train_mlp(
     ``report_every``, the rows of every such step's batch are scored with
     the updated weights and kept as ``reports``. With ``image_shape``, the first
     ``images_per_step`` images of each logged step are kept as ``images``. ``histograms`` keeps
-    those of activations and weights for all logged steps. ``weights`` are start weights,
+    those of activations and weights for all logged steps, in buckets of equal width or, with ``"log"``, in logarithmic ones, of
+    which values of any size fill a bounded number. ``weights`` are start weights,
     random ones by default. ``resume`` goes on from the run's latest complete checkpoint in
     ``model_dir``; otherwise the run of this name is replaced there.
 
@@ -273,29 +275,30 @@ def _stat_rows(job: _Job, stats: np.ndarray, writer: str, step: int) -> list[tup
     return rows
 
 
-def _weight_counts(spec: NetSpec, state: Tensors) -> Tensors:
+def _weight_counts(spec: NetSpec, state: Tensors, histograms: bool | str) -> Tensors:
     """Histograms of the weights under their tags."""
     tags = {
         name: HIST_TAGS_A.get(name) if spec.kind == "a" else f"{name}/summaries/histogram"
         for name in spec.names
     }
     return {
-        f"{HISTOGRAM}{tag}": bucket_counts(state[name], WEIGHT_HIST_WIDTH)
+        f"{HISTOGRAM}{tag}": bucket_counts(state[name], hist_width(histograms, WEIGHT_HIST_WIDTH))
         for name, tag in tags.items()
         if tag
     }
 
 
-def _width(tag: str) -> float:
-    return HIST_WIDTH if tag.endswith("activations") else WEIGHT_HIST_WIDTH
+def _width(tag: str, histograms: bool | str) -> float | None:
+    """Width of a tag's buckets; none if they are logarithmic."""
+    return hist_width(histograms, HIST_WIDTH if tag.endswith("activations") else WEIGHT_HIST_WIDTH)
 
 
-def _bucket_rows(writer: str, step: int, sums: Tensors) -> list[tuple]:
+def _bucket_rows(job: _Job, writer: str, step: int, sums: Tensors) -> list[tuple]:
     rows = []
     for name, counts in sums.items():
         if name.startswith(HISTOGRAM):
             tag = name.removeprefix(HISTOGRAM)
-            rows += [(writer, step, tag, int(b), _width(tag), int(n)) for b, n in counts]
+            rows += [(writer, step, tag, int(b), _width(tag, job.histograms), int(n)) for b, n in counts]
     return rows
 
 
@@ -379,9 +382,10 @@ def _evaluate_step(job: _Job, log: _Log, eval_samples: DataFrame, state: Tensors
     log.metrics += [("test", step, tag, v) for tag, v in values.items()]
     log.metrics += _tensor_metrics(job, state, "test", step)
     if job.histograms:
-        counts = activation_histogram(eval_samples, job.spec, state, job.input_column)
-        log.histograms += [("test", step, r.tensor, r.bucket, HIST_WIDTH, r.n) for r in counts.collect()]
-        log.histograms += _bucket_rows("test", step, _weight_counts(job.spec, state))
+        width = hist_width(job.histograms, HIST_WIDTH)
+        counts = activation_histogram(eval_samples, job.spec, state, job.input_column, width)
+        log.histograms += [("test", step, r.tensor, r.bucket, width, r.n) for r in counts.collect()]
+        log.histograms += _bucket_rows(job, "test", step, _weight_counts(job.spec, state, job.histograms))
 
 
 def _job_end(job: _Job, step: int, checkpoint_every: int, every: int | None, steps_per_job: int | None) -> int:
@@ -422,7 +426,7 @@ def _run_job(job: _Job, feed: BatchFeed, state: Tensors, first: int, upto: int,
     lockstep.drop(job.spark, folder)
     checkpoints.write_metrics(_epoch_metrics(job, out), job.model_dir, job.run_id, upto)
     if job.histograms:
-        counts = _epoch_histograms(out).groupBy("writer", "step", "tag", "bucket", "width").agg(F.sum("n").alias("n"))
+        counts = _epoch_histograms(job, out).groupBy("writer", "step", "tag", "bucket", "width").agg(F.sum("n").alias("n"))
         checkpoints.write_histograms(counts, job.model_dir, job.run_id, upto)
     return lockstep.new_state(out, job.spec, state)
 
@@ -434,7 +438,7 @@ def _run_batch(
     shared = job.spark.sparkContext.broadcast({n: state[n] for n in spec.names})
     partials = gradient_partials(
         batch, spec, shared, job.input_column,
-        job.keep_prob, step, job.seed, job.histograms and logged,
+        job.keep_prob, step, job.seed, job.histograms if logged else False,
     )
     sums = sum_partials(partials, feed.tasks)
     shared.destroy()
@@ -443,7 +447,7 @@ def _run_batch(
         log.metrics += [("train", step, tag, v) for tag, v in values.items()]
         log.metrics += _tensor_metrics(job, state, "train", step)
         if job.histograms:
-            log.histograms += _bucket_rows("train", step, {**_weight_counts(spec, state), **sums})
+            log.histograms += _bucket_rows(job, "train", step, {**_weight_counts(spec, state, job.histograms), **sums})
     return job.optimizer.update(spec, state, gradient(spec, sums))
 
 
@@ -507,14 +511,14 @@ def _local_steps(job: _Job, df: DataFrame, state, first_step: int) -> DataFrame:
             x = spec.prepare(matrix(batch.column(input_column), spec.inputs))
             y = matrix(batch.column("label"), spec.classes)
             logs = step % log_every == 0
-            sums = batch_sums(spec, local, x, y, factors, histograms and logs)
+            sums = batch_sums(spec, local, x, y, factors, histograms if logs else False)
             if logs:
                 values = np.concatenate([sums["loss"], sums["correct"], sums["rows"]])
                 logged = {"metrics": values}
                 if spec.kind == "b":
                     logged["stats"] = tensor_stats(spec, local)
                 if histograms:
-                    logged |= _weight_counts(spec, local)
+                    logged |= _weight_counts(spec, local, histograms)
                     logged |= {n: v for n, v in sums.items() if n.startswith(HISTOGRAM)}
                 yield from partial_rows(logged, step)
             local = optimizer.update(spec, local, gradient(spec, sums))
@@ -554,9 +558,10 @@ def _epoch_metrics(job: _Job, out: DataFrame) -> DataFrame:
     )
 
 
-def _epoch_histograms(out: DataFrame) -> DataFrame:
+def _epoch_histograms(job: _Job, out: DataFrame) -> DataFrame:
     tag = F.substring("tensor", len(HISTOGRAM) + 1, 1 << 30)
-    width = F.when(tag.endswith("activations"), HIST_WIDTH).otherwise(WEIGHT_HIST_WIDTH)
+    widths = [F.lit(hist_width(job.histograms, w)).cast("double") for w in (HIST_WIDTH, WEIGHT_HIST_WIDTH)]
+    width = F.when(tag.endswith("activations"), widths[0]).otherwise(widths[1])
     return out.where(F.col("step").isNotNull() & F.col("tensor").startswith(HISTOGRAM)).select(
         F.lit("train").alias("writer"), "step", tag.alias("tag"), F.col("block").alias("bucket"),
         width.alias("width"), F.col("data")[0].cast("bigint").alias("n"),
@@ -636,7 +641,7 @@ def _train_rounds(
             state = _averaged(sum_partials(out.where("step IS NULL"), tasks), state)
             checkpoints.write_metrics(_epoch_metrics(job, out), job.model_dir, job.run_id, upto)
             if job.histograms:
-                checkpoints.write_histograms(_epoch_histograms(out), job.model_dir, job.run_id, upto)
+                checkpoints.write_histograms(_epoch_histograms(job, out), job.model_dir, job.run_id, upto)
             if job.report_every:
                 checkpoints.write_report(_epoch_reports(out), job.model_dir, job.run_id, upto)
             shared.destroy()
