@@ -26,7 +26,8 @@ from labelvec.plans.optimizers import Adagrad, Adam  # noqa: E402
 from labelvec.plans.partials import dataset_sums  # noqa: E402
 from labelvec.plans.training import count_dense  # noqa: E402
 from labelvec.session import ship_package, staging_path  # noqa: E402
-from labelvec.streaming import feed  # noqa: E402
+from labelvec.sources import write_samples  # noqa: E402
+from labelvec.streaming import feed, online  # noqa: E402
 from labelvec.testing import write_idx_files  # noqa: E402
 
 INPUTS, HIDDEN, CLASSES, SIDE = 64, 8, 10, 8
@@ -1160,6 +1161,18 @@ def train_mlp_sync(spark, sf_dir):
     return tensor_rows(spark, result.state)
 
 
+@query(_grad_sql("a", SQL_ADAGRAD))
+def train_stream(spark, sf_dir):
+    """The same step, fed by a stream that finds the stored table file by file."""
+    samples = samples_of(spark, sf_dir).select("sample_id", "image", "label")
+    path = staging_path(spark, "stream")
+    write_samples(samples, f"{path}/table", partitions=4, block_rows=BATCH)
+    run = online.OnlineTraining(
+        spark, f"{path}/table", SMALL_A, f"{path}/model", count_dense(samples), weights=formula_weights(SMALL_A)
+    )
+    return tensor_rows(spark, run.run_available(f"{path}/offsets", files_per_batch=1).state)
+
+
 @query(
     sql(
         f"""

@@ -28,10 +28,10 @@ HISTOGRAMS_SCHEMA = (
 IMAGES_SCHEMA = (
     "run_id string, batch_id bigint, step bigint, image_no int, sample_id bigint, image array<array<int>>"
 )
-TABLES = ("weights", "metrics", "histograms", "reports", "images")
+TABLES = ("weights", "metrics", "histograms", "reports", "images", "arrived")
 
 
-def _replace_partition(df: DataFrame, path: str, *columns: str) -> None:
+def replace_partition(df: DataFrame, path: str, *columns: str) -> None:
     """Write partitions of one run; writing them again after a restart replaces them."""
     (
         df.write.mode("overwrite")
@@ -47,7 +47,7 @@ def drop_run(spark: SparkSession, model_dir: str, run_id: str) -> None:
         remove_path(spark, f"{model_dir}/{table}/run_id={run_id}")
 
 
-def _read(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, run_id: str | None = None) -> DataFrame:
     """Rows of one run, or of all."""
     try:
         rows = spark.read.schema(schema).parquet(path)
@@ -78,11 +78,11 @@ def weights_frame(spark: SparkSession, state: Tensors, step: int, run_id: str =
 
 def save_state(spark: SparkSession, model_dir: str, state: Tensors, step: int, run_id: str) -> None:
     frame = weights_frame(spark, state, step, run_id).coalesce(1)
-    _replace_partition(frame, f"{model_dir}/weights", "step")
+    replace_partition(frame, f"{model_dir}/weights", "step")
 
 
 def read_weights(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
-    return _read(spark, f"{model_dir}/weights", WEIGHTS_SCHEMA, run_id)
+    return read_table(spark, f"{model_dir}/weights", WEIGHTS_SCHEMA, run_id)
 
 
 def latest_step(weights: DataFrame, tensors: int = 1) -> int | None:
@@ -119,11 +119,11 @@ def write_metrics(metrics: DataFrame, model_dir: str, run_id: str, upto: int) ->
         F.lit(run_id).alias("run_id"), "writer", "step", "tag", "value",
         F.lit(upto).cast("bigint").alias("upto"),
     )
-    _replace_partition(frame, f"{model_dir}/metrics", "upto")
+    replace_partition(frame, f"{model_dir}/metrics", "upto")
 
 
 def read_metrics(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
-    return _read(spark, f"{model_dir}/metrics", METRICS_SCHEMA, run_id).drop("upto")
+    return read_table(spark, f"{model_dir}/metrics", METRICS_SCHEMA, run_id).drop("upto")
 
 
 def write_report(predictions: DataFrame, model_dir: str, run_id: str, upto: int) -> None:
@@ -132,11 +132,11 @@ def write_report(predictions: DataFrame, model_dir: str, run_id: str, upto: int)
         F.lit(run_id).alias("run_id"), "sample_id", "label", "prediction",
         F.col("step").cast("bigint").alias("step"), F.lit(upto).cast("bigint").alias("upto"),
     )
-    _replace_partition(frame, f"{model_dir}/reports", "upto")
+    replace_partition(frame, f"{model_dir}/reports", "upto")
 
 
 def read_reports(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
-    return _read(spark, f"{model_dir}/reports", REPORTS_SCHEMA, run_id).drop("upto")
+    return read_table(spark, f"{model_dir}/reports", REPORTS_SCHEMA, run_id).drop("upto")
 
 
 def write_images(images: DataFrame, model_dir: str, run_id: str) -> None:
@@ -145,11 +145,11 @@ def write_images(images: DataFrame, model_dir: str, run_id: str) -> None:
         F.lit(run_id).alias("run_id"), "batch_id", "step", "image_no", "sample_id",
         F.col("image").cast("array<array<int>>").alias("image"),
     )
-    _replace_partition(frame, f"{model_dir}/images")
+    replace_partition(frame, f"{model_dir}/images")
 
 
 def read_images(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
-    return _read(spark, f"{model_dir}/images", IMAGES_SCHEMA, run_id)
+    return read_table(spark, f"{model_dir}/images", IMAGES_SCHEMA, run_id)
 
 
 def write_histograms(histograms: DataFrame, model_dir: str, run_id: str, upto: int) -> None:
@@ -157,8 +157,8 @@ def write_histograms(histograms: DataFrame, model_dir: str, run_id: str, upto: i
         F.lit(run_id).alias("run_id"), "writer", "step", "tag", "bucket", "width", "n",
         F.lit(upto).cast("bigint").alias("upto"),
     )
-    _replace_partition(frame, f"{model_dir}/histograms", "upto")
+    replace_partition(frame, f"{model_dir}/histograms", "upto")
 
 
 def read_histograms(spark: SparkSession, model_dir: str, run_id: str | None = None) -> DataFrame:
-    return _read(spark, f"{model_dir}/histograms", HISTOGRAMS_SCHEMA, run_id).drop("upto")
+    return read_table(spark, f"{model_dir}/histograms", HISTOGRAMS_SCHEMA, run_id).drop("upto")

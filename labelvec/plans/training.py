@@ -172,6 +172,7 @@ def train_mlp(
     reshuffle: bool = False,
     average_every: int = SHARD_BATCHES,
     steps_per_job: int | None = None,
+    n_rows: int | None = None,
     run_id: str = "train",
 ) -> TrainResult:
     """Train on (sample_id, image, label) with dense ids and one-hot labels.
@@ -191,6 +192,8 @@ def train_mlp(
     In epoch_avg the shards are averaged after ``average_every`` batches of each, at the end of an epoch, and wherever a
     checkpoint is due, every ``checkpoint_every`` steps or, if a round of one batch of each shard has more, after each round.
 
+    ``n_rows`` says that the ids below it are known to be there, each once; rows with others are left out, and nothing is counted.
+
     In sync a job holds the steps up to the next checkpoint, evaluation or report, ``steps_per_job`` at most; the weights are the
     same whatever their number.
 
@@ -203,7 +206,7 @@ def train_mlp(
     if mode == "epoch_avg" and eval_samples is not None:
         raise ValueError("periodic evaluation needs mode='sync'")
     spark = samples.sparkSession
-    n_rows = count_dense(samples)
+    n_rows = count_dense(samples) if n_rows is None else n_rows
     n_batches = -(-n_rows // batch_size)
     if mode == "epoch_avg":
         shards = _shards(n_rows, batch_size, shards)
