@@ -56,7 +56,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` highest of each row, in no order."""
     if scores.shape[1] <= k:
         return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return np.argpartition(scores, -k, axis=1)[:, -k:]
 
 
 def _parts(size: int) -> list[slice]:
@@ -83,20 +83,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield ids[rows], vectors
 
 
+class _List(NamedTuple):
+    """For each query the best of a node so far: partial scores, vec_ids, whole scores; the least number marks a free place."""
+
+    partial: np.ndarray
+    ids: np.ndarray
+    whole: np.ndarray
+
+    def merged(self, other: _List, k: int) -> _List:
+        partial = np.concatenate([self.partial, other.partial], axis=1)
+        best = _best(partial, k)
+        joined = [np.concatenate([a, b], axis=1) for a, b in zip(self[1:], other[1:])]
+        return _List(np.take_along_axis(partial, best, 1), *(np.take_along_axis(x, best, 1) for x in joined))
+
+
 def _local_lists(queries: dict[int, Queries], k: int):
-    """Whole scores of the ``k`` best of each node and query among a chunk's rows: (query_id, vec_id, score)."""
+    """Whole scores of the ``k`` best of each node and query among a task's rows: (query_id, vec_id, score)."""
+    none = np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], tuple[np.ndarray, _List]] = {}
         for ids, vectors, q in _meetings(batches, queries):
             own = q.ids[:, None] == ids
-            for part in _parts(vectors.shape[1]):
+            for node, part in enumerate(_parts(vectors.shape[1])):
                 partial = _dot(q.vectors[:, part], vectors[:, part])
-                partial[own] = np.iinfo(np.int64).min
+                partial[own] = none
                 best = _best(partial, k)
                 row, col = np.repeat(np.arange(len(best)), best.shape[1]), best.ravel()
-                real = ~own[row, col]
-                row, col = row[real], col[real]
-                yield _rows(q.ids[row], ids[col], _pairs(q.vectors[row], vectors[col]))
+                whole = _pairs(q.vectors[row], vectors[col]).reshape(best.shape)
+                found = _List(np.take_along_axis(partial, best, 1), ids[best], whole)
+                key = vectors.shape[1], int(q.ids[0]), node
+                held[key] = q.ids, held[key][1].merged(found, k) if key in held else found
+        for names, lists in held.values():
+            real = lists.partial > none
+            yield _rows(np.repeat(names, real.sum(axis=1)), lists.ids[real], lists.whole[real])
 
     return run
 

@@ -143,3 +143,24 @@ def test_large_components_stay_exact(spark):
     assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 2, 2**60 + 256 * 257), (2, 1, 2**60 + 256 * 256), (3, 3, -(2**60))]
 
 
+
+
+def test_a_task_names_few_rows_of_each_query(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk, "ROWS", 50)
+    rng = np.random.default_rng(5)
+    vectors = np.floor(rng.normal(0, 60, (700, 8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(700)), pa.array((vectors / 256).tolist())], names=["vec_id", "embedding"])
+    queries = {8: topk.Queries(np.arange(0, 700, 50), vectors[::50])}
+    rows = [tuple(r.values()) for out in topk._local_lists(queries, 5)(iter([batch])) for r in out.to_pylist()]
+    assert len(rows) == 14 * 2 * 5
+    for query in range(0, 700, 50):
+        want = set()
+        for part in (slice(0, 4), slice(4, 8)):
+            partial = vectors[:, part] @ vectors[query, part]
+            partial[query] = -np.inf
+            want |= {int(i) for i in np.argsort(-partial)[:5]}
+        got = [r for r in rows if r[0] == query]
+        assert {r[1] for r in got} == want
+        assert all(r[2] == int(vectors[query] @ vectors[r[1]]) for r in got)
