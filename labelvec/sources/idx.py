@@ -1,6 +1,7 @@
 """IDX image and label files (gzip or plain).
 
-A gzip stream has no entry points, so one task reads one file; it holds a bounded
+A gzip stream has no entry points, so one task reads one file, unless the file was written in several
+members: then tasks read parts of it. A task holds a bounded
 batch at a time. Headers give every file's row count, so ids are known before
 any data is read, and an image file is paired with its label file inside the
 task: no join and no shuffle.
@@ -12,15 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from labelvec.functions import one_hot
 from labelvec.session import stage
 from labelvec.sources.files import list_files, open_stream, read_exactly
+from labelvec.sources.members import PART_BYTES, gzip_parts, open_part
 
 # Fixed values of the format.
 IMAGE_MAGIC = 2051
 LABEL_MAGIC = 2049
+HEADER_BYTES = {IMAGE_MAGIC: 16, LABEL_MAGIC: 8}
 
 BATCH_BYTES = 4 << 20
 
@@ -44,19 +47,25 @@ def _with_headers(files: DataFrame, magic: int) -> DataFrame:
     def read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column("path").to_pylist()
-            counts = []
+            counts, widths = [], []
             for path in paths:
-                stream, count, _ = _open_idx(path, magic)
+                stream, count, width = _open_idx(path, magic)
                 stream.close()
                 counts.append(count)
+                widths.append(width)
             yield pa.RecordBatch.from_pydict(
-                {"path": paths, "items": pa.array(counts, pa.int64())}
-            )
+                {
+                    "path": paths, "length": batch.column("length"), "items": pa.array(counts, pa.int64()),
+                    "width": pa.array(widths, pa.int64()),
+                }
+            )
 
     order = Window.orderBy("path")
-    return files.mapInArrow(read_headers, "path string, items bigint").select(
+    return files.mapInArrow(read_headers, "path string, length bigint, items bigint, width bigint").select(
         "path",
+        "length",
         "items",
+        "width",
         F.row_number().over(order).alias("file_no"),
         F.coalesce(
             F.sum("items").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
@@ -64,19 +73,41 @@ def _with_headers(files: DataFrame, magic: int) -> DataFrame:
     )
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """One file per task: file numbers run from 1."""
-    n = max(1, files.count())
-    return files.repartitionById(n, (F.col("file_no") - 1).cast("int"))
+def _units(files: DataFrame, magic: int) -> DataFrame:
+    """What one task each reads: whole files, or the items [low, high) that begin in a part of a file; numbered by ``unit``."""
+    header = HEADER_BYTES[magic]
+    parts = gzip_parts(files.select("path", "length"), part_bytes=PART_BYTES).withColumnRenamed("path", "of")
+    both = files.join(parts, F.col("path") == F.col("of"), "left").drop("of")
 
+    def begun(byte: Column) -> Column:
+        """Items that begin before a byte of the data."""
+        before = F.greatest(byte - header, F.lit(0)) + F.greatest(F.col("width"), F.lit(1)) - 1
+        return F.least(F.call_function("div", before, F.greatest(F.col("width"), F.lit(1))), F.col("items"))
 
-def _items(path: str, magic: int) -> Iterator[np.ndarray]:
+    whole = F.col("start").isNull()
+    low = F.when(whole, 0).otherwise(begun(F.col("first_byte")))
+    high = F.when(whole, F.col("items")).otherwise(begun(F.col("first_byte") + F.col("bytes")))
+    units = both.withColumns({"low": low, "high": high}).where(whole | (F.col("low") < F.col("high")))
+    units = units.withColumn("skip", header + F.col("low") * F.col("width") - F.col("first_byte"))
+    return stage(units.withColumn("unit", F.row_number().over(Window.orderBy("file_no", "low")) - 1), "idx-units")
+
+
+def _spread(units: DataFrame) -> DataFrame:
+    """One unit per task."""
+    return units.repartitionById(max(1, units.count()), F.col("unit").cast("int"))
+
+
+def _items(unit: dict, magic: int) -> Iterator[np.ndarray]:
     """Arrays of shape (rows, width), each at most ``BATCH_BYTES`` long."""
-    stream, count, width = _open_idx(path, magic)
-    per_batch = max(1, BATCH_BYTES // (4 * width))
+    path, low, width = unit["path"], unit["low"], unit["width"]
+    if unit["start"] is None:
+        stream = _open_idx(path, magic)[0]
+    else:
+        stream = open_part(path, unit["start"], unit["skip"])
+    per_batch = max(1, BATCH_BYTES // (4 * max(1, width)))
     with stream:
-        for start in range(0, count, per_batch):
-            rows = min(per_batch, count - start)
+        for start in range(low, unit["high"], per_batch):
+            rows = min(per_batch, unit["high"] - start)
             data = read_exactly(stream, rows * width, path)
             yield np.frombuffer(data, np.uint8).reshape(rows, width)
 
@@ -93,8 +124,8 @@ def read_idx_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
-                next_id = file["first_id"]
-                for block in _items(file["path"], IMAGE_MAGIC):
+                next_id = file["first_id"] + file["low"]
+                for block in _items(file, IMAGE_MAGIC):
                     ids = np.arange(next_id, next_id + len(block))
                     next_id += len(block)
                     yield pa.RecordBatch.from_pydict(
@@ -105,7 +136,7 @@ def read_idx_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         }
                     )
 
-    files = _spread(_with_headers(list_files(spark, path), IMAGE_MAGIC))
+    files = _spread(_units(_with_headers(list_files(spark, path), IMAGE_MAGIC), IMAGE_MAGIC))
     return files.mapInArrow(read, "file string, sample_id bigint, image array<int>")
 
 
@@ -117,8 +148,8 @@ def read_idx_labels(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
-                next_id = file["first_id"]
-                for block in _items(file["path"], LABEL_MAGIC):
+                next_id = file["first_id"] + file["low"]
+                for block in _items(file, LABEL_MAGIC):
                     ids = np.arange(next_id, next_id + len(block))
                     next_id += len(block)
                     yield pa.RecordBatch.from_pydict(
@@ -129,7 +160,7 @@ def read_idx_labels(
                         }
                     )
 
-    files = _spread(_with_headers(list_files(spark, path), LABEL_MAGIC))
+    files = _spread(_units(_with_headers(list_files(spark, path), LABEL_MAGIC), LABEL_MAGIC))
     labels = files.mapInArrow(read, "file string, sample_id bigint, label int")
     if classes is None:
         return labels
@@ -160,10 +191,12 @@ def read_idx_pair(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
-                next_id = file["first_id"]
+                next_id = file["first_id"] + file["low"]
                 stream, _, _ = _open_idx(file["label_path"], LABEL_MAGIC)
                 with stream:
-                    for block in _items(file["path"], IMAGE_MAGIC):
+                    for at in range(0, file["low"], BATCH_BYTES):  # labels of the parts before: a byte each
+                        read_exactly(stream, min(BATCH_BYTES, file["low"] - at), file["label_path"])
+                    for block in _items(file, IMAGE_MAGIC):
                         ids = np.arange(next_id, next_id + len(block))
                         next_id += len(block)
                         data = read_exactly(stream, len(block), file["label_path"])
@@ -175,7 +208,7 @@ def read_idx_pair(
                             }
                         )
 
-    samples = _spread(files).mapInArrow(read, "sample_id bigint, image array<int>, label int")
+    samples = _spread(_units(files, IMAGE_MAGIC)).mapInArrow(read, "sample_id bigint, image array<int>, label int")
     if classes is None:
         return samples
     return samples.withColumn("label", one_hot(F.col("label"), classes))
