@@ -1,4 +1,8 @@
-"""From raw documents to token ids: score, deduplicate twice, mix, encode."""
+"""From raw documents to token ids: score, deduplicate twice, mix, encode.
+
+All stages take whole texts of any length, rows with nulls in any column, repeated rows and further columns of any name, and
+give no rows for an empty table. What a stage does with such rows is said there.
+"""
 
 from __future__ import annotations
 
@@ -10,31 +14,45 @@ from labelvec.session import ship_package, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier scores 0.7 or more, fitted on ``labels``."""
+    """Documents that the line classifier scores 0.7 or more, fitted on ``labels``.
+
+    Null and empty texts are scored as texts without lines; repeated rows get equal scores. Columns stay as they are.
+    """
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_crf.keep_good(docs, quality_crf.train(docs, labels), least=0.7)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Texts without words are copies of nothing and stay, as do rows without a doc_id. Ties go to the smallest doc_id; rows that repeat one
+    become one row. Columns stay as they are.
+    """
     ship_package(spark)
     return near_dedup.keep_one(docs, width=5, percent=80)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of fifty words or more that an earlier one holds."""
+    """Documents without passages of fifty words or more that an earlier one holds.
+
+    Texts of fewer words, null and empty ones stay; a document of which no word is left goes. The earliest is that of the least (doc_id, position);
+    rows that repeat a doc_id are cut alike, rows without one not at all. Columns stay; ``n_chars`` follows the text.
+    """
     ship_package(spark)
     return suffix_dedup.cut_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy or part of a document that the mix of 150 % of all words takes."""
+    """A row for each copy or part of a document that the mix of 150 % of all words takes.
+
+    Texts without words have nothing to give and no row. A missing source is a source of its own, the last one. Columns stay as they are.
+    """
     return mixing.mixed(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and their decoding."""
+    """Token ids of every text, and their decoding; null is an empty text. Other columns are left out."""
     ship_package(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     tokens = bpe.encode_and_decode(docs, path)
