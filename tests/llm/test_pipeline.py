@@ -96,3 +96,23 @@ def test_the_library_works_without_these_folders(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split() == [str(len(entry.queries()) - len(QUERIES) - 1), "False"]  # and the pipeline
+
+
+@pytest.mark.parametrize("table", ["odd", "nothing"])
+def test_odd_rows_and_an_empty_table_pass_all_stages(spark, odd, nothing, tmp_path, table):
+    docs = {"odd": odd, "nothing": nothing}[table].selectExpr("*", "1 AS spans", "'o' AS _of", "doc_id AS score", "2 AS src")
+    path = str(tmp_path / table)
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels = [(10, 1, 0), (12, 1, 0), (19, 1, 0), (20, 0, 0), (24, 0, 0), (13, 0, 1), (None, 1, None), (11, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for i, (_, step) in enumerate(pipeline.STAGES):
+        before = Counter(r.doc_id for r in frame.select("doc_id").collect())
+        frame = step(spark, frame, path).persist()
+        after = Counter(r.doc_id for r in frame.select("doc_id").collect())
+        assert set(after) <= set(before)
+        if i < len(pipeline.STAGES) - 1:
+            assert frame.columns == docs.columns
+    assert table == "odd" or frame.count() == 0
+    rows = pipeline.run(spark, path).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, frame.collect()))
