@@ -401,12 +401,16 @@ def test_queries_that_train_on_a_whole_table_spread_it(spark, monkeypatch, name)
     def no_shards(*args):
         raise AssertionError("the whole table is one shard")
 
-    def spread(job, feed, *args, run=training._run_batch):
-        whole.append((feed.tasks, feed.batch_size))
-        return run(job, feed, *args)
+    def spread(run):
+        def seen(job, feed, *args):
+            whole.append((feed.tasks, feed.batch_size))
+            return run(job, feed, *args)
+
+        return seen
 
     monkeypatch.setattr(feed, "ROWS_PER_TASK", 50)
     monkeypatch.setattr(training, "_train_rounds", no_shards)
-    monkeypatch.setattr(training, "_run_batch", spread)
+    for path in ("_run_batch", "_run_job"):  # a job for each step, and one for many
+        monkeypatch.setattr(training, path, spread(getattr(training, path)))
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert whole and all(tasks >= rows / 50 > 1 for tasks, rows in whole)
