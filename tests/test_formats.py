@@ -230,7 +230,8 @@ def test_idx_batches_are_bounded(spark, small, tmp_path, monkeypatch):
     classes = small.withColumn("label", F.lit(1))
     write_idx_files(classes, str(tmp_path), 2, 3)
     monkeypatch.setattr(idx, "BATCH_BYTES", 100)
-    blocks = list(idx._items(f"file:{tmp_path}/images/00000000.gz", idx.IMAGE_MAGIC))
+    whole = {"path": f"file:{tmp_path}/images/00000000.gz", "start": None, "low": 0, "high": 50, "width": 6}
+    blocks = list(idx._items(whole, idx.IMAGE_MAGIC))
     assert [len(b) for b in blocks] == [4] * 12 + [2]
     assert np.concatenate(blocks).tolist() == [r.image for r in small.orderBy("sample_id").collect()]
 
