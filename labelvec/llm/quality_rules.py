@@ -70,9 +70,6 @@ def measured(texts: Texts) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = np.bincount(words.doc[inside], minlength=n)
     out["line_doc"], out["line"] = doc, _sequences(first, lower.hash)
     out["line_words"] = np.diff(np.append(first, len(line)))
-    begun = np.flatnonzero(np.concatenate([[True], words.doc[1:] != words.doc[:-1]])) if len(words.doc) else np.zeros(0, np.int64)
-    out["content"] = np.zeros(n, np.uint64)
-    out["content"][words.doc[begun]] = _sequences(begun, lower.hash)
     return out
 
 
@@ -86,11 +83,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *(rows.column(c) for c in ("row", "doc_id", "source")),
                     *(pa.array(found[c], pa.int64()) for c in _COUNTS),
-                    pa.array(found["content"].view(np.int64)),
                     pa.ListArray.from_arrays(edges, pa.array(found["line"].view(np.int64))),
                     pa.ListArray.from_arrays(edges, pa.array(found["line_words"], pa.int32())),
                 ],
-                names=["row", "doc_id", "source", *_COUNTS, "content", "line", "line_words"],
+                names=["row", "doc_id", "source", *_COUNTS, "line", "line_words"],
             )
 
 
@@ -98,26 +94,28 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: int = L
     """(doc_id, counts, base_failed, removed_words, kept) for every row of ``docs`` (doc_id, text, source, ...).
 
     A line is normalised to its words, A-Z in lower case. Lines that more than
-    ``max_docs`` distinct documents of a host hold are removed; documents with equal words
-    count once, so copies do not make a line frequent. The host is ``source``; null is one
-    host. A document is kept if the base rules pass and ``least_left`` percent of its words remain.
+    ``max_docs`` distinct documents of a host hold are removed. A document is a doc_id, so rows
+    that repeat one count once; a row without a doc_id is a document of its own. Copies under
+    other ids are other documents. The host is ``source``; null is one host. A document is kept
+    if the base rules pass and ``least_left`` percent of its words remain.
 
     Frequent lines are found by two combined counts over (host, line), and joined back
     on that key; a line that a third of all documents share is split by adaptive
-    execution. Null and blank texts have counts 0 and fail. Repeated rows are rows of
-    their own with equal results. Other columns are ignored; an empty table gives no rows.
+    execution. Null and blank texts have counts 0 and fail. Texts of any length are read
+    whole. Repeated rows are rows of their own with equal results. Other columns are ignored; an
+    empty table gives no rows.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    fields = f"row long, doc_id long, source string, {counts}, content long, line array<long>, line_words array<int>"
+    fields = f"row long, doc_id long, source string, {counts}, line array<long>, line_words array<int>"
     rows = stage(map_texts(docs, _measure, fields), "measured")
-    lines = rows.select("row", "source", "content", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select(
-        "row", "content", "x.line_words", F.xxhash64(F.col("source").isNull(), "source", "x.line").alias("line")
+    lines = rows.select("row", "doc_id", "source", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select(
+        "row", "doc_id", "x.line_words", F.xxhash64(F.col("source").isNull(), "source", "x.line").alias("line")
     )
-    held = lines.select("line", "content").distinct()
+    held = lines.select("line", "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")).distinct()
     common = held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("line")
     removed = lines.join(common, "line").groupBy("row").agg(F.sum("line_words").alias("removed_words"))
-    rows = rows.drop("line", "line_words", "content").join(removed, "row", "left")
+    rows = rows.drop("line", "line_words").join(removed, "row", "left")
     lost = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = 100 * (F.col("n_words") - lost) >= least_left * F.col("n_words")
@@ -137,17 +135,16 @@ rep AS (SELECT rid, t FROM tri GROUP BY ALL HAVING count(*) > 1),
 pos AS (SELECT DISTINCT rid, i + unnest([0, 1, 2]) AS p FROM tri JOIN rep USING (rid, t)),
 repeated AS (SELECT rid, count(*) AS n FROM pos GROUP BY rid),
 lines AS (
-  SELECT rid, source, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw
-  FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS l FROM d)),
+  SELECT rid, doc_id, source, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw
+  FROM (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS l FROM d)),
 used AS (
-  SELECT rid, source, l, len(lw) AS n,
+  SELECT rid, doc_id, source, l, len(lw) AS n,
     translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
   FROM lines WHERE len(lw) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM used GROUP BY rid),
-content AS (SELECT rid, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM d),
 common AS (
-  SELECT source, norm FROM used JOIN content USING (rid)
-  GROUP BY source, norm HAVING count(DISTINCT c) > {MAX_DOCS}),
+  SELECT source, norm FROM used GROUP BY source, norm
+  HAVING count(DISTINCT doc_id) + count(DISTINCT rid) FILTER (doc_id IS NULL) > {MAX_DOCS}),
 lost AS (
   SELECT rid, sum(n) AS n FROM used u JOIN common c ON u.norm = c.norm AND u.source IS NOT DISTINCT FROM c.source GROUP BY rid),
 f AS (

@@ -56,12 +56,11 @@ def test_backoff_without_rows(nothing):
 
 
 def rules(rows, max_docs, least_left):
-    content = [tuple(words(r[1], lower=True)) for r in rows]
     holders = defaultdict(set)
-    for r, c in zip(rows, content):
+    for place, r in enumerate(rows):
         for line in (r[1] or "").split("\n"):
             if words(line):
-                holders[r[3], tuple(words(line, lower=True))].add(c)
+                holders[r[3], tuple(words(line, lower=True))].add((place, None) if r[0] is None else r[0])
     out = []
     for r in rows:
         text, ws = r[1] or "", words(r[1])
@@ -88,12 +87,15 @@ def test_frequent_lines_deplete(spark):
     for i in range(40):
         own = " ".join(f"word{i}x{k}" for k in range(60 if i % 2 else 20))
         rows.append((i, "\n".join([own, *common[1:], f"  {common[0].upper()} "]), None, "a" if i < 30 else None))
-    rows += [(100 + i, rows[0][1], None, "b") for i in range(30)]
+    rows += [(100 + i, rows[1][1], None, "b") for i in range(30)]  # copies are documents of their own
+    rows += [(200, rows[1][1], None, "c")] * 30 + [(None, rows[1][1], None, "d")] * 30  # one document; thirty
     docs = spark.createDataFrame([r[:2] + r[3:] for r in rows], "doc_id long, text string, source string")
     got = sorted(map(tuple, quality_rules.quality_rules(docs, 20, 50).collect()), key=repr)
     assert got == rules(rows, 20, 50)
     kept = {r[0]: r[-1] for r in got}
-    assert not kept[0] and kept[1] and kept[31] and kept[100]
+    assert not kept[0] and kept[1] and kept[31] and kept[200]
+    lost = {r[0]: r[-2] for r in got}
+    assert lost[100] == lost[None] == len(words(rows[1][1])) and lost[200] == 0 and not kept[100] and not kept[None]
 
 
 # ---------------------------------------------------------------- language
