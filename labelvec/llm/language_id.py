@@ -1,6 +1,6 @@
 """Language of texts by hyperdimensional profiles of letter trigrams.
 
-Every letter has a random vector of +1 and -1. A trigram is the product of its
+Every letter has a random vector of +1 and -1, drawn by its code point. A trigram is the product of its
 letters' vectors, turned by two, one and no places; the sum over a text is its profile, and
 the sum over all texts of a language its prototype. The nearest prototype by cosine wins.
 """
@@ -18,48 +18,61 @@ from pyspark.sql import DataFrame, functions as F
 from labelvec.llm.text import SLICE_DOCS, map_texts, mix, slices
 
 SIZE = 1024
-# Letter numbers: 0 parts words, a-z have their own, other letters share the rest by a hash.
-LETTERS = 128
-_BITS = 7
+# Trigrams whose vectors a task holds at once, one byte a place.
+TRIGRAMS = 32_768
+_BITS = 21  # a code point
 
 
 @functools.cache
-def _letter_table() -> np.ndarray:
-    """Letter number of every code point."""
-    points = np.array([p for p in range(0x110000) if unicodedata.category(chr(p))[0] == "L"])
-    table = np.zeros(0x110000, np.uint8)
-    table[points] = 27 + mix(points.astype(np.uint64)) % np.uint64(LETTERS - 27)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([unicodedata.category(chr(p))[0] == "L" for p in range(0x110000)])
 
 
-@functools.cache
-def _letter_vectors() -> np.ndarray:
-    seeds = np.arange(LETTERS * SIZE, dtype=np.uint64) + np.uint64(1 << 32)
-    signs = (mix(seeds) >> np.uint64(63)).astype(np.int8) * 2 - 1
-    return signs.reshape(LETTERS, SIZE)
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """Signs drawn for each code point by its own seed; 0 is the parting sign."""
+    seeds = points.astype(np.uint64)[:, None] * np.uint64(SIZE) + np.arange(SIZE, dtype=np.uint64) + np.uint64(1 << 32)
+    return (mix(seeds) >> np.uint64(63)).astype(np.int8) * 2 - 1
+
+
+def bind(codes: np.ndarray) -> np.ndarray:
+    """Vectors of trigrams: the product of their letters' vectors, turned by two, one and no places."""
+    points = np.stack([codes >> 2 * _BITS, codes >> _BITS, codes]) & ((1 << _BITS) - 1)
+    used, number = np.unique(points, return_inverse=True)
+    letters = letter_vectors(used)
+    first, second, third = number.reshape(points.shape)
+    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
 
 
 class Trigrams:
-    """Vectors of the trigrams met so far; at most ``LETTERS`` ** 3, in practice some ten thousand."""
+    """Vectors of the trigrams met last, ``TRIGRAMS`` of them at most."""
 
     def __init__(self):
-        self.row = np.full(LETTERS**3, -1, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in order, and where their vectors are
         self.vectors = np.zeros((0, SIZE), np.int8)
-        self.codes = np.zeros(0, np.int64)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        at = self.row[codes]
-        if (at < 0).any():
-            new = np.unique(codes[at < 0])
-            first, second, third = new >> 2 * _BITS, (new >> _BITS) & (LETTERS - 1), new & (LETTERS - 1)
-            letters = _letter_vectors()
-            bound = np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
-            self.row[new] = len(self.codes) + np.arange(len(new))
-            self.vectors = np.concatenate([self.vectors, bound])
-            self.codes = np.concatenate([self.codes, new])
-            at = self.row[codes]
-        return at
+        """Rows in ``vectors`` of distinct codes in order, ``TRIGRAMS`` of them at most."""
+        at = np.searchsorted(self.codes, codes)
+        known = np.append(self.codes, -1)[at] == codes
+        if known.all():
+            return self.row[at]
+        if len(self.codes) + np.count_nonzero(~known) > TRIGRAMS:
+            self.clear()
+            return self.rows(codes)
+        new = codes[~known]
+        if (end := len(self.codes) + len(new)) > len(self.vectors):
+            grown = np.empty((min(TRIGRAMS, max(2 * len(self.vectors), end)), SIZE), np.int8)
+            grown[: len(self.vectors)] = self.vectors
+            self.vectors = grown
+        rows = np.arange(len(self.codes), end)
+        for k in range(0, len(new), 4096):
+            self.vectors[rows[k : k + 4096]] = bind(new[k : k + 4096])
+        self.codes, self.row = np.insert(self.codes, at[~known], new), np.insert(self.row, at[~known], rows)
+        return self.row[np.searchsorted(self.codes, codes)]
 
 
 @functools.cache
@@ -68,17 +81,33 @@ def _trigrams() -> Trigrams:
 
 
 def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, code) of every letter with its neighbours, letters or parting signs."""
+    """(text number, code) of every letter with its neighbours, letters or parting signs; a code is three code points."""
     texts = [t.lower() for t in texts]
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     points = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "replace"), np.uint32)
-    letters = _letter_table()[points].astype(np.int64)
+    letters = np.where(_letters()[points], points, 0).astype(np.int64)
     around = np.concatenate([[0], letters, [0]])
     at = np.flatnonzero(letters)
     codes = (around[at] << 2 * _BITS) | (around[at + 1] << _BITS) | around[at + 2]
     return np.searchsorted(ends, at, "right"), codes
 
 
+def profiles(trigrams: Trigrams, n_texts: int, doc: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(text number, sum of its trigrams' vectors) for texts with a letter; vectors are taken in portions of ``TRIGRAMS``."""
+    used, number = np.unique(codes, return_inverse=True)
+    edges = np.searchsorted(doc, np.arange(n_texts + 1))
+    rows = trigrams.rows(used) if len(used) <= TRIGRAMS else None
+    for i in np.flatnonzero(np.diff(edges)):
+        own = number[edges[i] : edges[i + 1]]
+        kinds, counts = np.unique(own, return_counts=True)
+        total = np.zeros(SIZE, np.float64)
+        for k in range(0, len(kinds), TRIGRAMS // 8):
+            part = kinds[k : k + TRIGRAMS // 8]
+            at = trigrams.rows(used[part]) if rows is None else rows[part]
+            total += counts[k : k + TRIGRAMS // 8].astype(np.float32) @ trigrams.vectors[at].astype(np.float32)
+        yield int(i), total
+
+
 def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     for part in slices(batch.column("text")):
         for lo in range(part.first, part.first + part.count, SLICE_DOCS):
@@ -88,28 +117,40 @@ def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum of the trigram vectors of each language over the rows of a task."""
-    trigrams = _trigrams()
-    counts: dict[str, np.ndarray] = {}  # of each trigram, for each language of the task
+    total: dict[str, np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}  # of each known trigram, for each language of the task
+    known = np.zeros(0, np.int64)
+
+    def add_up() -> None:
+        for name in counts:
+            total.setdefault(name, np.zeros(SIZE, np.int64))
+        for k in range(0, len(known), 1024):
+            vectors = bind(known[k : k + 1024]).astype(np.int64)
+            for name, c in counts.items():
+                total[name] += c[k : k + 1024] @ vectors
+        counts.clear()
+
     for batch in batches:
         for lo, texts in _texts_of(batch):
             doc, codes = trigram_codes(texts)
-            rows = trigrams.rows(codes)
-            langs = batch.column("lang").slice(lo, len(texts)).to_pylist()
-            names = sorted(set(langs))
-            number = np.array([names.index(x) for x in langs])
-            n = len(trigrams.codes)
-            found = np.bincount(number[doc] * n + rows, minlength=len(names) * n).reshape(len(names), n)
-            for name, c in zip(names, found):
-                if (old := counts.get(name)) is not None:
-                    c[: len(old)] += old
-                counts[name] = c.copy()
-    total = {}
-    for name, c in counts.items():
-        total[name] = np.zeros(SIZE, np.int64)
-        used = np.flatnonzero(c)
-        for k in range(0, len(used), 1024):
-            part = used[k : k + 1024]
-            total[name] += c[part] @ trigrams.vectors[part].astype(np.int64)
+            names = batch.column("lang").slice(lo, len(texts)).to_pylist()
+            if not len(codes):
+                continue
+            merged = np.union1d(known, codes)
+            place = np.searchsorted(merged, known)
+            for name, c in counts.items():
+                counts[name] = np.zeros(len(merged), np.int64)
+                counts[name][place] = c
+            known = merged
+            at = np.searchsorted(known, codes)
+            for name in set(names):
+                mine = np.array([x == name for x in names])[doc]
+                old = counts.get(name, 0)
+                counts[name] = old + np.bincount(at[mine], minlength=len(known))
+            if len(known) > TRIGRAMS:
+                add_up()
+                known = np.zeros(0, np.int64)
+    add_up()
     names = sorted(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), pa.array([total[n].tolist() for n in names], pa.list_(pa.int64()))], names=["lang", "vector"]
@@ -138,13 +179,8 @@ def _nearest(names: list[str], matrix: np.ndarray):
         for batch in batches:
             for lo, texts in _texts_of(batch):
                 doc, codes = trigram_codes(texts)
-                rows = trigrams.rows(codes)
-                edges = np.searchsorted(doc, np.arange(len(texts) + 1))
                 langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-                for i in np.flatnonzero(np.diff(edges)) if names else ():
-                    counts = np.bincount(rows[edges[i] : edges[i + 1]])
-                    used = np.flatnonzero(counts)
-                    profile = counts[used].astype(np.float32) @ trigrams.vectors[used].astype(np.float32)
+                for i, profile in profiles(trigrams, len(texts), doc, codes) if names else ():
                     cosine = matrix @ profile / max(float(np.linalg.norm(profile)), 1e-9)
                     best = int(cosine.argmax())
                     langs[i], scores[i] = names[best], min(max(float(cosine[best]), 0.0), 1.0)
@@ -161,7 +197,8 @@ def languages(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFram
 
     The score is the cosine with the winner, 0 if negative; of equal ones the first name
     wins. Null texts, texts without a letter, and all texts if no language was learned, are
-    ``und`` with score 0. Other columns are ignored; no rows give none.
+    ``und`` with score 0. Texts of any length are read whole; repeated rows get equal
+    results. Other columns are ignored; no rows give none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(docs, _nearest(names, matrix.astype(np.float32)), "doc_id long, lang_pred string, score double")
+    return map_texts(docs, _nearest(names, matrix), "doc_id long, lang_pred string, score double")

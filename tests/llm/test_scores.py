@@ -124,14 +124,60 @@ def test_languages_of_odd_rows(spark, odd, odd_rows, nothing):
     assert none[0] == [] and {r.lang_pred for r in language_id.languages(odd, *none).collect()} == {"und"}
 
 
-def test_a_trigram_binds_turned_letters():
-    doc, codes = language_id.trigram_codes(["Ab c", "", "é"])
-    assert doc.tolist() == [0, 0, 0, 2]
-    trigrams = language_id.Trigrams()
-    rows = trigrams.rows(codes)
-    letters = language_id._letter_vectors()
-    want = np.roll(letters[0], 2) * np.roll(letters[1], 1) * letters[2]  # parting sign, a, b
-    assert (trigrams.vectors[rows[0]] == want).all()
+def sums_by_hand(text):
+    """Sum over the letters of ``text`` of the product of turned vectors of each letter and its neighbours."""
+    points = [ord(c) if c.isalpha() else 0 for c in " " + (text or "").lower() + " "]
+    vectors = {p: language_id.letter_vectors(np.array([p]))[0].astype(int) for p in set(points)}
+    total = np.zeros(language_id.SIZE, int)
+    for a, b, c in zip(points, points[1:], points[2:]):
+        if b:
+            total += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+    return total
+
+
+FEW_WORDS = {
+    "el": "και το σπίτι είναι μεγάλο με πολλά παράθυρα",
+    "ru": "и этот дом очень большой и у него много окон",
+    "ko": "그리고 이 집은 매우 크고 창문이 많이 있습니다",
+    "fr": "et cette maison était très grande où les fenêtres brûlent",
+    "en": "and this house is very big and it has many windows",
+}
+
+
+@pytest.mark.parametrize("held", [64, language_id.TRIGRAMS])
+def test_profiles_equal_sums_by_hand(spark, odd, odd_rows, monkeypatch, held):
+    monkeypatch.setattr(language_id, "TRIGRAMS", held)
+    texts = [t for t in FEW_WORDS.values()] + ["", "?", FEW_WORDS["ko"] * 3, "".join(map(chr, range(0xAC00, 0xAC00 + 300)))]
+    trigrams, seen = language_id.Trigrams(), set()
+    for some in (texts, texts[::-1]):
+        for i, got in language_id.profiles(trigrams, len(some), *language_id.trigram_codes(some)):
+            assert (got == sums_by_hand(some[i])).all()
+            seen.add(some[i])
+        assert len(trigrams.codes) <= held
+    assert seen == set(texts) - {"", "?"}
+
+
+def test_predictions_equal_profiles_by_hand(spark, odd, odd_rows):
+    rows = [(text, name) for name, text in FEW_WORDS.items() for _ in range(2)] + [("the dog and the cat", "en"), (None, "xx")]
+    names, matrix = language_id.prototypes(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert names == sorted(FEW_WORDS)
+    want = np.array([sum(sums_by_hand(t) for t, lang in rows if lang == name) for name in names], float)
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(matrix, want)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.languages(odd, names, matrix).collect()}
+    expected = set()
+    for r in odd_rows:
+        total = sums_by_hand(r[1])
+        cosine = want @ total / max(np.linalg.norm(total), 1e-9)
+        best = int(cosine.argmax())
+        expected.add((r[0], names[best], round(max(cosine[best], 0.0), 6)) if total.any() else (r[0], "und", 0.0))
+    assert got == expected
+
+
+def test_letters_have_vectors_of_their_own():
+    for lo, hi in ((0x61, 0x7A), (0xE0, 0xFF), (0x3B1, 0x3C9), (0x430, 0x44F), (0xAC00, 0xD7A3)):
+        vectors = language_id.letter_vectors(np.arange(lo, hi + 1))
+        assert len(np.unique(vectors, axis=0)) == hi - lo + 1
 
 
 # ---------------------------------------------------------------- classifier
