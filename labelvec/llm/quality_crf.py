@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from labelvec.llm.text import WHITE, Texts, doc_of, find_words, map_texts, slices
+from labelvec.session import stage
 
-# Bounds of the training sample: rows of each label, and lines of a document in it.
+# Bounds of the training sample: rows and lines of each label.
 SAMPLE_DOCS = 2048
-SAMPLE_LINES = 64
+SAMPLE_LINES = 65_536
+# In the fit a chain of states ends after so many lines; features look across the cut.
+CHAIN_LINES = 64
 STEPS = 150
 LEVELS = (0.02, 0.1, 0.3)
 
@@ -163,7 +166,10 @@ def _logit(quality: np.ndarray) -> np.ndarray:
 
 
 def _fit_chain(doc: np.ndarray, features: np.ndarray, state: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with an L2 term, by Adam steps over all lines of the sample."""
+    """Maximum likelihood with an L2 term, by Adam steps over all lines of the sample, in chains of ``CHAIN_LINES``."""
+    begun = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    place = np.arange(len(doc)) - np.repeat(begun, np.diff(np.append(begun, len(doc))))
+    doc = np.cumsum(place % CHAIN_LINES == 0) - 1  # of each line, its chain
     chain = chain_of(doc)
     weights, switch = np.zeros(features.shape[1]), np.zeros((2, 2))
     within = np.flatnonzero(doc[1:] == doc[:-1])
@@ -216,18 +222,19 @@ def fit(doc: np.ndarray, lines: Lines, label: np.ndarray, share: np.ndarray) ->
 
 
 def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("quality", pa.int32()), ("order", pa.int64()), ("length", pa.binary()), ("own", pa.binary())])
+    schema = pa.schema([("quality", pa.int32()), ("order", pa.int64()), ("n_lines", pa.int64()), ("length", pa.binary()), ("own", pa.binary())])
     for batch in batches:
         for texts in slices(batch.column("text")):
             lines = lines_of(texts)
             edges = np.searchsorted(lines.doc, np.arange(texts.count + 1))
-            few = np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) <= SAMPLE_LINES))
+            few = np.flatnonzero((np.diff(edges) > 0) & (np.diff(edges) <= SAMPLE_LINES))  # what no sample can hold stays here
             part = [slice(edges[i], edges[i + 1]) for i in few]
             rows = pa.array(few + texts.first)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("quality").take(rows),
                     batch.column("order").take(rows),
+                    pa.array(np.diff(edges)[few]),
                     pa.array([lines.length[p].tobytes() for p in part], pa.binary()),
                     pa.array([lines.own[p].tobytes() for p in part], pa.binary()),
                 ],
@@ -236,18 +243,29 @@ def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most ``SAMPLE_DOCS`` labelled rows of each label, in hash order, of up to ``SAMPLE_LINES`` lines each.
+    """Fit on labelled documents of any length, at most ``SAMPLE_DOCS`` and ``SAMPLE_LINES`` lines of each label.
 
-    ``labels`` has (doc_id, quality); nulls and other values than 0 and 1 are left out.
+    Documents are taken whole in hash order until the next one would exceed the lines; one that exceeds them by itself
+    is passed over. ``labels`` has (doc_id, quality); nulls and other values than 0 and 1 are left out, the greater of two
+    labels holds. Of different texts under one doc_id the one with the fewest lines is taken, then the least by
+    its features, so reruns agree. Without usable rows all scores are alike.
     """
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     marked = marked.withColumn("order", F.xxhash64("doc_id"))
     parts = [marked.where(F.col("quality") == q).orderBy("order", "doc_id").limit(SAMPLE_DOCS) for q in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # 2 * SAMPLE_DOCS rows of three numbers
-    fields = "quality int, order long, length binary, own binary"
+    fields = "quality int, order long, n_lines long, length binary, own binary"
     rows = map_texts(docs.select("doc_id", "text").join(chosen, "doc_id").select("quality", "order", "text"), _sample_lines, fields)
-    found = rows.dropDuplicates(["order"]).orderBy("order").collect()
+    columns = ["quality", "n_lines", "length", "own"]
+    rows = stage(rows, "sample").groupBy("order").agg(F.min(F.struct(*columns)).alias("x")).select("order", "x.*")
+    sizes = rows.select("order", "quality", "n_lines").orderBy("order").collect()
+    taken = F.lit(False)
+    for q in (0, 1):
+        own = [r for r in sizes if r["quality"] == q]
+        if end := int(np.searchsorted(np.cumsum([r["n_lines"] for r in own]), SAMPLE_LINES, "right")):
+            taken |= (F.col("quality") == q) & (F.col("order") <= own[end - 1]["order"])
+    found = rows.where(taken).orderBy("order").collect()
     counted = [len(r["length"]) // 4 for r in found]
     doc = np.repeat(np.arange(len(found)), counted)
     length = np.frombuffer(b"".join(bytes(r["length"]) for r in found), np.float32)
@@ -284,7 +302,7 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` whose text scores ``least`` or more, with all their columns."""
+    """Rows of ``docs`` whose text scores ``least`` or more, with all their columns; texts of any length are scored whole."""
     columns = docs.columns
     given = docs.select(F.struct(*columns).alias("row"), "text")
     schema = StructType([given.schema["row"], StructField("score", DoubleType())])

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import words
+from brute import prose, words
 
 from labelvec.llm import language_id, lm_scoring, queries, quality_crf, quality_rules
 
@@ -238,3 +238,43 @@ def test_a_registered_query_uses_runs_of_three_words(spark):
     pairs, threes = full["op1_lm_scoring"], full["op1_lm_scoring_trigrams"]
     assert pairs.keys() == threes.keys()
     assert all(threes[k] <= pairs[k] for k in pairs) and 0 < sum(threes.values()) < sum(pairs.values())
+
+
+def labelled(rng, n, longest):
+    rows = []
+    for i in range(n):
+        good, lines = i % 2, 1 + rng.randrange(longest)
+        line = (lambda: prose(rng, 12).replace("\n", " ") + ".") if good else (lambda: "$$$ ### | &&& %%% " + "X" * rng.randrange(1, 9))
+        rows.append((i, "\n".join(line() for _ in range(lines)), good))
+    return rows
+
+
+def test_long_documents_are_fitted_and_lines_are_bounded(spark, monkeypatch):
+    import random
+
+    rows = labelled(random.Random(4), 40, 300)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "another text under one id")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    fitted = []
+    real = quality_crf.fit
+    monkeypatch.setattr(quality_crf, "fit", lambda doc, lines, label, share: fitted.append((doc, label)) or real(doc, lines, label, share))
+    model = quality_crf.train(docs, labels)
+    counts = {i: len(t.split("\n")) for i, t, _ in rows} | {3: 1}
+    assert sorted(np.bincount(fitted[0][0])) == sorted(counts.values()) and max(counts.values()) > 4 * quality_crf.CHAIN_LINES
+    again = quality_crf.train(docs.coalesce(1), labels)
+    assert (again.weights == model.weights).all() and again[2:] == model[2:]
+    scores = {r.doc_id: r.score for r in quality_crf.quality_scores(docs.where("doc_id <> 3"), model).collect()}
+    assert all((scores[i] >= 0.5) == bool(q) for i, _, q in rows if i != 3)
+
+    order = [r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) AS o").orderBy("o").collect()]
+    monkeypatch.setattr(quality_crf, "SAMPLE_LINES", 700)
+    quality_crf.train(docs, labels)
+    for q in (0, 1):
+        left, want = 700, []
+        for i in (i for i in order if i % 2 == q):
+            if counts[i] > left:
+                break
+            left -= counts[i]
+            want.append(counts[i])
+        doc, label = fitted[-1]
+        assert np.bincount(doc)[label == q].tolist() == want
