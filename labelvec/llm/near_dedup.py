@@ -273,11 +273,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near copies, with all their columns.
 
-    Rows repeated with one doc_id are one document, of which one row stays. Rows without a doc_id all stay.
+    Rows repeated with one doc_id and text are one document, of which one row stays: the least when written as JSON. Different
+    texts under one doc_id all stay if one of them is kept, so no text is lost. Rows without a doc_id all stay.
     """
-    found = near_duplicates(docs, width, percent)
-    kept = stage(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    found = near_duplicates(docs, width, percent).where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    kept = stage(ids.where("kept").select("doc_id", "n"), "kept")
     named = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if kept.where("n > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null").select(named.columns)).select(docs.columns)
+        twice = kept.where("n > 1").select("doc_id")
+        whole = F.struct(*docs.columns)
+        one = named.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("least"))
+        named = named.join(twice, "doc_id", "left_anti").select(docs.columns).union(one.select("least.*"))
+    return named.select(docs.columns).union(docs.where("doc_id is null").select(named.columns)).select(docs.columns)

@@ -82,6 +82,17 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, nothing):
     assert near_dedup.near_duplicates(nothing).count() == near_dedup.keep_one(nothing).count() == 0
 
 
+def test_texts_under_one_id_are_not_lost(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [(5, a, "x"), (5, b, "y"), (5, b, "x"), (5, b, None), (9, prose(rng, 50), "z"), (9, None, "z"), (9, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    got = sorted(map(str, near_dedup.keep_one(docs.repartition(4)).collect()))
+    assert got == sorted(map(str, near_dedup.keep_one(docs.coalesce(1)).collect()))
+    kept = [(r.doc_id, r.text, r.note) for r in near_dedup.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
 def test_minima_estimate_similarity():
     a = np.arange(1000, dtype=np.uint64)
     marks = [near_dedup.minima(a + np.uint64(k)) for k in (0, 111)]
