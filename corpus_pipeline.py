@@ -27,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
 
     Texts without words are copies of nothing and stay, as do rows without a doc_id. Ties go to the smallest doc_id; rows that repeat one
-    become one row. Columns stay as they are.
+    with its text become one row, other texts under its doc_id stay. Columns stay as they are.
     """
     ship_package(spark)
     return near_dedup.keep_one(docs, width=5, percent=80)
